@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from . import corpus
+from .ngram_join import ngram_join
+from .packing import pack
 from .substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +20,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(corpus.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Query] = {"op2_substring_dedup": op2_substring_dedup}
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(corpus.table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(corpus.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_ngram_join": op3_ngram_join,
+    "op9_packing": op9_packing,
+}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,4 +50,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op3_ngram_join": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w
+            FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS gram FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS u(p)
+              WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM pair JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
+                 WHERE 100 * both >= 90 * (nx.n + ny.n - both)),
+        edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE x = d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id)""",
 }
