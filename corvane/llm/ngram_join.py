@@ -5,7 +5,9 @@ share a token among the first n - ceil(t n) + 1 of each. This join orders tokens
 three ways: by rarity with ties by one hash, by rarity with ties by another, and by a
 third hash alone. Pairs that share a prefix token under the first order are
 candidates; they go on only if they also share one under the second and the third;
-then the whole sets are compared.
+then the whole sets are compared. A parity bitmap of each set (every token flips one
+of BITMAP * 64 bits) goes with the candidates: two bitmaps differ in no more bits than
+the sets do in tokens, so pairs whose bitmaps differ too much are dropped in the join.
 
 Rarity comes from all documents: batches send each distinct shingle hash once to
 shards of the hash space and get back a class for each (0: in one set only). A
@@ -24,6 +26,9 @@ Groups of copies are never expanded into pairs:
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,12 +40,13 @@ from .graph import components
 
 SHINGLE = 3
 THRESHOLD = 90  # percent
-HEADS = 3  # prefix tokens that name heads in the first round
+HEADS = 8  # prefix tokens that name heads in the first round
+BITMAP = 16  # longs
 
 Key = tuple[pa.Scalar, ...]
 _COUNTS = "shard int, batch int, first long, width int, n long, payload binary, counts binary"
 _CLASSES = "batch int, shard int, classes binary"
-_SETS = "doc_id long, leader long, n long, set_a long, set_b long, tokens array<long>, order_1 array<long>, order_2 array<long>, order_3 array<long>"
+_SETS = "doc_id long, leader long, n long, set_a long, set_b long, tokens array<long>, order_1 array<long>, order_2 array<long>, order_3 array<long>, " + ", ".join(f"bits_{i} long" for i in range(BITMAP))
 
 
 def _shingles(table: pa.Table, n: int):
@@ -142,8 +148,14 @@ def _prefixes(grams: np.ndarray, kinds: np.ndarray, size: int) -> list[np.ndarra
     return out
 
 
+def _bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit."""
+    place = (tk.mix(grams ^ np.uint64(0xB17)) >> np.uint64(40)).astype(np.int64) % (BITMAP * 64)
+    return np.packbits((np.bincount(place, minlength=BITMAP * 64) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _describe(shards: int, n: int, threshold: int):
-    kinds_of = {"doc_id": pa.int64(), "leader": pa.int64(), "n": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), **dict.fromkeys(("tokens", "order_1", "order_2", "order_3"), pa.list_(pa.int64()))}
+    kinds_of = {"doc_id": pa.int64(), "leader": pa.int64(), "n": pa.int64(), "set_a": pa.int64(), "set_b": pa.int64(), **dict.fromkeys(("tokens", "order_1", "order_2", "order_3"), pa.list_(pa.int64())), **{f"bits_{i}": pa.int64() for i in range(BITMAP)}}
 
     def describe(key: Key, docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = {k: [] for k in kinds_of}
@@ -168,18 +180,24 @@ def _describe(shards: int, n: int, threshold: int):
                 if live:
                     a, b = bounds[i], bounds[i + 1]
                     own = grams[a:b]
-                    found = [own[kinds[a:b] > 0].view(np.int64), *_prefixes(own, kinds[a:b], int(sizes[i] - need[i] + 1))]
+                    found = [own[kinds[a:b] > 0].view(np.int64), *_prefixes(own, kinds[a:b], int(sizes[i] - need[i] + 1)), *_bitmap(own).tolist()]
                 else:
-                    found = [None] * 4
-                for k, v in zip(("tokens", "order_1", "order_2", "order_3"), found, strict=True):
+                    found = [None] * (4 + BITMAP)
+                for k, v in zip(list(kinds_of)[5:], found, strict=True):
                     out[k].append(v)
         return pa.table({k: pa.array(v, kinds_of[k]) for k, v in out.items()})
 
     return describe
 
 
-def _fits(a: Column, b: Column, threshold: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
+_BITS = [f"bits_{i}" for i in range(BITMAP)]
+
+
+def _fits(left: str, right: str, threshold: int) -> Column:
+    """Whether sizes and bitmaps leave room for the threshold."""
+    a, b = F.col(f"{left}n"), F.col(f"{right}n")
+    apart = reduce(add, (F.bit_count(F.col(left + c).bitwiseXOR(F.col(right + c))) for c in _BITS))
+    return (F.least(a, b) * 100 >= F.greatest(a, b) * threshold) & (apart * (100 + threshold) <= (a + b) * (100 - threshold))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -220,9 +238,9 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     posted = known.filter(F.col("tokens").isNotNull()).join(reps, "doc_id", "left_semi")
 
     # first round: a head for each of the first tokens
-    few = posted.select("doc_id", "n", F.explode(F.slice("order_1", 1, HEADS)).alias("token"))
-    head = written(few.groupBy("token").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("c")).filter("c > 1").select("token", "head"), "heads")
-    pairs = few.join(head, "token").filter(F.col("doc_id") != F.col("head.doc_id")).filter(_fits(F.col("n"), F.col("head.n"), threshold))
+    few = posted.select("doc_id", "n", *_BITS, F.explode(F.slice("order_1", 1, HEADS)).alias("token"))
+    head = written(few.groupBy("token").agg(F.min(F.struct("doc_id", "n", *_BITS)).alias("head"), F.count("*").alias("c")).filter("c > 1").select("token", "head"), "heads")
+    pairs = few.join(head, "token").filter(F.col("doc_id") != F.col("head.doc_id")).filter(_fits("", "head.", threshold))
     pairs = pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = written(_verified(pairs, known, threshold), "links")
     first = components(stars)
@@ -230,16 +248,16 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     # second round: whatever a bucket of the first order still holds apart
     sized = written(first.groupBy("component").agg(F.count("*").alias("members")), "sizes")
     placed = first.join(sized, "component").select(F.col("node").alias("doc_id"), "component", "members")
-    post = posted.select("doc_id", "n", "order_1").join(placed, "doc_id", "left")
-    post = post.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.explode("order_1").alias("token"))
+    post = posted.select("doc_id", "n", "order_1", *_BITS).join(placed, "doc_id", "left")
+    post = post.select("doc_id", "n", *_BITS, F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.explode("order_1").alias("token"))
     mixed = post.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("members", "component")).alias("most"))
     mixed = written(mixed.filter("low <> high").select("token", "most"), "mixed")
     apart = written(post.join(mixed, "token"), "apart")
-    left = apart.filter("component <> most").select("token", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "component")))
+    left = apart.filter("component <> most").select("token", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "component", *_BITS)))
     cross = left.join(apart, "token").filter(
         (F.col("l_component") != F.col("component"))
         & ((F.col("component") == F.col("most")) | (F.col("l_doc_id") < F.col("doc_id")))
-        & _fits(F.col("l_n"), F.col("n"), threshold)
+        & _fits("l_", "", threshold)
     )
     cross = cross.select(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b")).distinct()
     links = stars.union(_verified(cross, known, threshold))

@@ -57,9 +57,9 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS gram FROM d, unnest(range(1, greatest(len(w) - 1, 2))) AS u(p)
               WHERE len(w) > 0),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
         link AS (SELECT x, y FROM pair JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
-                 WHERE 100 * both >= 90 * (nx.n + ny.n - both)),
+                 WHERE 100 * shared >= 90 * (nx.n + ny.n - shared)),
         edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
         reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM reach r JOIN edge e ON r.y = e.x)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, (SELECT min(y) FROM reach WHERE x = d.doc_id) AS component_id
