@@ -37,7 +37,7 @@ def _cut(path: str, end: int, most: int):
         part, met, encode = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64), encoder(path).encode
         for batch in batches:
             for piece in slices(batch, "text", _SLICE):
-                ids, bounds = encode(piece.column("text").to_pylist(), end)
+                ids, bounds = encode(piece.column("text"), end)
                 tokens = np.diff(bounds)
                 pieces = -(-tokens // most)
                 doc = np.repeat(np.arange(len(tokens)), pieces)
@@ -135,6 +135,6 @@ def pack(docs: DataFrame, vocabulary: str, end: int = END, most: int = MAX_LENGT
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = written(by_task.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"), "ranks")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_seat(slots(patterns(histogram, most))), schema)

@@ -1,27 +1,43 @@
-"""Whole-text tokenisation with a public vocabulary, at the speed of a dictionary lookup.
+"""Whole-text tokenisation with a public vocabulary, mostly by lookup.
 
 Both vocabularies split a text at white space before merging, so a text's ids are
-those of its chunks (white space, then the characters up to the next white space) one
-after the other. Chunks repeat; a worker keeps the ids of those it has met and asks
-the tokenizers library only for new ones. The cache holds at most CACHE chunks.
+those of its chunks (white space, then the bytes up to the next white space) one after
+the other. Chunks repeat; a worker keeps the ids of those it has met, by a 64-bit hash
+of their bytes, and asks the tokenizers library only for new ones, many at a time. The
+store is numpy arrays of some 30 bytes a chunk, emptied when it holds CACHE chunks.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
-#: Unicode White_Space, which the vocabularies' own patterns write as \s.
-_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-CACHE = 250_000
-#: A chunk longer than this is not kept.
-_LONG = 64
+from . import textkit as tk
+
+CACHE = 3_000_000
+#: Code points of Unicode White_Space beyond ASCII, which the vocabularies' patterns mean by \\s.
+_WIDE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_MARK = "|"
+
+
+def space_mask(buf: np.ndarray) -> np.ndarray:
+    """Bytes that belong to white space."""
+    mask = tk.SEPARATOR[buf]
+    for lead in {chr(c).encode()[0] for c in _WIDE_SPACE}:
+        at = np.flatnonzero(buf == lead)
+        for code in (chr(c).encode() for c in _WIDE_SPACE) if len(at) else ():
+            if code[0] == lead:
+                here = at[at + len(code) <= len(buf)]
+                for k in range(1, len(code)):
+                    here = here[buf[here + k] == code[k]]
+                for k in range(len(code)):
+                    mask[here + k] = True
+    return mask
 
 
 class Encoder:
@@ -33,49 +49,105 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        # a vocabulary without word ends spells every byte of a text as one character, so ids have byte lengths
+        self.mark = model["vocab"][_MARK + model["end_of_word_suffix"]] if model["end_of_word_suffix"] else None
+        self.widths = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+        for word, i in model["vocab"].items():
+            self.widths[i] = len(word)
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64)
+        self.entry = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, chunks: set[str]) -> None:
-        new = sorted(chunks.difference(self.place))
-        if not new:
-            return
-        found = [x.ids for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
+    def _alone(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))
+        return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
+
+    def _together(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that begin with a space and hold more than spaces, encoded as one text and cut again."""
+        if self.mark is None:
+            ids = np.array(self.library.encode(b"".join(chunks).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+            upto = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            return ids, np.diff(upto, prepend=0)
+        ids = np.array(self.library.encode((f" {_MARK}".encode()).join([*chunks, b""]).decode(), add_special_tokens=False).ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes], joins: np.ndarray) -> None:
+        """Store the ids of new chunks; those that `joins` marks are encoded together."""
+        order, parts = [], []
+        for pick, encode in ((joins, self._together), (~joins, self._alone)):
+            at = np.flatnonzero(pick)
+            for a in range(0, len(at), 4096):
+                part = at[a : a + 4096]
+                parts.append(encode([chunks[i] for i in part.tolist()]))
+                order.append(part)
+        order = np.concatenate(order)
+        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        base = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.pool = np.concatenate([self.pool, flat])
-        base = len(self.place)
-        self.place.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, each text's with `end` behind them, and n+1 offsets."""
-        split = _CHUNK.findall
-        chunks: list[str] = []
-        upto = [0]
-        for text in texts:
-            if text:
-                chunks += split(text)
-            upto.append(len(chunks))
-        if len(self.place) > CACHE:
+        self.pool = np.concatenate([self.pool, ids])
+        known = np.concatenate([self.known, hashes[order]])
+        entry = np.concatenate([self.entry, np.arange(base, base + len(order))])
+        place = np.argsort(known)
+        self.known, self.entry = known[place], entry[place]
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's with `end` behind them, and n+1 offsets; null counts as empty."""
+        buf, offsets = tk.text_buffer(texts)
+        n = len(offsets) - 1
+        space = space_mask(buf)
+        begin = np.zeros(len(buf) + 1, dtype=bool)
+        begin[:-1] = space
+        begin[1:-1] &= ~space[:-1]
+        begin[offsets[:-1]] = True
+        starts = np.flatnonzero(begin[:-1])
+        ends = np.append(starts[1:], len(buf))[: len(starts)]
+        upto = np.searchsorted(starts, offsets)
+        hashes = tk.word_hashes(buf, starts, ends)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        fresh = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
+        distinct, example = ordered[fresh], order[fresh]
+        if len(self.known) > CACHE:
             self._forget()
-        self._learn(set(chunks))
-        place = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
-        counts = self.counts[place]
+        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            data = buf.tobytes()
+            low, high = starts[example[new]], ends[example[new]]
+            joins = space[low] & ~space[high - 1]
+            if self.mark is not None:
+                marks = np.concatenate(([0], np.cumsum(buf == ord(_MARK))))
+                joins &= marks[low] == marks[high]
+            self._learn(distinct[new], [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], joins)
+            at = np.searchsorted(self.known, distinct)
+        entry = np.empty(len(hashes), np.int64)
+        entry[order] = self.entry[at][np.cumsum(fresh) - 1] if len(ordered) else 0
+        counts = self.counts[entry]
         before = np.concatenate(([0], np.cumsum(counts)))
-        bounds = before[np.array(upto)] + np.arange(len(texts) + 1)
+        bounds = before[upto] + np.arange(n + 1)
         ids = np.empty(int(bounds[-1]), dtype=np.uint32)
         body = np.ones(len(ids), dtype=bool)
         body[bounds[1:] - 1] = False
         ids[~body] = end
-        if len(chunks):
-            ids[body] = self.pool[np.arange(before[-1]) + np.repeat(self.starts[place] - before[:-1], counts)]
+        if len(entry):
+            step = np.ones(int(before[-1]), np.int64)  # one gather over the pool: +1 within a chunk, a jump between chunks
+            full = counts > 0
+            first, where = before[:-1][full], self.starts[entry][full]
+            if len(first):
+                step[first[0]] = where[0]
+                step[first[1:]] = where[1:] - (where[:-1] + counts[full][:-1] - 1)
+            ids[body] = self.pool[np.cumsum(step)]
         return ids, bounds
 
 
