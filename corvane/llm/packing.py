@@ -27,7 +27,7 @@ from .tokens import encoder, slices
 
 MAX_LENGTH = 2048
 END = 1
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, place long"
 

@@ -38,7 +38,7 @@ from .tokens import encoder, slices
 
 END = 2
 BLOCK_IDS = 1 << 19
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _MAGIC = b"CVB1"
 _HEAD = struct.Struct("<4sIQQ")
 

@@ -19,7 +19,7 @@ import pyarrow.compute
 
 from . import textkit as tk
 
-CACHE = 3_000_000
+CACHE = 800_000
 #: Code points of Unicode White_Space beyond ASCII, which the vocabularies' patterns mean by \\s.
 _WIDE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _MARK = "|"
