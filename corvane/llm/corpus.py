@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files that nothing refers to any more, instead of at its next timed sweep."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -74,7 +80,3 @@ def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, max
     for row in counts:
         keep = keep | ((F.col(label) == F.lit(row[label])) & (place < F.lit(min(span, span * per_label // row["count"]))))
     return rows.filter(keep).limit(2 * per_label * len(counts))
-
-
-def columns_like(df: DataFrame, model: Iterable[str]) -> DataFrame:
-    return df.select(*model)

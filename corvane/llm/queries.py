@@ -13,7 +13,9 @@ from .decontaminate import leaks
 from .language import identify
 from .ngram_join import ngram_join
 from .packing import pack
+from .pii import find_pii
 from .quality import classify
+from .secret_scan import find_secrets
 from .substring_dedup import substring_dedup
 from .token_files import token_output
 from .topk import exact_topk
@@ -41,6 +43,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(corpus.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(corpus.table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(corpus.table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(corpus.table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +69,8 @@ QUERIES: dict[str, Query] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_language": op4_language,
     "op5_token_output": op5_token_output,
+    "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
     "op8_exact_topk": op8_exact_topk,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
