@@ -64,8 +64,8 @@ def _sequential(df: DataFrame, order: Sequence[Column], schema: str, pick: Calla
     n = df.count()
     if n > MAX_SEQUENTIAL:
         raise ValueError(f"{n} candidates are too many for a step-by-step selection; narrow them first")
-    one = df.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
-    return one.groupBy(F.lit(0)).applyInPandas(lambda rows: pick(rows.sort_values("_place").drop(columns="_place").reset_index(drop=True)), schema)
+    one = df.withColumn("_place", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.lit(0))
+    return one.groupBy("_all").applyInPandas(lambda rows: pick(rows.sort_values("_place").drop(columns=["_place", "_all"]).reset_index(drop=True)), schema)
 
 
 def multi_capped(df: DataFrame, caps: dict[str, int], order: Sequence[Column], top: int, strict: bool = False) -> DataFrame:
