@@ -23,7 +23,7 @@ def grouped_split(df: DataFrame, group: str, share: float, seed: str) -> DataFra
 
 def length_matched(negatives: DataFrame, positives: DataFrame, id_n: str, id_p: str, size: str, seed: str) -> DataFrame:
     """Each negative with one positive of the same size, by hash. Positives are numbered within a size, so no group is paired in full."""
-    p = positives.select(F.col(id_p).alias("positive"), size).withColumn("k", F.row_number().over(Window.partitionBy(size).orderBy(hash_order(seed, id_p))))
+    p = positives.select(F.col(id_p).alias("positive"), size).withColumn("k", F.row_number().over(Window.partitionBy(size).orderBy(hash_order(seed, "positive"))))
     n = positives.groupBy(size).agg(F.count("*").alias("n"))
     left = negatives.select(F.col(id_n).alias("negative"), size).join(n, size)
     left = left.withColumn("k", (F.pmod(F.conv(F.substring(hash_order(seed, "negative"), 1, 8), 16, 10).cast("long"), F.col("n")) + 1).cast("int"))
