@@ -26,6 +26,7 @@ Groups of copies are never expanded into pairs:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
@@ -193,6 +194,17 @@ def _describe(shards: int, n: int, threshold: int):
 _BITS = [f"bits_{i}" for i in range(BITMAP)]
 
 
+def _count(n: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table({"doc_id": np.arange(batch.num_rows), "text": batch.column("text")})
+            bounds = _shingles(table, n)[2]
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(np.diff(bounds), pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
+
+    return count
+
+
 def _fits(left: str, right: str, threshold: int) -> Column:
     """Whether sizes and bitmaps leave room for the threshold."""
     a, b = F.col(f"{left}n"), F.col(f"{right}n")
@@ -224,6 +236,8 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    unnamed = docs.filter("doc_id IS NULL").mapInArrow(_count(shingle), "doc_id long, n_shingles long, component_id long")
+    docs = docs.filter("doc_id IS NOT NULL")
     docs = docs.withColumn("batch", batch_key(batches_for(docs)))
     shards = partitions(spark)
     by_batch = docs.groupBy("batch")
@@ -231,7 +245,7 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     classes = counts.groupBy("shard").applyInArrow(_classify, _CLASSES)
     base = written(by_batch.cogroup(classes.groupBy("batch")).applyInArrow(_describe(shards, shingle, threshold), _SETS), "shingles")
 
-    known = base.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    known = base.filter("n > 0")
     heads = known.filter("doc_id = leader")
     same = written(heads.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal")
     reps = same.select(F.col("rep").alias("doc_id"))
@@ -271,4 +285,4 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    ).union(unnamed)
