@@ -13,10 +13,14 @@ from .selection import hash_order, ranked
 def grouped_split(df: DataFrame, group: str, share: float, seed: str) -> DataFrame:
     """Whole groups in hash order go to `holdout` while their running size stays within the share; the rest is `train`.
 
-    The running sum is over groups, one row each, not over rows.
+    The running sum is over groups, one row each, and in two levels: over 4096 ranges of
+    the hash, a table of fixed size, and within each range.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_o", hash_order(seed, group))
-    upto = sizes.withColumn("_upto", F.sum("_n").over(Window.orderBy("_o"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_o", hash_order(seed, group)).withColumn("_range", F.substring("_o", 1, 3))
+    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_rn"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_before"), F.sum("_rn").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    upto = sizes.join(F.broadcast(ranges), "_range").withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy("_range").orderBy("_o")))
     part = upto.select(group, F.when(F.col("_upto") <= F.col("_all") * share, "holdout").otherwise("train").alias("part"))
     return df.join(part, group)
 

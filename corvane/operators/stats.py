@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +87,27 @@ def contrasts(df: DataFrame, keys: Sequence[str], arm: str, treatment: str, cont
     return g.filter("t IS NOT NULL AND c IS NOT NULL").select(*keys, (F.col("t") - F.col("c")).alias("delta"))
 
 
+#: Most calibration values that share_below takes to every task (8 MB).
+MAX_CALIBRATION = 1_000_000
+
+
 def share_below(df: DataFrame, calibration: DataFrame, value: str, against: str) -> DataFrame:
-    """Share of calibration values at or below each value: a merge of both in order, not a comparison of each with each."""
-    n = calibration.agg(F.count(against).alias("n"))
-    known = calibration.groupBy(F.col(against).alias("x")).agg(F.count("*").alias("k"))
-    upto = known.withColumn("upto", F.sum("k").over(Window.orderBy("x")))
-    distinct = df.select(F.col(value).alias("x")).distinct()
-    both = distinct.withColumn("upto", F.lit(None).cast("long")).unionByName(upto.select("x", "upto")).groupBy("x").agg(F.max("upto").alias("upto"))
-    filled = both.withColumn("upto", F.coalesce(F.last("upto", ignorenulls=True).over(Window.orderBy("x")), F.lit(0)))
-    return df.join(filled.withColumnRenamed("x", value), value, "left").join(n).withColumn("percentile", F.coalesce(F.try_divide("upto", "n"), F.lit(0.0))).drop("upto", "n")
+    """Share of calibration values at or below each value (0 without calibration).
+
+    The calibration is a bounded reference set; its size is checked before it is sent
+    to the tasks as one sorted array, where each batch of values is one binary search.
+    """
+    known = calibration.select(against).filter(F.col(against).isNotNull())
+    if known.count() > MAX_CALIBRATION:
+        raise ValueError("too many calibration values; sample or bin them first")
+    ordered = np.sort(np.array([r[0] for r in known.collect()], np.float64))
+
+    @F.pandas_udf("double")
+    def share(x: pd.Series) -> pd.Series:
+        at = np.searchsorted(ordered, x.to_numpy(np.float64), side="right") / max(1, len(ordered))
+        return pd.Series(at).where(x.notna(), None)
+
+    return df.withColumn("percentile", share(F.col(value).cast("double")))
 
 
 def product_of_experts(rows: DataFrame, sample: str, position: str, token: str, teacher: str, logprob: str, weights: dict[str, float], missing: float, top: int) -> DataFrame:
