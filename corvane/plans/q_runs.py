@@ -37,14 +37,14 @@ def label_histogram(spark, sf_dir):
 
 
 @register("run_summary", """
-    SELECT o_custkey, count(*) AS steps, count_if(o_orderstatus = 'F')::BIGINT AS finished, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS finished_rate, round(avg(o_totalprice), 4) AS mean_reward,
-           round(coalesce(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 0), 4) AS mean_pending, string_agg(CASE WHEN o_orderpriority LIKE '1%' THEN o_orderkey END, ',' ORDER BY o_orderkey) AS urgent FROM orders GROUP BY o_custkey""")
+    SELECT o_custkey, count(*) AS steps, count_if(o_orderstatus = 'F')::BIGINT AS finished, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS finished_rate, round(avg(o_totalprice), 7) AS mean_reward,
+           round(coalesce(avg(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 0), 7) AS mean_pending, string_agg(CASE WHEN o_orderpriority LIKE '1%' THEN o_orderkey END, ',' ORDER BY o_orderkey) AS urgent FROM orders GROUP BY o_custkey""")
 def run_summary(spark, sf_dir):
     done = F.col("o_orderstatus") == "F"
     urgent = F.sort_array(F.collect_list(F.when(F.col("o_orderpriority").startswith("1"), F.col("o_orderkey"))))
     g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("steps"), F.count_if(done).alias("finished"), F.round(F.avg(done.cast("double")), 6).alias("finished_rate"), F.round(F.avg("o_totalprice"), 4).alias("mean_reward"),
-        F.round(F.coalesce(F.avg(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))), F.lit(0.0)), 4).alias("mean_pending"), urgent.alias("u"),
+        F.count("*").alias("steps"), F.count_if(done).alias("finished"), F.round(F.avg(done.cast("double")), 6).alias("finished_rate"), F.round(F.avg("o_totalprice"), 7).alias("mean_reward"),
+        F.round(F.coalesce(F.avg(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))), F.lit(0.0)), 7).alias("mean_pending"), urgent.alias("u"),
     )
     return g.select(*[c for c in g.columns if c != "u"], F.nullif(F.array_join(F.col("u").cast("array<string>"), ","), F.lit("")).alias("urgent"))
 
