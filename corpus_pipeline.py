@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; rows without an id stay."""
-    classes = ngram_join(docs)
+    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); rows without an id stay."""
+    classes = ngram_join(docs, shingle=5, threshold=80)
     gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one Python worker holds at a time.
 BATCH_BYTES = 8 << 20
+#: Text bytes whose hashes one shard holds.
+SHARD_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +52,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches_for(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES) -> int:
-    """How many batches keep each at about batch_bytes of text, and every core busy."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    return max(partitions(docs.sparkSession), -(-int(total) // batch_bytes))
+def batches_and_shards(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
+    """Numbers of document batches and of hash shards that bound what a worker holds, and keep every core busy."""
+    total = int(docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0)
+    least = partitions(docs.sparkSession)
+    return max(least, -(-total // batch_bytes)), max(least, -(-total // shard_bytes))
 
 
 def batch_key(count: int, id_col: str = "doc_id") -> Column:

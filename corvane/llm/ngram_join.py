@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .corpus import batch_key, batches_for, partitions, written
+from .corpus import batch_key, batches_and_shards, written
 from .graph import components
 
 SHINGLE = 3
@@ -234,12 +234,11 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     link and a null component. Rows of equal doc_id count as one node of the graph,
     with one result row each. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     unnamed = docs.filter("doc_id IS NULL").mapInArrow(_count(shingle), "doc_id long, n_shingles long, component_id long")
     docs = docs.filter("doc_id IS NOT NULL")
-    docs = docs.withColumn("batch", batch_key(batches_for(docs)))
-    shards = partitions(spark)
+    batches, shards = batches_and_shards(docs)
+    docs = docs.withColumn("batch", batch_key(batches))
     by_batch = docs.groupBy("batch")
     counts = by_batch.applyInArrow(_send(shards, shingle), _COUNTS)
     classes = counts.groupBy("shard").applyInArrow(_classify, _CLASSES)

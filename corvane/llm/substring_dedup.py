@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .corpus import batch_key, batches_for, partitions
+from .corpus import batch_key, batches_and_shards
 
 BLOCK = 7
 WINDOW = 13
@@ -289,11 +289,9 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     as larger than any other. Rows with equal doc_id do not remove each other's words;
     a row that occurs twice gives two rows. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = batches_for(docs)
-    shards = partitions(spark)
-    docs = docs.withColumn("batch", batch_key(count))
+    batches, shards = batches_and_shards(docs)
+    docs = docs.withColumn("batch", batch_key(batches))
     by_batch = docs.groupBy("batch")
     anchors = by_batch.applyInArrow(_send_anchors(shards), _PACKED)
     hits = anchors.groupBy("shard").applyInArrow(_probe, _BITS)

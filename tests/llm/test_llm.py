@@ -50,11 +50,11 @@ def dedup_brute(rows):
     return sorted(out, key=repr)
 
 
-def join_brute(rows):
+def join_brute(rows, k=3, threshold=90):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
     label = {d: d for d in sets}
     changed = True
     while changed:
@@ -62,7 +62,7 @@ def join_brute(rows):
         for a in sets:
             for b in sets:
                 both = len(sets[a] & sets[b])
-                if both and 100 * both >= 90 * len(sets[a] | sets[b]) and label[b] < label[a]:
+                if both and 100 * both >= threshold * len(sets[a] | sets[b]) and label[b] < label[a]:
                     label[a], changed = label[b], True
     return {d: (len(s), label[d]) for d, s in sets.items()}
 
@@ -133,11 +133,11 @@ def test_substring_dedup_texts(spark):
     assert got[2] == ("a b", 1) and got[1][1] == 0
 
 
-@pytest.mark.parametrize("seed", [2, 3])
-def test_ngram_join(spark, seed):
+@pytest.mark.parametrize(("seed", "k", "threshold"), [(2, 3, 90), (3, 3, 90), (4, 5, 80), (5, 2, 50)])
+def test_ngram_join(spark, seed, k, threshold):
     rows = passages(seed, 80)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
-    assert got == join_brute(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, [(d, t, "en", "s") for d, t in rows]), k, threshold).collect()}
+    assert got == join_brute(rows, k, threshold)
 
 
 def test_ngram_join_chain_of_near_copies(spark):

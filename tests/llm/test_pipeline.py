@@ -24,7 +24,7 @@ def test_stages_against_plain_versions(spark):
     assert kept == {d for d in rows if score[d] >= 0.5}
 
     single = corpus.written(steps["near_duplicates"](spark, good, SF), "b")
-    label = join_brute([(d, rows[d]) for d in sorted(kept)])
+    label = join_brute([(d, rows[d]) for d in sorted(kept)], 5, 80)
     kept = {r["doc_id"] for r in single.collect()}
     assert single.columns == COLUMNS and kept == {d for d, (n, c) in label.items() if c == d or n == 0}
 
