@@ -92,7 +92,8 @@ def bridge_flags(spark, sf_dir):
 @register("positive_admission")
 def positive_admission(spark, sf_dir):
     k = F.col("p_partkey")
-    base = F.substring(F.lit("MNFPRASRLMQAAVLGGLMAVSAAATAQTNPYARGPNPTAASLEASAGPFTVRSFTVSRPSGYGAGTVYYPTNAGGTVGAIAIVPGYTARQSSIKWWGPRLASHGFVVITIDTNSTLDQPSSRSSQQMAALRQVASLNGTSSSPIYGKVDTARMGVMGWSMGGGGSLISAANNPSLKAAAPQAPWDSSTNFSSVTVPTLIFACENDSIAPVNSSALPIYDSMSRNAKQFLEINGGSHSCANSGNSNQALIGKKGVAWMKRFMDNDTRYSTFACENPNSTRVSDFRTANCS"), (k % 60 + 1).cast("int"), F.lit(180))
+    hexes = F.concat(*(F.sha2(F.concat_ws("-", k, F.lit(i)), 256) for i in range(3)))
+    base = F.translate(hexes, "0123456789abcdef", tx.ALPHABET[:16])
     rows = table(spark, sf_dir, "part").select("p_partkey", base.alias("sequence"), F.when(k % 2 == 0, "a cutinase").otherwise("other").alias("about"), (k % 3 > 0).alias("reviewed"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("sites"))
     return curation.admitted_positives(rows, "sequence", F.col("about"), ["petase", "cutinase"], F.col("reviewed"), F.col("sites"), (120, 360), 8, "p_partkey").select("p_partkey")
 
