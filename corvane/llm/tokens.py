@@ -4,7 +4,8 @@ Both vocabularies split a text at white space before merging, so a text's ids ar
 those of its chunks (white space, then the bytes up to the next white space) one after
 the other. Chunks repeat; a worker keeps the ids of those it has met, by a 64-bit hash
 of their bytes, and asks the tokenizers library only for new ones, many at a time. The
-store is numpy arrays of some 30 bytes a chunk, emptied when it holds CACHE chunks.
+store is numpy arrays of some 50 bytes a chunk; when it holds CACHE chunks, those met
+once only are dropped, and all of them if that is not enough.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute
 
 from . import textkit as tk
 
-CACHE = 800_000
+CACHE = 1_200_000
 #: Code points of Unicode White_Space beyond ASCII, which the vocabularies' patterns mean by \\s.
 _WIDE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _MARK = "|"
@@ -63,8 +64,22 @@ class Encoder:
         self.entry = np.zeros(0, np.int64)
         self.starts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
+    def _trim(self) -> None:
+        """Keep the chunks that were met more than once, or none if those fill half of the store."""
+        keep = self.uses > 1
+        if 2 * int(keep.sum()) > CACHE:
+            return self._forget()
+        counts, starts = self.counts[keep], self.starts[keep]
+        ends = np.cumsum(counts)
+        self.pool = self.pool[np.arange(int(counts.sum())) + np.repeat(starts - (ends - counts), counts)]
+        place = np.cumsum(keep) - 1
+        stay = keep[self.entry]
+        self.known, self.entry = self.known[stay], place[self.entry[stay]]
+        self.starts, self.counts, self.uses = ends - counts, counts, np.ones(len(counts), np.int64)
+
     def _alone(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
@@ -95,6 +110,7 @@ class Encoder:
         base = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
+        self.uses = np.concatenate([self.uses, np.zeros(len(order), np.int64)])
         self.pool = np.concatenate([self.pool, ids])
         known = np.concatenate([self.known, hashes[order]])
         entry = np.concatenate([self.entry, np.arange(base, base + len(order))])
@@ -119,7 +135,7 @@ class Encoder:
         fresh = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, bool)
         distinct, example = ordered[fresh], order[fresh]
         if len(self.known) > CACHE:
-            self._forget()
+            self._trim()
         at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
@@ -131,6 +147,8 @@ class Encoder:
                 joins &= marks[low] == marks[high]
             self._learn(distinct[new], [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], joins)
             at = np.searchsorted(self.known, distinct)
+        if len(ordered):
+            self.uses[self.entry[at]] += np.diff(np.append(np.flatnonzero(fresh), len(ordered)))
         entry = np.empty(len(hashes), np.int64)
         entry[order] = self.entry[at][np.cumsum(fresh) - 1] if len(ordered) else 0
         counts = self.counts[entry]
