@@ -1,8 +1,8 @@
 """Operator 6, PII: a semi-Markov conditional random field over fixed base patterns.
 
 The base patterns find plain e-mail addresses, IPv4 addresses, card numbers and
-international phone numbers; what they find stays as it is. Around digits and at signs
-that they leave, a semi-Markov CRF reads the text as tokens and scores whole spans of up
+international phone numbers; what they find stays as it is. Around digits, at signs
+and spelt-out ats that they leave, a semi-Markov CRF reads the text as tokens and scores whole spans of up
 to MAX_TOKENS tokens as a type or single tokens as other text. Features look at the span
 as a whole: groups of digits and their lengths, separators, checksum, octet ranges,
 domain ending, and the words before it. Dynamic programming over span ends chooses
@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MAX_TOKENS = 18
 MIN_PROBABILITY = 0.9
-_REACH = 48  # characters around a digit or at sign that the field reads
+_REACH = 48  # characters around a digit or at that the field reads
 
 # fixed values: the base patterns
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -85,11 +85,17 @@ def base_spans(text: str) -> list[Span]:
 # ---- the field
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[ \t]+|[^A-Za-z0-9 \t]")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]\s*(?:at|AT)\s*[\])]")
+_DOMAIN_FORM = r"\s*[a-z0-9-]+(?:\s*(?:\.|[\[({]\s*(?:dot|\.)\s*[\])}]|\sdot\s)\s*[a-z0-9-]+)+"
+# a digit, an at sign, an at in brackets, or a bare at: every at that _EMAIL_FORM and _AT know
+_TRIGGER = re.compile(r"[0-9@]|[\[({\s]\s*at\s*[\])}\s]", re.I)
 _AT = re.compile(r"@|[\[({ ]\s*at\s*[\])} ]", re.I)
 _DOT = re.compile(r"\.|[\[({ ]\s*(?:dot|\.)\s*[\])} ]", re.I)
-_EMAIL_FORM = re.compile(r"[a-z0-9][a-z0-9._%+-]*\s*(?:@|[\[({]\s*at\s*[\])}]|\sat\s)\s*[a-z0-9-]+(?:\s*(?:\.|[\[({]\s*(?:dot|\.)\s*[\])}]|\sdot\s)\s*[a-z0-9-]+)+", re.I)
+_EMAIL_FORM = re.compile(r"[a-z0-9][a-z0-9._%+-]*\s*(?:@|[\[({]\s*at\s*[\])}]|\sat\s)" + _DOMAIN_FORM, re.I)
+_BRACKET_FORM = re.compile(r"[a-z0-9][a-z0-9._%+-]*\s*[\[({]\s*at\s*[\])}]" + _DOMAIN_FORM, re.I)
+_BARE_FORM = re.compile(r"[a-z0-9][a-z0-9._%+-]*\s+at\s+[a-z0-9-]+(?:\s+dot\s+[a-z0-9-]+)+", re.I)
 _IP_FORM = re.compile(r"[0-9]+(?:(?:\.|\s?\[\.\]\s?|\s?\(\.\)\s?|\s\.\s)[0-9]+){3}")
+# fixed values: endings that domains often have
+_ENDING = re.compile(r"[^a-z0-9](?:com|org|net|edu|gov|info|io|de|uk|fr|eu|example)$", re.I)
 # fixed values: words that often stand before each kind, and before numbers that are none
 _CUES = (
     frozenset("email mail e contact write address reach".split()),
@@ -98,27 +104,37 @@ _CUES = (
     frozenset("tel telephone phone call fax mobile cell ring whatsapp sms".split()),
     frozenset("order invoice no number ref id isbn version v page pages part serial build ticket row total sum date on in token hash commit".split()),
 )
-FEATURES = 48
+FEATURES = 51
+_DIGITS = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[A-Za-z]+")
+_NUMBER_FORM = re.compile(r"[0-9 ().+/-]*")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def tokens(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return [(m.start(), m.end()) for m in _TOKEN.finditer(text, low, high)]
 
 
-def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int) -> list[int]:
-    """Numbers of the whole-span features that hold for tokens i..j-1."""
+def _cues_before(text: str, a: int) -> list[int]:
+    """Numbers of the features of the two words before place a."""
+    before = _LETTERS.findall(text[max(0, a - 24) : a].lower())[-2:]
+    return [40 + k for k, cue in enumerate(_CUES) if any(w in cue for w in before)]
+
+
+def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int, cues: list[int], beside: list[bool]) -> list[int]:
+    """Numbers of the whole-span features that hold for tokens i..j-1; cues and beside are those of the place and of all tokens."""
     a, b = cuts[i][0], cuts[j - 1][1]
     span = text[a:b]
-    groups = re.findall(r"[0-9]+", span)
+    groups = _DIGITS.findall(span)
     digits = "".join(groups)
     n = len(digits)
-    letters = any(c.isalpha() for c in span)
+    letters = any(map(str.isalpha, span))
     out = [0, 1 + min(j - i, 4)]
     out.append(6 + (0 if n == 0 else 1 if n < 7 else 2 if n < 10 else 3 if n < 12 else 4 if n < 14 else 5 if n < 17 else 6 if n < 20 else 7))
     out.append(14 + min(len(groups), 5))
     if letters:
         out.append(20)
-    if not letters and re.fullmatch(r"[0-9 ().+/-]*", span):
+    if not letters and _NUMBER_FORM.fullmatch(span):
         out.append(21)
     if not span[0].isalnum() and span[0] not in "+(":
         out.append(22)
@@ -128,9 +144,10 @@ def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int) -> list[in
         out.append(24)
     if span[0] == "(":
         out.append(25)
-    if _EMAIL_FORM.fullmatch(span):
+    at = "@" in span or "at" in span.lower()
+    if at and _EMAIL_FORM.fullmatch(span):
         out.append(26 if re.search(r"[a-z]{2,}$", span, re.I) else 27)
-    if _IP_FORM.fullmatch(span):
+    if len(groups) == 4 and _IP_FORM.fullmatch(span):
         out.append(28 if all(len(g) < 4 and int(g) < 256 for g in groups) else 29)
     if 14 <= n <= 19 and not letters:
         out.append(30 if luhn(digits) else 31)
@@ -139,7 +156,7 @@ def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int) -> list[in
         out.append(32)
     if shape in ((4, 4, 4, 4), (4, 6, 5)):
         out.append(33)
-    marks = set(re.sub(r"[A-Za-z0-9]", "", span))
+    marks = set(span) - _ALNUM
     if marks == {"-"}:
         out.append(34)
     if marks == {"."}:
@@ -148,18 +165,24 @@ def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int) -> list[in
         out.append(36)
     if "/" in marks or ":" in marks or "," in marks:
         out.append(37)
-    if i and text[cuts[i - 1][0] : cuts[i - 1][1]].strip(" \t").isalnum():
+    if i and beside[i - 1]:
         out.append(38)
-    if j < len(cuts) and text[cuts[j][0] : cuts[j][1]].strip(" \t").isalnum():
+    if j < len(cuts) and beside[j]:
         out.append(39)
-    before = re.findall(r"[A-Za-z]+", text[max(0, a - 24) : a].lower())[-2:]
-    out += [40 + k for k, cue in enumerate(_CUES) if any(w in cue for w in before)]
-    if _AT.search(span) and _DOT.search(span):
+    out += cues
+    if at and _AT.search(span) and _DOT.search(span):
         out.append(45)
     if n and letters:
         out.append(46)
     if a and text[a - 1] in "._%+-@":
         out.append(47)
+    bare = at and bool(_BARE_FORM.fullmatch(span))
+    if bare or at and _BRACKET_FORM.fullmatch(span):
+        out.append(48)
+        if bare:
+            out.append(49)
+        if _ENDING.search(span):
+            out.append(50)
     return out
 
 
@@ -171,6 +194,8 @@ class Region:
         self.spans: list[tuple[int, int]] = []
         self.rows: list[list[int]] = []
         self.ending: list[list[int]] = [[] for _ in range(n + 1)]
+        cues = [_cues_before(text, a) for a, _ in cuts]
+        beside = [text[a:b].strip(" \t").isalnum() for a, b in cuts]
         for j in range(1, n + 1):
             for i in range(max(0, j - MAX_TOKENS), j):
                 first, last = text[cuts[i][0]], text[cuts[j - 1][1] - 1]
@@ -178,11 +203,11 @@ class Region:
                     continue  # such a span is no entity; single tokens stay possible
                 self.ending[j].append(len(self.spans))
                 self.spans.append((i, j))
-                self.rows.append(_features(text, cuts, i, j))
+                self.rows.append(_features(text, cuts, i, j, cues[i], beside))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Score of each span as each kind; only single tokens can be other text."""
-        out = np.stack([weights[rows].sum(0) for rows in self.rows])
+        out = np.add.reduceat(weights[np.concatenate(self.rows)], np.cumsum([0, *map(len, self.rows[:-1])]))
         for s, (i, j) in enumerate(self.spans):
             if j - i > 1:
                 out[s, OTHER] = -np.inf

@@ -323,6 +323,27 @@ def test_pii_field_on_unseen_sentences():
     assert hit / (hit + miss) >= 0.7 and false <= 0.05 * hit
 
 
+def test_pii_field_reads_every_spelt_out_at(monkeypatch):
+    weights = pii.train(pii.training_sentences())
+    # no digit and no at sign opens a window here
+    for text, address in (
+        ("write to jo.mi at quta dot com now", "jo.mi at quta dot com"),
+        ("Contact jomi AT staein dot example for more", "jomi AT staein dot example"),
+        ("so lomi{at}quta.com please", "lomi{at}quta.com"),
+        ("so lomi [At] quta [dot] com please", "lomi [At] quta [dot] com"),
+        ("so lomi ( aT ) quta.org please", "lomi ( aT ) quta.org"),
+    ):
+        assert [text[a:b] for a, b, _ in pii.added_spans(text, [], weights)] == [address]
+        assert pii.masked(text, weights) == text.replace(address, "<EMAIL>")
+    for text in ("we met at home. Then it rained", "look at the red dot in the corner", "at the end"):
+        assert pii.added_spans(text, [], weights) == []
+    # the windows lose nothing that the field finds in whole texts
+    texts = [t for t, _ in pii.training_sentences(200, seed=41)] + [re.sub("[0-9@]", "", t) for t, _ in pii.training_sentences(200, seed=42)]
+    found = [pii.added_spans(t, pii.base_spans(t), weights) for t in texts]
+    monkeypatch.setattr(pii, "_TRIGGER", re.compile(r"(?s:.)"))
+    assert found == [pii.added_spans(t, pii.base_spans(t), weights) for t in texts]
+
+
 def test_pii_rows(spark):
     rows = [*EDGE, (60, "mail a.b@c.de or 1.2.3.4 or 4111 1111 1111 1111 or +1 (555) 555-1234", None, None), (61, "write to jo.mi (at) quta dot com now", None, None)]
     got = {r["doc_id"]: r for r in pii.find_pii(table(spark, rows)).collect()}
