@@ -33,7 +33,7 @@ MIN_PROBABILITY = 0.5
 TREES = 40
 DEPTH = 8
 _SLICE = 6 << 20
-_LONG_WORD = 16
+_LONG_WORD = 15  # bytes of the shortest finding without a telling name: xoxb- and ten more
 
 # fixed values: prefixes and headers of well-known credentials, and names of secrets
 _RULES = (
@@ -47,7 +47,7 @@ _RULES = (
     ("assigned", re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.~!@$%^&*-]{8,}={0,2})")),
     ("long_token", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")),
 )
-_NAMES = (b"passw", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"-----begin")
+_NAMES = (b"passw", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"-----begin", "\u017f".encode(), "\u212a".encode())  # the last two equal s and k without case
 _GOOD = frozenset("password passwd pwd secret token key api apikey auth bearer credential credentials access private aws client".split())
 _BAD = frozenset("example sample test dummy placeholder sha sha1 sha256 md5 hash checksum commit digest uuid guid id image file path url build version integrity etag your insert changeme".split())
 _WORDS = frozenset("the and for that with this from have not are was but you all can her his one our out day get has him how man new now old see two way who boy did its let put say she too use user name path file test example sample data value string index table local home main src lib bin usr var etc www http https com org net html json xml config default system server client password secret token key".split())
@@ -195,12 +195,15 @@ def fit(findings: list[tuple[str, Finding, int]] | None = None) -> Forest:
 
 
 def _suspects(texts: pa.Array) -> np.ndarray:
-    """Texts in which a rule could find anything: a telling name, or a long word that is not plain lower case."""
+    """Texts in which a rule could find anything: a telling name, or a long word with a digit, or with a capital, dash or line after its first character."""
     buf, offsets = tk.text_buffer(texts)
     starts, ends, words = tk.word_spans(buf, offsets)
-    odd = ((buf >= 48) & (buf <= 57)) | ((buf >= 65) & (buf <= 90)) | (buf == 95) | (buf == 45)
+    digit = (buf >= 48) & (buf <= 57)
+    odd = digit | ((buf >= 65) & (buf <= 90)) | (buf == 95) | (buf == 45)
     sums = np.concatenate(([0], np.cumsum(odd)))
-    long = (ends - starts >= _LONG_WORD) & (sums[ends] > sums[np.minimum(starts + 1, ends)])
+    digits = np.concatenate(([0], np.cumsum(digit)))
+    # a capital, dash or line in first place is no sign: every rule then wants another odd character
+    long = (ends - starts >= _LONG_WORD) & ((sums[ends] > sums[np.minimum(starts + 1, ends)]) | (digits[ends] > digits[starts]))
     upto = np.concatenate(([0], np.cumsum(long)))
     out = upto[words[1:]] > upto[words[:-1]]
     data = tk.LOWER[buf].tobytes()

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from compare import duck, same
 from hypothesis import given, settings
@@ -367,6 +368,18 @@ def test_secrets(spark):
     assert got[70]["secret_sha256"] == hashlib.sha256(key.encode()).hexdigest()
 
 
+def test_secret_prefilter_loses_nothing():
+    rnd = random.Random(8)
+    pieces = ["xoxb-abcdefghij", "9" + "abcdefghijklmnopqrst", "abcdefghijklmnopqrst9", "/" * 19 + "1", "AKIA" + "B" * 16, "ghp_" + "a" * 36, "AIza" + "b" * 35, "sk_live_" + "c" * 16, "eyJabcdefgh.abcdefgh.abcdefgh",
+              "-----BEGIN PRIVATE KEY-----", "PWD=abcdefgh", "\u017fecret=abcdefgh", "to\u212aen: abcdefgh", "access-key := abcdefgh", "Internationalisation", "plain", "é", "0", "=", "(", "\n", " ", " "]
+    texts = ["", *pieces, *("".join(rnd.choices(pieces, k=rnd.randint(1, 5))) for _ in range(3000))]
+    texts += [t for t, _, _ in secret_scan.labelled_findings(1000, seed=5)]
+    texts += [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if r]
+    suspects = secret_scan._suspects(pa.array(texts))
+    assert [t for t, s in zip(texts, suspects, strict=True) if not s and secret_scan.candidates(t)] == []
+    assert not secret_scan._suspects(pa.array(["Internationalisation of plain words"]))[0]
+
+
 def test_topk(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(700)]
