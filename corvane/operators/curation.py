@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions import kernels
 from corvane.functions import text as tx
 
-from .selection import MAX_SEQUENTIAL, hash_order
+from .selection import hash_order, in_one_task
 
 
 def admitted_positives(df: DataFrame, sequence: str, described: Column, terms: Sequence[str], reviewed: Column, sites: Column, lengths: tuple[int, int], longest_repeat: int, order: str) -> DataFrame:
@@ -89,29 +90,30 @@ def capacity_match(negatives: DataFrame, positives: DataFrame, id_n: str, id_p:
     """Each negative in hash order with the least used positive of its size, else within 5 percent or 5, until uses run out.
 
     Every choice depends on those before it, so the fold runs in one task over ids and
-    sizes alone; their number is checked.
+    sizes alone: it holds the positives that have uses left, and streams the negatives.
     """
-    n, p = negatives.count(), positives.count()
-    if n + p > MAX_SEQUENTIAL:
-        raise ValueError(f"{n + p} rows are too many for a step-by-step match; partition them first")
-    rows = negatives.select(F.lit(0).alias("side"), F.col(id_n).cast("string").alias("id"), F.col(size).cast("long").alias("size")).union(positives.select(F.lit(1), F.col(id_p).cast("string"), F.col(size).cast("long")))
-    rows = rows.withColumn("o", hash_order(seed, "side", "id")).withColumn("all", F.lit(0))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o")
-        pool: dict[int, list[list]] = {}
-        for r in part[part.side == 1].itertuples():
-            pool.setdefault(r.size_, []).append([0, r.o, r.id])
-        out = []
-        for r in part[part.side == 0].itertuples():
-            free = [x for x in pool.get(r.size_, ()) if x[0] < uses]
-            if not free:
+    rows = negatives.select(F.lit(0).alias("side"), F.col(id_n).cast("string").alias("id"), F.col(size).cast("long").alias("size_")).union(positives.select(F.lit(1), F.col(id_p).cast("string"), F.col(size).cast("long")))
+    rows = rows.filter("size_ IS NOT NULL").withColumn("o", hash_order(seed, "side", "id"))
+
+    def fold(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pool: dict[int, list[tuple[int, str, str]]] = {}  # a heap of (uses, order, id) for each size
+        for part in chunks:
+            out = []
+            for r in part.itertuples():
+                if r.side:
+                    if uses > 0:
+                        heapq.heappush(pool.setdefault(r.size_, []), (0, r.o, r.id))
+                    continue
                 near = max(5, round(r.size_ * 0.05))
-                free = [x for s, xs in pool.items() if abs(s - r.size_) <= near for x in xs if x[0] < uses]
-            if free:
-                best = min(free)
-                best[0] += 1
-                out.append((r.id, best[2]))
-        return pd.DataFrame(out, columns=["negative", "positive"])
-
-    return rows.withColumnRenamed("size", "size_").groupBy("all").applyInPandas(fold, "negative string, positive string")
+                sizes = [r.size_] if r.size_ in pool else [s for s in range(r.size_ - near, r.size_ + near + 1) if s in pool] if 2 * near < len(pool) else [s for s in pool if abs(s - r.size_) <= near]
+                if sizes:
+                    s = min(sizes, key=lambda s: pool[s][0])
+                    used, o, name = heapq.heappop(pool[s])
+                    if used + 1 < uses:
+                        heapq.heappush(pool[s], (used + 1, o, name))
+                    elif not pool[s]:
+                        del pool[s]
+                    out.append((r.id, name))
+            yield pd.DataFrame(out, columns=["negative", "positive"])
+
+    return in_one_task(rows, [F.desc("side"), F.col("o")], "negative string, positive string", fold)

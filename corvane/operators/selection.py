@@ -1,21 +1,21 @@
 """Ranking, capped selection, Pareto fronts and greedy picks.
 
 Rank- and cap-based selections are windows. Selections whose every step depends on all
-picks before it (several caps at once, minimum distances, farthest-first, leaders) first
-shrink in parallel to a candidate set of bounded size, which is checked, and then run
-over that set in one task.
+picks before it sort in parallel and then read the rows in order, in bounded chunks,
+carrying caps and picks: on the driver, up to the last pick (several caps at once,
+minimum distances, fewest uses), or as one stream (leaders). Farthest-first makes one
+distributed pass a pick. None has a limit on its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import itertools
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-
-#: Most rows that a step-by-step selection takes into one task.
-MAX_SEQUENTIAL = 200_000
+from pyspark.sql.types import StructType
 
 
 class Shortfall(ValueError):
@@ -60,38 +60,39 @@ def round_robin(df: DataFrame, source: str, order: Sequence[Column], cap: int, t
     return out.orderBy("turn", source).limit(top)
 
 
-def _sequential(df: DataFrame, order: Sequence[Column], schema: str, pick: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    n = df.count()
-    if n > MAX_SEQUENTIAL:
-        raise ValueError(f"{n} candidates are too many for a step-by-step selection; narrow them first")
-    one = df.withColumn("_place", F.row_number().over(Window.orderBy(*order))).withColumn("_all", F.lit(0))
-    return one.groupBy("_all").applyInPandas(lambda rows: pick(rows.sort_values("_place").drop(columns=["_place", "_all"]).reset_index(drop=True)), schema)
+def _in_order(df: DataFrame, order: Sequence[Column]) -> Iterator[Row]:
+    """All rows in order on the driver, one sorted partition at a time, as far as the caller reads."""
+    return df.orderBy(*order).toLocalIterator()
+
+
+def _rows(df: DataFrame, rows: list[Row]) -> DataFrame:
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], df.schema)
+
+
+def in_one_task(df: DataFrame, order: Sequence[Column], schema: str | StructType, fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
+    """A fold over all rows in order, in bounded chunks of one sorted stream; the fold carries its state."""
+    return df.repartition(1).sortWithinPartitions(*order).mapInPandas(fold, schema)
 
 
 def multi_capped(df: DataFrame, caps: dict[str, int], order: Sequence[Column], top: int, strict: bool = False) -> DataFrame:
     """Greedy: take a row if no key of it has reached its cap yet, until there are `top`.
 
     A row beyond a key's cap by rank among rows of equal first-cap key can still be
-    taken once others are refused, so only the total size is bounded, not each group.
+    taken once others are refused, so rows are read in order until there are enough.
     """
-    schema = df.schema
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict[tuple[str, object], int] = {}
-        out = []
-        for i, row in enumerate(rows[list(caps)].itertuples(index=False)):
-            keys = list(zip(caps, row, strict=True))
-            if all(used.get(k, 0) < caps[k[0]] for k in keys):
-                out.append(i)
-                for k in keys:
-                    used[k] = used.get(k, 0) + 1
-                if len(out) == top:
-                    break
-        if strict and len(out) < top:
-            raise Shortfall(f"needed {top}, selected {len(out)}")
-        return rows.iloc[out]
-
-    return _sequential(df, order, schema, pick)
+    used: dict[tuple[str, object], int] = {}
+    out: list[Row] = []
+    for row in _in_order(df, order):
+        keys = [(k, row[k]) for k in caps]
+        if all(used.get(k, 0) < caps[k[0]] for k in keys):
+            out.append(row)
+            for k in keys:
+                used[k] = used.get(k, 0) + 1
+            if len(out) == top:
+                break
+    if strict and len(out) < top:
+        raise Shortfall(f"needed {top}, selected {len(out)}")
+    return _rows(df, out)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -110,69 +111,71 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 def spread_panel(df: DataFrame, text: str, order: Sequence[Column], least: int, top: int) -> DataFrame:
     """Greedy: take a row if its text is at least `least` edits from every row taken before."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        for i, s in enumerate(rows[text]):
-            if all(edit_distance(s, rows[text][j], least - 1) >= least for j in taken):
-                taken.append(i)
-                if len(taken) == top:
-                    break
-        return rows.iloc[taken]
-
-    return _sequential(df, order, df.schema, pick)
+    taken: list[Row] = []
+    for row in _in_order(df, order):
+        if all(edit_distance(row[text], r[text], least - 1) >= least for r in taken):
+            taken.append(row)
+            if len(taken) == top:
+                break
+    return _rows(df, taken)
 
 
 def leaders(df: DataFrame, text: str, order: Sequence[Column], most: int) -> DataFrame:
     """Leader clustering: a row joins the first leader within `most` edits or becomes one. Adds `leader` (a rank)."""
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        heads: list[int] = []
-        own = []
-        for i, s in enumerate(rows[text]):
-            found = next((k for k, j in enumerate(heads) if edit_distance(s, rows[text][j], most) <= most), None)
-            if found is None:
-                heads.append(i)
-                found = len(heads) - 1
-            own.append(found)
-        return rows.assign(leader=own)
+    def fold(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads: list[str] = []
+        for rows in chunks:
+            own = []
+            for s in rows[text]:
+                found = next((k for k, h in enumerate(heads) if edit_distance(s, h, most) <= most), None)
+                if found is None:
+                    heads.append(s)
+                    found = len(heads) - 1
+                own.append(found)
+            yield rows.assign(leader=own)
 
-    return _sequential(df, order, df.withColumn("leader", F.lit(0).cast("long")).schema, pick)
+    return in_one_task(df, order, df.withColumn("leader", F.lit(0).cast("long")).schema, fold)
 
 
 def farthest_first(df: DataFrame, grams: str, order: Sequence[Column], top: int) -> DataFrame:
-    """Start with the first row; each next row has the smallest largest Jaccard similarity to those taken."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [set(g) for g in rows[grams]]
-        near = [0.0] * len(sets)
-        taken = [0] if len(sets) else []
-        while len(taken) < min(top, len(sets)):
-            last = sets[taken[-1]]
-            for i, s in enumerate(sets):
-                both = len(s & last)
-                near[i] = max(near[i], both / ((len(s) + len(last) - both) or 1))
-            taken.append(min((i for i in range(len(sets)) if i not in set(taken)), key=lambda i: (near[i], i)))
-        return rows.iloc[taken]
-
-    return _sequential(df, order, df.schema, pick)
+    """Start with the first row; each next row has the smallest largest Jaccard similarity to those taken. One distributed pass a pick."""
+    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_set", F.array_distinct(grams)).withColumn("_near", F.lit(0.0)).persist()
+    kind = rows.schema["_set"].dataType.simpleString()
+    taken: list[Row] = []
+    try:
+        while len(taken) < top:
+            near = F.col("_near")
+            for r in taken:
+                last = F.array(*(F.lit(g) for g in r["_set"])).cast(kind)
+                both = F.size(F.array_intersect("_set", last))
+                near = F.greatest(near, both / F.greatest(F.size("_set") + F.lit(len(r["_set"])) - both, F.lit(1)))
+            free = rows.filter(~F.col("_id").isin([r["_id"] for r in taken])) if taken else rows
+            found = free.withColumn("_near", near).orderBy("_near", *order).limit(1).collect()
+            if not found:
+                break
+            taken += found
+    finally:
+        rows.unpersist()
+    return df.sparkSession.createDataFrame([tuple(r)[: len(df.columns)] for r in taken], df.schema)
 
 
 def least_used(df: DataFrame, group: str, kind: str, order: Sequence[Column], top: int) -> DataFrame:
-    """One row of each group in order: of the kind least used so far, ties by name."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict[str, int] = {}
-        out = []
-        for _, part in rows.groupby(group, sort=False):
-            i = min(part.index, key=lambda k: (used.get(part.at[k, kind], 0), part.at[k, kind]))
-            used[part.at[i, kind]] = used.get(part.at[i, kind], 0) + 1
-            out.append(i)
-            if len(out) == top:
-                break
-        return rows.loc[out]
+    """One row of each group in order: of the kind least used so far, ties by name.
 
-    return _sequential(df, order, df.schema, pick)
+    Every group gives one row, so the first `top` groups are all that is needed, and of
+    them the first row of each kind.
+    """
+    heads = top_per_group(df.filter(F.col(group).isNotNull()), [group], order, 1).orderBy(*order).limit(top).select(group).collect()
+    out: list[Row] = []
+    used: dict[str, int] = {}
+    turn = F.array_position(F.array(*(F.lit(r[0]) for r in heads)), F.col(group)) if heads else F.lit(1)
+    some = df.filter(F.col(group).isin([r[0] for r in heads])).withColumn("_turn", turn)
+    for _, rows in itertools.groupby(_in_order(top_per_group(some, [group, kind], order, 1), [F.col("_turn")]), key=lambda r: r["_turn"]):
+        row = min(rows, key=lambda r: (used.get(r[kind], 0), r[kind]))
+        used[row[kind]] = used.get(row[kind], 0) + 1
+        out.append(row)
+    return df.sparkSession.createDataFrame([tuple(r)[: len(df.columns)] for r in out], df.schema)
 
 
 def pareto_front(df: DataFrame, id_col: str, axes: Sequence[str], within: Sequence[str] = ()) -> DataFrame:

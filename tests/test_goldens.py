@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import kernels, scores
 from corvane.functions import text as tx
-from corvane.operators import datasets, pairs, selection, stats
+from corvane.operators import curation, datasets, pairs, selection, stats
 from corvane.operators.structure import triads
 from corvane.sources import records
 from corvane.streaming import telemetry
@@ -204,3 +204,20 @@ def test_empty_frames(spark):
     assert selection.multi_capped(empty, {"a": 1}, [F.col("id")], 3).count() == 0
     assert selection.pareto_front(empty, "id", ["a", "b"]).count() == 0
     assert pairs.preference_pairs(empty, "id", "text", ["a"], [], ["score"], "score").count() == 0
+
+
+def test_step_by_step_selections_take_more_than_200_000_rows(spark):
+    n = 250_000
+    late = F.col("id") >= n - 2  # what is picked last stands last
+    df = spark.range(n).withColumn("a", F.when(late, F.col("id")).otherwise(0)).withColumn("text", F.when(late, F.concat(F.lit("zzzzzzzz"), F.col("id"))).otherwise("aa"))
+    ends = [0, n - 2, n - 1]
+    assert [r["id"] for r in selection.multi_capped(df, {"a": 1}, [F.col("id")], 3).collect()] == ends
+    assert [r["id"] for r in selection.spread_panel(df, "text", [F.col("id")], 1, 3).collect()] == ends
+    lead = {(r["leader"], r["n"]) for r in selection.leaders(df, "text", [F.col("id")], 0).groupBy("leader").agg(F.count("*").alias("n")).collect()}
+    assert lead == {(0, n - 2), (1, 1), (2, 1)}
+    grams = df.withColumn("grams", F.split("text", ""))
+    assert [r["id"] for r in selection.farthest_first(grams, "grams", [F.col("id")], 3).collect()] == [0, n - 2, n - 1]
+    assert [r["id"] for r in selection.least_used(df, "a", "text", [F.col("id")], 3).collect()] == ends
+    sizes = df.select("id", F.lit(50).alias("size"))
+    got = curation.capacity_match(sizes.limit(130_000), sizes.limit(100_000), "id", "id", "size", 2, "m").groupBy("positive").count().agg(F.sum("count"), F.max("count")).first()
+    assert tuple(got) == (130_000, 2)
