@@ -168,7 +168,7 @@ def sign_test_probability(spark, sf_dir):
 
 @register("hierarchical_bootstrap")
 def hierarchical_bootstrap(spark, sf_dir):
-    return stats.seed_bootstrap(_deltas(spark, sf_dir), "model", "seed", "delta", 2000, "b")
+    return stats.seed_bootstrap(_deltas(spark, sf_dir), "model", "seed", "delta", 10_000, "b")
 
 
 @register("preference_loss", "SELECT l_returnflag, round(avg(CASE WHEN v >= 0 THEN ln(1 + exp(-v)) ELSE -v + ln(1 + exp(v)) END), 8) AS loss, round(avg((v > 0)::INT), 6) AS accuracy FROM (SELECT l_returnflag, 0.1 * (l_quantity - 25) AS v FROM lineitem) GROUP BY 1")

@@ -11,6 +11,7 @@ from corvane.functions import kernels, scores
 from corvane.functions import text as tx
 from corvane.operators import curation, datasets, pairs, selection, stats
 from corvane.operators.structure import triads
+from corvane.plans import catalog
 from corvane.sources import records
 from corvane.streaming import telemetry
 
@@ -221,3 +222,7 @@ def test_step_by_step_selections_take_more_than_200_000_rows(spark):
     sizes = df.select("id", F.lit(50).alias("size"))
     got = curation.capacity_match(sizes.limit(130_000), sizes.limit(100_000), "id", "id", "size", 2, "m").groupBy("positive").count().agg(F.sum("count"), F.max("count")).first()
     assert tuple(got) == (130_000, 2)
+
+
+def test_bootstrap_query_draws_as_many_samples_as_the_reference(spark):
+    assert catalog.queries()["hierarchical_bootstrap"](spark, "/root/testdata/sf0.001").first()["samples"] == 10_000
