@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,30 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, is a local folder made and set.
+    Where the session names none, a local master gets a folder of its own: driver and
+    executors are one process there. On a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         root = context.getCheckpointDir().get()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read again: its lineage ends there."""
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, into: str | None = None) -> DataFrame:
+    """df, written once to the shared folder (or a folder in it) and read again: its lineage ends there, and its shuffle files go."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    release(spark)
+    path = f"{into}/{name}-{uuid.uuid4().hex}" if into else scratch(spark, name)
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that nothing refers to any more, instead of at its next timed sweep."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables that no result reads any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -59,8 +77,9 @@ def batches_and_shards(docs: DataFrame, text: str = "text", batch_bytes: int = B
     return max(least, -(-total // batch_bytes)), max(least, -(-total // shard_bytes))
 
 
-def batch_key(count: int, id_col: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(count)).cast("int")
+def batch_key(count: int) -> Column:
+    """The batch of a row, by id and text: rows without an id, or of one id, spread over the batches."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")
 
 
 def id_crc(id_col: str, modulus: int) -> Column:

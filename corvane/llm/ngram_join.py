@@ -104,13 +104,11 @@ def _send(shards: int, n: int):
     def send(key: Key, table: pa.Table) -> pa.Table:
         _, grams, bounds = _shingles(table, n)
         values, counts = _distinct_counts(grams, bounds, _leaders(_set_hashes(grams, bounds), bounds))
-        edges = tk.shard_bounds(values, shards)
+        found, edges = tk.shard_bounds(values, shards)
         rows = []
-        for s in range(shards):
-            low, high = int(edges[s]), int(edges[s + 1])
-            if low < high:
-                first, width, payload = tk.pack_sorted(values[low:high])
-                rows.append((s, key[0].as_py(), first, width, high - low, payload, counts[low:high].tobytes()))
+        for s, low, high in zip(found.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            first, width, payload = tk.pack_sorted(values[low:high])
+            rows.append((s, key[0].as_py(), first, width, high - low, payload, counts[low:high].tobytes()))
         kinds = {"shard": pa.int32(), "batch": pa.int32(), "first": pa.int64(), "width": pa.int32(), "n": pa.int64(), "payload": pa.binary(), "counts": pa.binary()}
         return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
 
@@ -165,10 +163,12 @@ def _describe(shards: int, n: int, threshold: int):
             sets = _set_hashes(grams, bounds)
             leaders = _leaders(sets, bounds)
             values, _ = _distinct_counts(grams, bounds, leaders)
-            edges = tk.shard_bounds(values, shards)
+            found, edges = tk.shard_bounds(values, shards)
+            place = dict(zip(found.tolist(), edges[:-1].tolist(), strict=True))
             classes = np.zeros(len(values), dtype=np.uint8)
             for r in answers.to_pylist():
-                classes[edges[r["shard"]] : edges[r["shard"] + 1]] = np.frombuffer(r["classes"], np.uint8)
+                own = np.frombuffer(r["classes"], np.uint8)
+                classes[place[r["shard"]] : place[r["shard"]] + len(own)] = own
             kinds = classes[np.searchsorted(values, grams >> np.uint64(16))] if len(values) else np.zeros(len(grams), np.uint8)
             shared = np.concatenate(([0], np.cumsum(kinds > 0)))
             sizes = np.diff(bounds)

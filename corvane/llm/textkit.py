@@ -17,10 +17,10 @@ SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_CHUNK = 1 << 20
-_LONG_WORD = 1 << 16
+_LONG_WORD = 1 << 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_tables: dict[str, np.ndarray] = {}
+#: Which bits of eight little-endian bytes the first k of them fill.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,18 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not _tables:
-        n = _CHUNK + _LONG_WORD + 1
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for name, base in (("power", _BASE), ("inverse", inverse)):
-            steps = np.full(n, base, dtype=np.uint64)
-            steps[0] = 1
-            _tables[name] = np.cumprod(steps, dtype=np.uint64)
-        _tables["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-    return _tables["power"], _tables["inverse"], _tables["byte"]
-
-
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n+1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,49 +65,55 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def eight_bytes(buf: np.ndarray) -> np.ndarray:
+    """A view that holds, for each place of the buffer, the eight bytes from there on as one number (zeros behind the end)."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    power, inverse, of_byte = _power_tables()
-    out = np.empty(len(starts), dtype=np.uint64)
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+    Eight bytes at a time go through the finaliser, which permutes 64-bit numbers: words
+    of up to eight bytes and one length never collide, longer ones as random numbers do.
+    """
     lengths = ends - starts
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, low + _CHUNK)))
-        s, e = starts[at:to], ends[at:to]
-        fits = e - s < _LONG_WORD
-        high = int(e[fits].max()) if fits.any() else low
-        codes = of_byte[buf[low:high]] * power[: high - low]
-        sums = np.zeros(high - low + 1, dtype=np.uint64)
-        np.cumsum(codes, out=sums[1:])
-        s, e = s - low, np.minimum(e, high) - low
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
-        at = to
-    for i in np.flatnonzero(lengths >= _LONG_WORD):
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    at = eight_bytes(buf)
+    out = mix((at[starts] & FIRST_BYTES[np.minimum(lengths, 8)]) ^ lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    rest = np.flatnonzero((lengths > 8) & (lengths <= _LONG_WORD))
+    done = 8
+    while len(rest):
+        left = lengths[rest] - done
+        out[rest] = mix(out[rest] * _BASE + (at[starts[rest] + done] & FIRST_BYTES[np.minimum(left, 8)]))
+        done += 8
+        rest = rest[left > 8]
+    for i in np.flatnonzero(lengths > _LONG_WORD):
         out[i] = xxhash.xxh64_intdigest(buf[starts[i] : ends[i]].tobytes())
-    return mix(out ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return out
 
 
 def rolling(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hash of the n values from each position on (length len-n+1, or empty)."""
+    """Hash of the n values from each position on (length len-n+1, or empty), mixed anew at each doubling."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
-    base = int(mix(np.array([seed * 2 + 1], np.uint64))[0]) | 1
+    base = mix(np.array([seed * 2 + 1], np.uint64))[0] | np.uint64(1)
     out, done = None, 0
     run, width = mix(hashes ^ np.uint64(seed * 0x51ED27 & (1 << 63) - 1)), 1
     rest = n
     while rest:
         if rest & 1:
-            part = run
             if out is None:
-                out, done = part, width
+                out, done = run, width
             else:
                 m = len(hashes) - done - width + 1
-                out = out[:m] * np.uint64(pow(base, width, 1 << 64)) + part[done : done + m]
+                out = mix(out[:m] * base + run[done : done + m])
                 done += width
         rest >>= 1
         if rest:
-            run = run[:-width] * np.uint64(pow(base, width, 1 << 64)) + run[width:]
+            run = mix(run[:-width] * base + run[width:])
             width *= 2
     return mix(out)
 
@@ -168,7 +162,9 @@ def unpack_sorted(first: int, width: int, payload: bytes, count: int) -> np.ndar
     return out
 
 
-def shard_bounds(values: np.ndarray, shards: int, bits: int = 48) -> np.ndarray:
-    """Where each of the equal ranges of a bits-wide hash space begins among the sorted values (shards+1)."""
-    edges = np.array([(i << bits) // shards for i in range(shards)], dtype=np.uint64)
-    return np.append(np.searchsorted(values, edges), len(values))
+def shard_bounds(values: np.ndarray, shards: int, bits: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """The equal ranges of a bits-wide hash space that hold some of the sorted values, and where each begins among them (one more)."""
+    step = min((1 << bits) // shards + 1, (1 << 64) - 1)
+    place = values // np.uint64(step)
+    fresh = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(values) else np.zeros(0, np.int64)
+    return place[fresh].astype(np.int64), np.append(fresh, len(values))

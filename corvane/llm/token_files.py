@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import partitions, scratch
+from .corpus import drop, partitions, scratch
 from .tokens import encoder, slices
 
 END = 2
@@ -181,8 +181,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, bl
     blocks = table.filter("block >= 0").drop("seen", "counts").mapInArrow(_recode(rank_of), _FILE)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([("id", i, r) for r, i in enumerate(ids.tolist())] + [("start", t, b) for t, b in zip(sorted(totals), before, strict=False)], "kind string, key long, value long").coalesce(1).write.parquet(f"{path}/ranks")
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(raw)
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    drop(spark, raw)
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
