@@ -19,9 +19,14 @@ Groups of copies are never expanded into pairs:
 2. the first tokens of each prefix name a head for each set, and set-head pairs are
    verified: near copies become stars, which form first components;
 3. every bucket of the first order that still holds two components has the members
-   outside its largest component compared with all members of other components. That
-   step is exhaustive, so no link between components is lost, and links within a
-   component change nothing.
+   outside its largest component compared with the members of other components, in
+   cells of bounded size that pass all three filters before a pair leaves them, and a
+   pair once however many tokens it shares. Each such member first names its CLOSEST
+   candidates by bitmap; where a cell held more, the step is repeated on the merged
+   components without that limit. So near copies cost a few pairs each, the last step is
+   exhaustive, and no link between components is lost; links within one change nothing.
+
+Sets are compared by the hashes of their shingles, 64 bits a shingle.
 """
 
 from __future__ import annotations
@@ -36,13 +41,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .corpus import batch_key, batches_and_shards, written
+from .corpus import batch_key, batches_and_shards, drop, partitions, scratch, written
 from .graph import components
 
 SHINGLE = 3
 THRESHOLD = 90  # percent
 HEADS = 8  # prefix tokens that name heads in the first round
 BITMAP = 16  # longs
+CLOSEST = 8  # candidates that a set names in the second round
+CELL_BYTES = 4 << 20
+CELL_ROWS = 128
+_EXPAND = 1 << 20  # token matches looked at together in a cell
 
 Key = tuple[pa.Scalar, ...]
 _COUNTS = "shard int, batch int, first long, width int, n long, payload binary, counts binary"
@@ -214,15 +223,112 @@ def _fits(left: str, right: str, threshold: int) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that share prefix tokens under the other orders, too, and then are similar enough."""
-    columns = ("n", "order_2", "order_3", "tokens")
-    left = sets.select(F.col("doc_id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in columns))
-    right = sets.select(F.col("doc_id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in columns))
-    near = pairs.select("a", "b").join(left, "a").join(right, "b")
-    near = near.filter(F.arrays_overlap("a_order_2", "b_order_2")).filter(F.arrays_overlap("a_order_3", "b_order_3"))
+
+    def with_sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(sets.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+        return pairs
+
+    near = with_sides(pairs.select("a", "b"), "order_2", "order_3").filter(F.arrays_overlap("a_order_2", "b_order_2") & F.arrays_overlap("a_order_3", "b_order_3"))
+    near = with_sides(near.select("a", "b").distinct(), "n", "tokens")
     both = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
     return near.filter(both * 100 >= (F.col("a_n") + F.col("b_n") - both) * threshold).select("a", "b")
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a list column in a row, and where each list begins (n+1)."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+
+_NEAR = "a long, b long, cut boolean"
+
+
+def _near(threshold: int, closest: int | None):
+    """Pairs of a cell that pass the three orders, the sizes and the bitmaps, each once; of each left set the closest."""
+
+    def near(key: Key, left: pa.Table, right: pa.Table) -> pa.Table:
+        found: tuple[list, list, list] = ([], [], [])
+        if left.num_rows and right.num_rows:
+            sides = []
+            for t in (left, right):
+                bits = np.stack([t.column(c).to_numpy() for c in _BITS], axis=1).view(np.uint64)
+                sides.append((*(t.column(c).to_numpy() for c in ("doc_id", "n", "component", "most")), bits, *_flat(t.column("shared"))))
+            (ids, n, component, most, bits, tokens, bounds), (r_ids, r_n, r_component, _, r_bits, r_tokens, r_bounds) = sides
+            order = np.argsort(r_tokens, kind="stable")
+            ordered, row = r_tokens[order], np.repeat(np.arange(len(r_ids)), np.diff(r_bounds))[order]
+            low = np.searchsorted(ordered, tokens, side="left")
+            count = np.searchsorted(ordered, tokens, side="right") - low
+            upto = np.concatenate(([0], np.cumsum(count)))
+            prefixes = [[t.column(c).to_pylist() for c in ("order_2", "order_3")] for t in (left, right)]
+            at = 0
+            while at < len(ids):  # some left sets at a time
+                to = max(at + 1, int(np.searchsorted(upto[bounds], upto[bounds[at]] + _EXPAND, side="right")) - 1)
+                part = slice(int(bounds[at]), int(bounds[to]))
+                c = count[part]
+                place = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[part], c)
+                mine = np.repeat(np.repeat(np.arange(at, to), np.diff(bounds[at : to + 1])), c)
+                x, y = np.divmod(np.unique(mine * len(r_ids) + row[place]), len(r_ids))
+                apart = (component[x] != r_component[y]) & ((r_component[y] == most[x]) | (ids[x] < r_ids[y]))
+                apart &= np.minimum(n[x], r_n[y]) * 100 >= np.maximum(n[x], r_n[y]) * threshold
+                x, y = x[apart], y[apart]
+                far = np.zeros(len(x), np.int64)
+                for k in range(BITMAP):
+                    far += np.bitwise_count(bits[x, k] ^ r_bits[y, k])
+                fits = far * (100 + threshold) <= (n[x] + r_n[y]) * (100 - threshold)
+                order = np.lexsort((r_ids[y[fits]], far[fits], x[fits]))
+                last, met, seen = -1, 0, (set(), set())
+                for i, j in zip(x[fits][order].tolist(), y[fits][order].tolist(), strict=True):
+                    if i != last:
+                        last, met, seen = i, 0, tuple(set(p[i]) for p in prefixes[0])
+                    if any(s.isdisjoint(p[j]) for s, p in zip(seen, prefixes[1], strict=True)):
+                        continue
+                    met += 1
+                    if closest is None or met <= closest:
+                        a, b = int(ids[i]), int(r_ids[j])
+                        for out, v in zip(found, (min(a, b), max(a, b), False), strict=True):
+                            out.append(v)
+                    else:
+                        found[2][-1] = True
+                at = to
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64()), "cut": pa.array(found[2], pa.bool_())})
+
+    return near
+
+
+def _apart(posted: DataFrame, components_: DataFrame, threshold: int, closest: int | None, into: str) -> DataFrame:
+    """Candidate pairs of sets in different components that share a prefix token of the first order (_NEAR), written."""
+    known = posted.select("doc_id", "n", *_BITS, "order_1", "order_2", "order_3").join(components_.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    known = known.withColumn("component", F.coalesce("component", "doc_id"))
+    post = known.select("doc_id", "component", F.explode("order_1").alias("token"))
+    members = components_.groupBy("component").agg(F.count("*").alias("members"))
+    sized = post.join(members, "component", "left").withColumn("members", F.coalesce("members", F.lit(1)))
+    mixed = sized.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("members", "component")).alias("most"))
+    mixed = written(mixed.filter("low <> high").select("token", "most"), "mixed", into)
+    # what each set shares with the sets around one largest component; a set's tokens bound the list
+    shared = written(post.join(mixed, "token"), "shared", into).groupBy("most", "doc_id", "component").agg(F.collect_list("token").alias("shared"))
+    rows = written(shared.join(known.drop("component", "order_1"), "doc_id"), "around", into)
+    weight = 8 * (F.size("shared") + F.size("order_2") + F.size("order_3") + BITMAP + 4).cast("long")
+    outside = (F.col("component") != F.col("most")).cast("long")
+    groups = rows.groupBy("most").agg(F.count("*").alias("rows"), F.sum(weight).alias("bytes"), F.sum(outside).alias("left_rows"), F.sum(outside * weight).alias("left_bytes"))
+    total = rows.agg(F.count("*").alias("rows"), F.sum(weight).alias("bytes")).first()
+    spread = partitions(posted.sparkSession)
+    most_rows = min(16 * CELL_ROWS, max(CELL_ROWS, total["rows"] // spread))
+    blocks = lambda r, b: F.greatest(F.lit(1), F.ceil(F.col(r) / most_rows), F.ceil(F.col(b) / CELL_BYTES)).cast("int")
+    groups = groups.select("most", blocks("left_rows", "left_bytes").alias("down"), blocks("rows", "bytes").alias("across"))
+    bins = max(spread, -(-(total["bytes"] or 0) // CELL_BYTES))
+    small = (F.col("down") == 1) & (F.col("across") == 1)
+    name = F.when(small, F.pmod(F.xxhash64("most"), F.lit(bins))).otherwise(F.col("most"))  # small groups share a cell; its tokens keep them apart
+    cells = rows.join(groups, "most").withColumns({"cell": name, "small": small})
+    block = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key, columns = ["cell", "small", "i", "j"], ["cell", "small", "doc_id", "n", "component", "most", *_BITS, "shared", "order_2", "order_3"]
+    left = cells.filter("component <> most").select(*columns, block("down", 1).alias("i"), every("across").alias("j"))
+    right = cells.select(*(F.col(c).alias(c) for c in columns), every("down").alias("i"), block("across", 2).alias("j"))
+    return written(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_near(threshold, closest), _NEAR), "near", into)
+
+
 def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Class of each document under links of Jaccard similarity >= threshold percent over word shingles.
 
@@ -232,7 +338,8 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
 
     Null, empty and blank texts have no shingles and no link. A null doc_id has no
     link and a null component. Rows of equal doc_id count as one node of the graph,
-    with one result row each. An empty table gives an empty result.
+    with one result row each: whatever any of them links with is in one component. An
+    empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     unnamed = docs.filter("doc_id IS NULL").mapInArrow(_count(shingle), "doc_id long, n_shingles long, component_id long")
@@ -242,46 +349,50 @@ def ngram_join(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHO
     by_batch = docs.groupBy("batch")
     counts = by_batch.applyInArrow(_send(shards, shingle), _COUNTS)
     classes = counts.groupBy("shard").applyInArrow(_classify, _CLASSES)
-    base = written(by_batch.cogroup(classes.groupBy("batch")).applyInArrow(_describe(shards, shingle, threshold), _SETS), "shingles")
+    into = scratch(docs.sparkSession, "join")
+    base = written(by_batch.cogroup(classes.groupBy("batch")).applyInArrow(_describe(shards, shingle, threshold), _SETS), "shingles", into)
 
     known = base.filter("n > 0")
     heads = known.filter("doc_id = leader")
-    same = written(heads.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "equal")
+    same = written(heads.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep")), "equal", into)
     reps = same.select(F.col("rep").alias("doc_id"))
     posted = known.filter(F.col("tokens").isNotNull()).join(reps, "doc_id", "left_semi")
 
     # first round: a head for each of the first tokens
     few = posted.select("doc_id", "n", *_BITS, F.explode(F.slice("order_1", 1, HEADS)).alias("token"))
-    head = written(few.groupBy("token").agg(F.min(F.struct("doc_id", "n", *_BITS)).alias("head"), F.count("*").alias("c")).filter("c > 1").select("token", "head"), "heads")
+    head = written(few.groupBy("token").agg(F.min(F.struct("doc_id", "n", *_BITS)).alias("head"), F.count("*").alias("c")).filter("c > 1").select("token", "head"), "heads", into)
     pairs = few.join(head, "token").filter(F.col("doc_id") != F.col("head.doc_id")).filter(_fits("", "head.", threshold))
     pairs = pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    stars = written(_verified(pairs, known, threshold), "links")
-    first = components(stars)
+    links = written(_verified(pairs, known, threshold), "links", into)
+
+    # an id with several sets joins them: one node of the graph
+    sets = F.struct("set_a", "set_b", "n")
+    several = base.groupBy("doc_id").agg(F.min(sets).alias("low"), F.max(sets).alias("high")).filter("low <> high").select("doc_id")
+    several = written(several.join(base.select("doc_id", "set_a", "set_b", "n"), "doc_id"), "several", into)
+    links = links.union(several.join(same, ["set_a", "set_b", "n"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
     # second round: whatever a bucket of the first order still holds apart
-    sized = written(first.groupBy("component").agg(F.count("*").alias("members")), "sizes")
-    placed = first.join(sized, "component").select(F.col("node").alias("doc_id"), "component", "members")
-    post = posted.select("doc_id", "n", "order_1", *_BITS).join(placed, "doc_id", "left")
-    post = post.select("doc_id", "n", *_BITS, F.coalesce("component", "doc_id").alias("component"), F.coalesce("members", F.lit(1)).alias("members"), F.explode("order_1").alias("token"))
-    mixed = post.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("members", "component")).alias("most"))
-    mixed = written(mixed.filter("low <> high").select("token", "most"), "mixed")
-    apart = written(post.join(mixed, "token"), "apart")
-    left = apart.filter("component <> most").select("token", *(F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "component", *_BITS)))
-    cross = left.join(apart, "token").filter(
-        (F.col("l_component") != F.col("component"))
-        & ((F.col("component") == F.col("most")) | (F.col("l_doc_id") < F.col("doc_id")))
-        & _fits("l_", "", threshold)
-    )
-    cross = cross.select(F.least("l_doc_id", "doc_id").alias("a"), F.greatest("l_doc_id", "doc_id").alias("b")).distinct()
-    links = stars.union(_verified(cross, known, threshold))
+    merged = components(links, into)
+    for closest in (CLOSEST, None):
+        near = _apart(posted, merged, threshold, closest, into)
+        more = written(_verified(near.select("a", "b").distinct(), known, threshold), "links", into)
+        if not more.isEmpty():
+            links = links.union(more)
+            merged = components(links, into)
+        if near.filter("cut").isEmpty():
+            break
 
     # equal sets of several batches hang on their smallest document
-    merged = components(links)
     owner = same.join(merged, same.rep == merged.node, "left").select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))
     owner = heads.select("doc_id", "set_a", "set_b", "n").join(owner, ["set_a", "set_b", "n"]).groupBy(F.col("doc_id").alias("leader")).agg(F.min("component").alias("component"))
-    result = base.select("doc_id", "leader", "n").join(written(owner, "owners"), "leader", "left")
-    return result.select(
+    result = base.select("doc_id", "leader", "n").join(written(owner, "owners", into), "leader", "left")
+    # a row without shingles takes the component of its id's other rows
+    blank = several.filter("n = 0").select("doc_id").distinct().join(merged, F.col("doc_id") == merged.node, "left").select("doc_id", F.col("component").alias("other"))
+    result = result.join(blank, "doc_id", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).union(unnamed)
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.coalesce("other", "doc_id")).alias("component_id"),
+    )
+    result = written(result, "components")
+    drop(docs.sparkSession, into)
+    return result.union(unnamed)
