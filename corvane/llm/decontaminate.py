@@ -16,8 +16,14 @@ A window within distance d of an item must hold one of the item's d+1 disjoint w
 groups unchanged, so windows without any word group of an item are never embedded.
 That skips no window that could pass; it only saves the walk over the rest of a corpus.
 
-The benchmark is collected only below MAX_ITEMS items; larger ones are taken in blocks
-of that many, one pass each. Everything else is one pass without a shuffle.
+Items may share long headers, and a document may repeat one: a word group leads to
+windows by its place and the item's size, however many items share it; and before the
+edit distance of a candidate is computed, all its words are looked up in a bitmap of
+those around the window, since an item within distance d has n - d of them there.
+
+The benchmark is collected only below MAX_ITEMS items and MAX_BYTES of text; larger ones
+are taken in blocks of that much, one pass each. Everything else is one pass without a
+shuffle.
 """
 
 from __future__ import annotations
@@ -40,9 +46,12 @@ AGREE = 0.4
 RECALL = 0.99
 REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLES))
 MAX_ITEMS = 20_000
+MAX_BYTES = 32 << 20
 _SLICE = 6 << 20
-_CHUNK = 256
+_CELLS = 1 << 14  # window words that are embedded together
+_EXPAND = 1 << 20  # postings or pairs looked at together
 _FILTER_BITS = 20
+_SLOTS = 64  # bits of the bitmap around a window for each of its words
 
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, distance long, item_words long, similarity double"
 
@@ -84,32 +93,37 @@ def sample_places(sizes: np.ndarray, repeats: int, samples: int) -> np.ndarray:
 
 
 def locate(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
-    """Smallest edit distance of the item to any run of the region, and that run's bounds (the first such)."""
-    n, m = len(item), len(region)
-    row = list(range(n + 1))  # distance of item[:i] to the run that ends here
-    begin = [0] * (n + 1)
-    best = (n, 0, 0)
-    words, text = item.tolist(), region.tolist()
-    for j in range(m):
-        up, up_begin = row[0], begin[0]
-        row[0], begin[0] = 0, j + 1
-        for i in range(1, n + 1):
-            keep, keep_begin = row[i], begin[i]
-            cost, source = up + (words[i - 1] != text[j]), up_begin
-            if keep + 1 < cost:
-                cost, source = keep + 1, keep_begin
-            if row[i - 1] + 1 < cost:
-                cost, source = row[i - 1] + 1, begin[i - 1]
-            row[i], begin[i] = cost, source
-            up, up_begin = keep, keep_begin
-        if row[n] < best[0]:
-            best = (row[n], begin[n], j + 1)
-    return best
+    """Smallest edit distance of the item to any run of the region, and that run's bounds (the one that begins, then ends first)."""
+    n, one = len(item), np.int64(1) << 32
+    steps = np.arange(n + 1) * one
+    row = steps.copy()  # distance of item[:i] to the run that ends here, and below it where that run begins
+    best, end = int(row[n]), 0
+    for j, word in enumerate(region.tolist()):
+        fresh = np.concatenate(([j + 1], np.minimum(row[:-1] + (item != word) * one, row[1:] + one)))
+        row = np.minimum.accumulate(fresh - steps) + steps  # words of the item that the run lacks
+        if int(row[n]) < best:
+            best, end = int(row[n]), j + 1
+    return best >> 32, best & 0xFFFFFFFF, max(end, best & 0xFFFFFFFF)
+
+
+def _spread(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... (count of them) for each entry, in a row."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+
+
+def _parts(count: np.ndarray) -> Iterator[slice]:
+    """Consecutive entries whose counts sum to about _EXPAND, one at least."""
+    upto, at = np.cumsum(count), 0
+    while at < len(count):
+        done = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, done + _EXPAND, side="right")))
+        yield slice(at, to)
+        at = to
 
 
 @dataclass
 class Index:
-    """A bounded block of benchmark items, ready to be matched."""
+    """A bounded block of benchmark items, ready to be matched. Items of like size (up to the next power of two) are kept together."""
 
     ids: list[int]
     items: list[np.ndarray]
@@ -122,96 +136,129 @@ class Index:
     def __post_init__(self):
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.limit = self.sizes * (100 - self.min_similarity) // 100
+        self.most = int(self.sizes.max(initial=1))
         group = np.maximum(1, self.sizes // (self.limit + 1))
         self.seeds = {}
         for q in sorted(set(group.tolist())):
-            grams, owner, offset = [], [], []
+            found: dict[tuple[int, int], list[np.ndarray]] = {}  # by size and place
             for i in np.flatnonzero(group == q).tolist():
-                found = tk.rolling(self.items[i], q)
-                grams.append(found)
-                owner += [i] * len(found)
-                offset += range(len(found))
-            grams = np.concatenate(grams)
+                for offset, gram in enumerate(tk.rolling(self.items[i], q).tolist()):
+                    found.setdefault((len(self.items[i]), offset), []).append(gram)
+            parts = [(np.unique(np.array(v, np.uint64)), size, offset) for (size, offset), v in found.items()]
+            grams = np.concatenate([g for g, _, _ in parts])
             order = np.argsort(grams, kind="stable")
-            grams = grams[order]
             quick = np.zeros(1 << _FILTER_BITS, dtype=bool)
             quick[grams >> np.uint64(64 - _FILTER_BITS)] = True
-            self.seeds[q] = (quick, grams, np.array(owner, np.int64)[order], np.array(offset, np.int64)[order])
-        self.width = int(self.sizes.max(initial=1))
-        rows = np.zeros((len(self.items), self.width), np.uint64)
-        for i, x in enumerate(self.items):
-            rows[i, : len(x)] = x
-        keys = self._keys(rows, self.sizes)
-        order = np.argsort(keys.ravel(), kind="stable")
-        self.keys, self.key_item = keys.ravel()[order], np.repeat(np.arange(len(self.items)), self.repeats)[order]
+            self.seeds[q] = (quick, grams[order], *(np.repeat([p[k] for p in parts], [len(g) for g, _, _ in parts])[order] for k in (1, 2)))
+        self.widths = 1 << np.ceil(np.log2(self.sizes)).astype(np.int64)
+        self.classes = {}
+        for width in sorted(set(self.widths.tolist())):
+            own = np.flatnonzero(self.widths == width)
+            rows = np.zeros((len(own), width), np.uint64)
+            slots = np.full((len(own), width), _SLOTS * width, np.int32)  # behind an item: a slot that is always set
+            keys = np.empty((len(own), self.repeats), np.uint64)
+            for k, i in enumerate(own.tolist()):
+                rows[k, : self.sizes[i]] = self.items[i]
+                slots[k, : self.sizes[i]] = self._slot(self.items[i], width)
+            for a in range(0, len(own), self._rows(width)):
+                part = slice(a, a + self._rows(width))
+                keys[part] = self._keys(rows[part], self.sizes[own[part]])
+            order = np.argsort(keys.ravel(), kind="stable")
+            self.classes[width] = (keys.ravel()[order], np.repeat(own, self.repeats)[order], slots, np.searchsorted(own, np.arange(len(self.items))))
+
+    @staticmethod
+    def _rows(width: int) -> int:
+        return max(1, _CELLS // width)
+
+    @staticmethod
+    def _slot(words: np.ndarray, width: int) -> np.ndarray:
+        return (words >> np.uint64(20)) % np.uint64(_SLOTS * width)
 
     def _keys(self, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """LSH keys: repeat, window size and sampled symbols in one number."""
-        out = np.empty((len(rows), self.repeats), np.uint64)
-        for a in range(0, len(rows), _CHUNK):
-            part = slice(a, a + _CHUNK)
-            out[part] = embed(rows[part], sample_places(sizes[part], self.repeats, self.samples), self.repeats)
+        out = embed(rows, sample_places(sizes, self.repeats, self.samples), self.repeats)
         return tk.mix(out + sizes[:, None].astype(np.uint64) * np.uint64(1_000_003) + np.arange(self.repeats, dtype=np.uint64))
 
     def windows(self, words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Item-sized windows (first word, size) around an unchanged word group of an item of that size."""
-        found = []
+        both = np.zeros(0, np.int64)
         doc = tk.doc_of(words)
-        for q, (quick, grams, owner, offset) in self.seeds.items():
+        for q, (quick, grams, sizes, offsets) in self.seeds.items():
             at = tk.window_starts(words, q)
             mine = tk.rolling(hashes, q)[at] if len(at) else np.zeros(0, np.uint64)
             near = np.flatnonzero(quick[mine >> np.uint64(64 - _FILTER_BITS)])
             low = np.searchsorted(grams, mine[near], side="left")
             count = np.searchsorted(grams, mine[near], side="right") - low
-            total = int(count.sum())
-            place = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-            pos = np.repeat(at[near], count)
-            size = self.sizes[owner[place]]
-            first = np.maximum(pos - offset[place], words[doc[pos]])
-            found.append(first * (self.width + 1) + size)
-        both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return both // (self.width + 1), both % (self.width + 1)
+            for part in _parts(count):
+                place = _spread(low[part], count[part])
+                pos = np.repeat(at[near[part]], count[part])
+                first = np.maximum(pos - offsets[place], words[doc[pos]])
+                both = np.union1d(both, first * (self.most + 1) + sizes[place])
+        return both // (self.most + 1), both % (self.most + 1)
+
+    def candidates(self, words: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, first word of the window, item) that agree in a sampled key and can be within the limit, by window."""
+        first, size = self.windows(words, hashes)
+        doc = np.searchsorted(words, first, side="right") - 1
+        width_of = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
+        for width, (known, owner, slots, row_of) in self.classes.items():
+            own = np.flatnonzero(width_of == width)
+            for a in range(0, len(own), self._rows(width)):
+                part = own[a : a + self._rows(width)]
+                s, n, low_end, high_end = first[part], size[part], words[doc[part]], words[doc[part] + 1]
+                place = s[:, None] + np.arange(width)
+                inside = (np.arange(width) < n[:, None]) & (place < high_end[:, None])
+                rows = np.where(inside, hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
+                keys = self._keys(rows, n).ravel()
+                low = np.searchsorted(known, keys, side="left")
+                count = np.searchsorted(known, keys, side="right") - low
+                if not count.any():
+                    continue
+                # the words of the window and of `reach` places on either side
+                reach = width * (100 - self.min_similarity) // 100
+                place = s[:, None] + np.arange(-reach, width + reach)
+                around = (place >= low_end[:, None]) & (place < high_end[:, None])
+                there = np.zeros((len(part), _SLOTS * width + 1), dtype=bool)
+                there[:, -1] = True
+                there[np.nonzero(around)[0], self._slot(hashes[place[around]], width)] = True
+                window = np.repeat(np.arange(len(part)), self.repeats)
+                pairs = np.zeros(0, np.int64)
+                for some in _parts(count):
+                    pairs = np.union1d(pairs, np.repeat(window[some], count[some]) * len(self.items) + owner[_spread(low[some], count[some])])
+                w, i = np.divmod(pairs, len(self.items))
+                same = self.sizes[i] == n[w]
+                w, i = w[same], i[same]
+                for b in range(0, len(w), max(1, _EXPAND // width)):
+                    x, y = w[b : b + max(1, _EXPAND // width)], i[b : b + max(1, _EXPAND // width)]
+                    met = there[x[:, None], slots[row_of[y]]].sum(1) - (width - self.sizes[y])
+                    fits = met >= self.sizes[y] - self.limit[y]
+                    yield from zip(doc[part[x[fits]]].tolist(), s[x[fits]].tolist(), y[fits].tolist(), strict=True)
 
     def match(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """Best place of each leaked item in each text: (row, item, first word, end word, distance)."""
         words, hashes = _hashed_words(texts)
-        first, size = self.windows(words, hashes)
-        if not len(first):
-            return []
-        doc = tk.doc_of(words)[first]
-        end = words[doc + 1]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for a in range(0, len(first), _CHUNK):
-            s, n, stop = first[a : a + _CHUNK], size[a : a + _CHUNK], end[a : a + _CHUNK]
-            place = s[:, None] + np.arange(self.width)
-            inside = (np.arange(self.width) < n[:, None]) & (place < stop[:, None])
-            rows = np.where(inside, hashes[np.minimum(place, len(hashes) - 1)], np.uint64(0))
-            keys = self._keys(rows, n)
-            low = np.searchsorted(self.keys, keys, side="left")
-            high = np.searchsorted(self.keys, keys, side="right")
-            pairs = sorted({(w, int(i)) for w, r in zip(*np.nonzero(high > low), strict=True) for i in self.key_item[low[w, r] : high[w, r]]})
-            for w, i in pairs:
-                key, item, d = (int(doc[a + w]), i), self.items[i], int(doc[a + w])
-                if len(item) != n[w]:
-                    continue
-                limit = int(self.limit[i])
-                if key in best and best[key][0] == 0:
-                    continue
-                if np.array_equal(rows[w, : n[w]], item):
-                    found = (0, int(s[w]), int(s[w]) + len(item))
-                else:
-                    low_word, high_word = max(int(words[d]), int(s[w]) - limit), min(int(words[d + 1]), int(s[w]) + len(item) + limit)
-                    distance, x, y = locate(item, hashes[low_word:high_word])
-                    found = (distance, low_word + x, low_word + y)
-                if found[0] <= limit and found < best.get(key, (limit + 1,)):
-                    best[key] = found
+        for d, s, i in self.candidates(words, hashes):
+            item, limit = self.items[i], int(self.limit[i])
+            now = best.get((d, i), (limit + 1,))
+            if now[0] == 0 and now[1] <= s:
+                continue
+            low, high = max(int(words[d]), s - limit), min(int(words[d + 1]), s + len(item) + limit)
+            if np.array_equal(hashes[s : min(high, s + len(item))], item):
+                found = (0, s, s + len(item))
+            else:
+                distance, x, y = locate(item, hashes[low:high])
+                found = (distance, low + x, low + y)
+            if found[0] <= limit and found < now:
+                best[d, i] = found
         return [(d, i, a - int(words[d]), b - int(words[d]), distance) for (d, i), (distance, a, b) in sorted(best.items())]
 
 
 def indexes(benchmark: DataFrame, **options) -> Iterator[Index]:
     """The benchmark in blocks of at most MAX_ITEMS items; items without a word are left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL")
-    blocks = max(1, -(-items.count() * 5 // (4 * MAX_ITEMS)))
+    size = items.agg(F.count("*").alias("items"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size["items"] * 5 // (4 * MAX_ITEMS)), -(-(size["bytes"] or 0) * 5 // (4 * MAX_BYTES)))
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = sorted((r["item_id"], r["text"]) for r in part.collect())
