@@ -3,7 +3,9 @@
 The base patterns find plain e-mail addresses, IPv4 addresses, card numbers and
 international phone numbers; what they find stays as it is. Around digits, at signs
 and spelt-out ats that they leave, a semi-Markov CRF reads the text as tokens and scores whole spans of up
-to MAX_TOKENS tokens as a type or single tokens as other text. Features look at the span
+to MAX_TOKENS tokens as a type or single tokens as other text. Every form of the field's features holds such
+a sign, and REACH tokens on either side of it are read, so neither a span that could be an entity nor a rival of it is cut;
+long stretches are read in overlapping windows of WINDOW tokens. Features look at the span
 as a whole: groups of digits and their lengths, separators, checksum, octet ranges,
 domain ending, and the words before it. Dynamic programming over span ends chooses
 boundaries and types together; its forward and backward sums give each span's
@@ -22,6 +24,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MAX_TOKENS = 18
 MIN_PROBABILITY = 0.9
-_REACH = 48  # characters around a digit or at that the field reads
+WINDOW = 512
+REACH = 2 * MAX_TOKENS  # tokens on either side of a sign: a span around it, and another that overlaps that one
 
 # fixed values: the base patterns
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -84,10 +88,12 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the field
 
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[ \t]+|[^A-Za-z0-9 \t]")
+_TOKEN_FORM = r"[A-Za-z]+|[0-9]+|[ \t]{1,8}|[^A-Za-z0-9 \t]"
+_TOKEN = re.compile(_TOKEN_FORM)
+_NEAR = re.compile(f"(?:{_TOKEN_FORM}){{0,{REACH}}}+")
 _DOMAIN_FORM = r"\s*[a-z0-9-]+(?:\s*(?:\.|[\[({]\s*(?:dot|\.)\s*[\])}]|\sdot\s)\s*[a-z0-9-]+)+"
-# a digit, an at sign, an at in brackets, or a bare at: every at that _EMAIL_FORM and _AT know
-_TRIGGER = re.compile(r"[0-9@]|[\[({\s]\s*at\s*[\])}\s]", re.I)
+# a number, an at sign, or an at in brackets or alone that a word and a dot or its spelt-out forms follow, as in every e-mail form
+_TRIGGER = re.compile(r"[0-9]+|@|(?<=[\[({\s])at(?=[\])}\s]{1,9}[a-z0-9-]+\s{0,9}(?:[.\[({]|(?<=\s)dot\s))", re.I)
 _AT = re.compile(r"@|[\[({ ]\s*at\s*[\])} ]", re.I)
 _DOT = re.compile(r"\.|[\[({ ]\s*(?:dot|\.)\s*[\])} ]", re.I)
 _EMAIL_FORM = re.compile(r"[a-z0-9][a-z0-9._%+-]*\s*(?:@|[\[({]\s*at\s*[\])}]|\sat\s)" + _DOMAIN_FORM, re.I)
@@ -121,8 +127,8 @@ def _cues_before(text: str, a: int) -> list[int]:
     return [40 + k for k, cue in enumerate(_CUES) if any(w in cue for w in before)]
 
 
-def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int, cues: list[int], beside: list[bool]) -> list[int]:
-    """Numbers of the whole-span features that hold for tokens i..j-1; cues and beside are those of the place and of all tokens."""
+def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int, cues: list[int]) -> list[int]:
+    """Numbers of the whole-span features that hold for tokens i..j-1; cues are those of the place."""
     a, b = cuts[i][0], cuts[j - 1][1]
     span = text[a:b]
     groups = _DIGITS.findall(span)
@@ -165,9 +171,9 @@ def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int, cues: list
         out.append(36)
     if "/" in marks or ":" in marks or "," in marks:
         out.append(37)
-    if i and beside[i - 1]:
+    if a and text[a - 1].isalnum():
         out.append(38)
-    if j < len(cuts) and beside[j]:
+    if b < len(text) and text[b].isalnum():
         out.append(39)
     out += cues
     if at and _AT.search(span) and _DOT.search(span):
@@ -195,7 +201,6 @@ class Region:
         self.rows: list[list[int]] = []
         self.ending: list[list[int]] = [[] for _ in range(n + 1)]
         cues = [_cues_before(text, a) for a, _ in cuts]
-        beside = [text[a:b].strip(" \t").isalnum() for a, b in cuts]
         for j in range(1, n + 1):
             for i in range(max(0, j - MAX_TOKENS), j):
                 first, last = text[cuts[i][0]], text[cuts[j - 1][1] - 1]
@@ -203,7 +208,7 @@ class Region:
                     continue  # such a span is no entity; single tokens stay possible
                 self.ending[j].append(len(self.spans))
                 self.spans.append((i, j))
-                self.rows.append(_features(text, cuts, i, j, cues[i], beside))
+                self.rows.append(_features(text, cuts, i, j, cues[i]))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Score of each span as each kind; only single tokens can be other text."""
@@ -336,9 +341,37 @@ def train(sentences: list[tuple[str, list[Span]]], rounds: int = 8, penalty: flo
     return weights
 
 
+def _before(text: str, at: int) -> int:
+    """Where the REACH tokens before place `at` begin."""
+    reach = 256
+    while True:
+        low = max(0, at - reach)
+        n = _NEAR.match(text[low:at][::-1]).end()
+        if n < at - low or low == 0:
+            return at - n
+        reach *= 4
+
+
+def _windows(text: str, low: int, high: int) -> Iterator[tuple[list[tuple[int, int]], int, int]]:
+    """The tokens in windows of at most WINDOW, and between which of them a span that counts begins."""
+    margin = 2 * MAX_TOKENS
+    found = _TOKEN.finditer(text, low, high)
+    cuts, first = [m.span() for m in islice(found, WINDOW)], 0
+    while cuts:
+        more = [m.span() for m in islice(found, WINDOW - 2 * margin)] if len(cuts) == WINDOW else []
+        last = len(cuts) - margin if more else len(cuts)
+        yield cuts, first, last
+        cuts, first = cuts[last - margin :] + more if more else [], margin
+
+
 def added_spans(text: str, base: list[Span], weights: np.ndarray, least: float = MIN_PROBABILITY) -> list[Span]:
     """What the field finds outside the base spans."""
-    taken = sorted((a, b) for a, b, _ in base)
+    taken: list[list[int]] = []  # apart, ascending
+    for a, b in sorted((a, b) for a, b, _ in base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     regions: list[list[int]] = []
     k = 0
     for m in _TRIGGER.finditer(text):
@@ -346,27 +379,39 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray, least: float =
             k += 1
         if k < len(taken) and taken[k][0] <= m.start():
             continue
-        low, high = max(0, m.start() - _REACH), min(len(text), m.end() + _REACH)
+        high = _NEAR.match(text, m.end()).end()
+        if regions and m.start() <= regions[-1][1]:
+            regions[-1][1] = max(high, regions[-1][1])
+            continue
+        low = _before(text, m.start())
         if regions and low <= regions[-1][1]:
             regions[-1][1] = high
         else:
             regions.append([low, high])
     out: list[Span] = []
+    k = 0
     for low, high in regions:
-        while low > 0 and text[low - 1].isalnum() and text[low].isalnum():
-            low -= 1
-        while high < len(text) and text[high - 1].isalnum() and text[high].isalnum():
-            high += 1
         at = low
-        for a, b in [*(t for t in taken if t[1] > low and t[0] < high), (high, high)]:
+        while k < len(taken) and taken[k][1] <= low:
+            k += 1
+        here = k
+        while here < len(taken) and taken[here][0] < high:
+            here += 1
+        for a, b in [*taken[k:here], [high, high]]:
             if _TRIGGER.search(text, at, max(at, a)):
-                region = Region(text, tokens(text, at, a))
-                if region.spans:
+                done = at
+                for cuts, first, last in _windows(text, at, a):
+                    region = Region(text, cuts)
                     scores = region.scores(weights)
                     found = region.best(scores)
-                    if found:
-                        chance, _ = region.sums(scores)
-                        out += [(region.cuts[region.spans[s][0]][0], region.cuts[region.spans[s][1] - 1][1], kind) for s, kind in found if chance[s, kind] >= least]
+                    if not found:
+                        continue
+                    chance, _ = region.sums(scores)
+                    for s, kind in found:
+                        i, j = region.spans[s]
+                        if first <= i < last and chance[s, kind] >= least and cuts[i][0] >= done:
+                            done = cuts[j - 1][1]
+                            out.append((cuts[i][0], done, kind))
             at = max(at, b)
     return out
 
