@@ -48,7 +48,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(corpus.table(spark, sf_dir, "documents"))
+    return find_secrets(corpus.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rules are wide: known key prefixes, private-key headers, values assigned to telling
 names, and long mixed tokens. Each candidate then gets features: its length, how often
-neighbouring characters change class, how much of it words of the text's own languages
-cover, whether it looks like a path, an identifier, a hash or a placeholder, and which
+neighbouring characters change class, how much of it dictionary words cover (the words
+of four letters and more in a public vocabulary file), whether it looks like a path, an identifier, a hash or a placeholder, and which
 words stand around it. A random forest, trained on labelled findings, gives the
 probability that it is a secret; those of MIN_PROBABILITY and more are kept.
 
@@ -15,9 +15,11 @@ thousand numbers and goes to every task; documents are scanned whole, in place.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,7 @@ MIN_PROBABILITY = 0.5
 TREES = 40
 DEPTH = 8
 _SLICE = 6 << 20
+_BLOCK = 4096  # candidates that the forest judges together
 _LONG_WORD = 15  # bytes of the shortest finding without a telling name: xoxb- and ten more
 
 # fixed values: prefixes and headers of well-known credentials, and names of secrets
@@ -42,7 +45,7 @@ _RULES = (
     ("slack_token", re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")),
     ("google_key", re.compile(r"\bAIza[0-9A-Za-z_-]{35}")),
     ("stripe_key", re.compile(r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b")),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{11,}(?:\.[A-Za-z0-9_-]+){2,}")),  # narrowed by _jwts
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
     ("assigned", re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential)s?[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.~!@$%^&*-]{8,}={0,2})")),
     ("long_token", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")),
@@ -50,7 +53,7 @@ _RULES = (
 _NAMES = (b"passw", b"pwd", b"secret", b"token", b"key", b"auth", b"credential", b"-----begin", "\u017f".encode(), "\u212a".encode())  # the last two equal s and k without case
 _GOOD = frozenset("password passwd pwd secret token key api apikey auth bearer credential credentials access private aws client".split())
 _BAD = frozenset("example sample test dummy placeholder sha sha1 sha256 md5 hash checksum commit digest uuid guid id image file path url build version integrity etag your insert changeme".split())
-_WORDS = frozenset("the and for that with this from have not are was but you all can her his one our out day get has him how man new now old see two way who boy did its let put say she too use user name path file test example sample data value string index table local home main src lib bin usr var etc www http https com org net html json xml config default system server client password secret token key".split())
+_JWT_HEAD = re.compile(r"\beyJ")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
 _RUN = re.compile(r"(.)\1{3,}")
@@ -58,23 +61,55 @@ _RUN = re.compile(r"(.)\1{3,}")
 Finding = tuple[str, int, int]
 
 
+def _jwts(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    """In dotted runs, leftmost: \\beyJ and eight more characters, then two runs of eight or more."""
+    at, runs = low, []
+    for run in text[low:high].split("."):
+        runs.append((at, at + len(run)))
+        at += len(run) + 1
+    k = 0
+    while k + 2 < len(runs):
+        a, b = runs[k]
+        head = _JWT_HEAD.search(text, a, b - 8) if all(y - x >= 8 for x, y in runs[k + 1 : k + 3]) else None
+        if head:
+            yield head.start(), runs[k + 2][1]
+        k += 3 if head else 1
+
+
 def candidates(text: str) -> list[Finding]:
     """(rule, start, end) of what the rules propose; a later rule does not overlap an earlier one."""
-    out: list[Finding] = []
+    starts: list[int] = []
+    out: list[Finding] = []  # apart, ascending
     for rule, pattern in _RULES:
+        if rule == "jwt" and "eyJ" not in text:
+            continue
         for m in pattern.finditer(text):
-            a, b = m.span("value") if "value" in pattern.groupindex else m.span()
-            if all(b <= x or y <= a for _, x, y in out):
-                out.append((rule, a, b))
-    return sorted(out, key=lambda f: (f[1], f[2]))
+            if rule == "jwt":
+                spans = _jwts(text, *m.span())
+            else:
+                spans = (m.span("value") if "value" in pattern.groupindex else m.span(),)
+            for a, b in spans:
+                k = bisect_left(starts, a)
+                if (k == len(out) or b <= out[k][1]) and (k == 0 or out[k - 1][2] <= a):
+                    starts.insert(k, a)
+                    out.insert(k, (rule, a, b))
+    return out
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(text: str, finding: Finding) -> list[float]:
-    """What the forest sees of a candidate."""
+def dictionary(vocabulary: str) -> frozenset[str]:
+    """The words of four letters and more that a byte-level vocabulary file holds whole."""
+    with open(vocabulary, encoding="utf-8") as f:
+        tokens = json.load(f)["model"]["vocab"]
+    words = (t[1:].lower() for t in tokens if t[0] == "\u0120")  # how such files spell a leading space
+    return frozenset(w for w in words if len(w) > 3 and w.isascii() and w.isalpha())
+
+
+def features(text: str, finding: Finding, words: frozenset[str]) -> list[float]:
+    """What the forest sees of a candidate; words: a dictionary."""
     rule, a, b = finding
     value = text[a:b]
     n = len(value)
@@ -83,7 +118,7 @@ def features(text: str, finding: Finding) -> list[float]:
     counts = [value.count(c) for c in set(value)]
     entropy = -sum(c / n * math.log2(c / n) for c in counts)
     parts = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-    covered = sum(len(w) for w in parts if w in _WORDS or (len(w) > 3 and w in _GOOD | _BAD)) / n
+    covered = sum(len(w) for w in parts if w in words) / n
     longest = max(map(len, parts), default=0) / n
     before, after = text[max(0, a - 40) : a].lower(), text[b : b + 24].lower()
     near = re.findall(r"[a-z0-9]+", before)[-3:] + re.findall(r"[a-z0-9]+", after)[:1]
@@ -188,9 +223,9 @@ def train_forest(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, depth
     return Forest(out)
 
 
-def fit(findings: list[tuple[str, Finding, int]] | None = None) -> Forest:
+def fit(words: frozenset[str], findings: list[tuple[str, Finding, int]] | None = None) -> Forest:
     findings = labelled_findings() if findings is None else findings
-    rows = np.array([features(text, f) for text, f, _ in findings])
+    rows = np.array([features(text, f, words) for text, f, _ in findings])
     return train_forest(rows, np.array([y for _, _, y in findings], np.float64))
 
 
@@ -213,15 +248,15 @@ def _suspects(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def scan_text(text: str, forest: Forest, least: float = MIN_PROBABILITY) -> list[tuple[str, int, int, float]]:
+def scan_text(text: str, forest: Forest, words: frozenset[str], least: float = MIN_PROBABILITY) -> Iterator[tuple[str, int, int, float]]:
     found = candidates(text)
-    if not found:
-        return []
-    chance = forest.probability(np.array([features(text, f) for f in found]))
-    return [(*f, float(p)) for f, p in zip(found, chance, strict=True) if p >= least]
+    for at in range(0, len(found), _BLOCK):
+        part = found[at : at + _BLOCK]
+        chance = forest.probability(np.array([features(text, f, words) for f in part]))
+        yield from ((*f, float(p)) for f, p in zip(part, chance, strict=True) if p >= least)
 
 
-def _scan(forest: Forest):
+def _scan(forest: Forest, words: frozenset[str]):
     kinds = {"doc_id": pa.int64(), "rule": pa.string(), "start": pa.int64(), "end": pa.int64(), "probability": pa.float64(), "secret_sha256": pa.string()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +265,18 @@ def _scan(forest: Forest):
                 rows = []
                 for i in np.flatnonzero(_suspects(part.column("text"))).tolist():
                     text, doc = part.column("text")[i].as_py(), part.column("doc_id")[i].as_py()
-                    rows += [(doc, r, a, b, p, hashlib.sha256(text[a:b].encode()).hexdigest()) for r, a, b, p in scan_text(text, forest)]
+                    rows += [(doc, r, a, b, p, hashlib.sha256(text[a:b].encode()).hexdigest()) for r, a, b, p in scan_text(text, forest, words)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     return scan
 
 
-def find_secrets(docs: DataFrame, findings: list[tuple[str, Finding, int]] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, vocabulary: str, findings: list[tuple[str, Finding, int]] | None = None) -> DataFrame:
     """Secrets in every whole text, without repeating them.
 
-    docs: doc_id long, text string; other columns are not read. findings: labelled
-    ones to train on, by default made ones. One row per secret: doc_id, rule, start,
+    docs: doc_id long, text string; other columns are not read. vocabulary: path of a
+    byte-level tokenizers JSON file, whose whole words are the dictionary. findings:
+    labelled ones to train on, by default made ones. One row per secret: doc_id, rule, start,
     end (code points, end exclusive), probability, secret_sha256.
 
     Null and empty texts hold none; null ids are carried along; repeated rows are each
@@ -248,4 +284,5 @@ def find_secrets(docs: DataFrame, findings: list[tuple[str, Finding, int]] | Non
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, rule string, start long, end long, probability double, secret_sha256 string"
-    return rows.mapInArrow(_scan(fit(findings)), schema)
+    words = dictionary(vocabulary)
+    return rows.mapInArrow(_scan(fit(words, findings), words), schema)
