@@ -21,6 +21,7 @@ from .corpus import bounded_sample, id_crc
 
 PROFILE = 300
 PER_LANGUAGE = 400
+PIECE = 1 << 18  # places of a text that are counted together
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -29,28 +30,40 @@ _letters: list[np.ndarray] = []
 def _letter_table() -> np.ndarray:
     """For every code point itself if it is a letter, else 0."""
     if not _letters:
-        _letters.append(np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint64))
+        _letters.append(np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], dtype=np.uint32))
     return _letters[0]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as numbers, ascending, and their counts."""
+    """Distinct n-grams of a text as numbers, ascending, and their counts. Long texts are counted a PIECE at a time."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = _letter_table()[codes]
     solid = letters > 0
     keep = solid.copy()
     keep[1:] |= solid[:-1]  # one place for each run of other characters
-    c = np.concatenate((np.zeros(1, np.uint64), letters[keep], np.zeros(1, np.uint64)))
-    one = c[c > 0]
+    edge = np.zeros(1, np.uint32)
+    whole = np.concatenate((edge, letters[keep], edge))
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for at in range(0, len(whole), PIECE):
+        found = _gram_codes(whole[at : at + PIECE + 2].astype(np.uint64), PIECE)
+        found.sort()
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+        more = np.diff(np.append(first, len(found)))
+        if not len(keys):
+            keys, counts = found[first], more
+        else:
+            both, place = np.unique(np.concatenate([keys, found[first]]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, more]), len(both)).astype(np.int64)
+            keys = both
+    return keys, counts
+
+
+def _gram_codes(c: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the n-grams that begin among the first `most` places; 0 is the place between words."""
     two = (c[:-1] << np.uint64(21)) | c[1:]
-    three = ((c[:-2] << np.uint64(42)) | two[1:])[c[1:-1] > 0]
-    kinds = np.uint64(1) << np.uint64(62)
-    found = np.concatenate([one, two[two > 0] | np.uint64(1) << np.uint64(63), three | kinds]) if len(one) else one
-    found.sort()
-    if not len(found):
-        return found, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-    return found[first], np.diff(np.append(first, len(found)))
+    three = ((c[:-2] << np.uint64(42)) | two[1:])[:most][c[1:-1][:most] > 0]
+    one, two = c[:most], two[:most]
+    return np.concatenate([one[one > 0], two[two > 0] | np.uint64(1) << np.uint64(63), three | np.uint64(1) << np.uint64(62)])
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray:
