@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,77 @@ def _codes(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), np.uint32)
 
 
+def letter_counts(s: str) -> np.ndarray:
+    """How often each distinct character occurs."""
+    if s.isascii():
+        counts = np.bincount(np.frombuffer(s.encode(), np.uint8))
+        return counts[counts > 0]
+    return np.unique(_codes(s), return_counts=True)[1]
+
+
+def composition(column: str) -> Column:
+    """Struct of entropy (bits a character), kinds (distinct characters) and top (share of the most frequent); zeros for empty and null strings."""
+    kind = StructType([StructField("entropy", DoubleType()), StructField("kinds", LongType()), StructField("top", DoubleType())])
+
+    @F.pandas_udf(kind)
+    def kernel(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s.fillna(""):
+            share = letter_counts(x) / max(1, len(x))
+            rows.append((float(-(share * np.log2(share)).sum()), len(share), float(share.max(initial=0.0))))
+        return pd.DataFrame(rows, columns=["entropy", "kinds", "top"])
+
+    return kernel(column)
+
+
+def distinct_kmers(s: str, k: int) -> int:
+    """Number of distinct k-mers; a shorter non-empty string is its own only one."""
+    if len(s) <= k:
+        return min(1, len(s))
+    if s.isascii() and k <= 8:
+        letters = np.frombuffer(s.encode(), np.uint8)
+        packed = np.zeros(len(s) - k + 1, np.uint32 if k <= 4 else np.uint64)
+        for i in range(k):
+            packed = (packed << packed.dtype.type(8)) | letters[i : len(s) - k + 1 + i]
+        packed.sort()
+        return 1 + int(np.count_nonzero(packed[1:] != packed[:-1]))
+    return len({s[i : i + k] for i in range(len(s) - k + 1)})
+
+
+def kmer_count(column: str, k: int) -> Column:
+    @F.pandas_udf(LongType())
+    def kernel(s: pd.Series) -> pd.Series:
+        return s.fillna("").map(lambda x: distinct_kmers(x, k))
+
+    return kernel(column)
+
+
+def nearest_kmer_sets(queries: list[tuple[int, list[str]]], top: int):
+    """mapInPandas over (r, r_seq, grams): of each batch the `top` rows of largest Jaccard similarity to each query, ties by r; rows (q, r, r_seq, jaccard)."""
+    grams = pd.Index(sorted({g for _, own in queries for g in own}))
+    has = np.zeros((len(queries), len(grams)), np.float32)
+    for i, (_, own) in enumerate(queries):
+        has[i, grams.get_indexer(own)] = 1.0
+    ids, sizes = np.array([q for q, _ in queries]), has.sum(1)
+
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            rows = rows.sort_values("r", ignore_index=True)
+            own = rows["grams"].explode().dropna()
+            total = own.groupby(level=0).size().reindex(rows.index, fill_value=0).to_numpy()
+            place = grams.get_indexer(own)
+            theirs = np.zeros((len(rows), len(grams)), np.float32)
+            theirs[own.index[place >= 0], place[place >= 0]] = 1.0
+            for a in range(0, len(queries), 64):
+                both = has[a : a + 64] @ theirs.T
+                near = both / np.maximum(sizes[a : a + 64, None] + total - both, 1.0)
+                best = np.argsort(-near, axis=1, kind="stable")[:, :top]
+                flat = best.ravel()
+                yield pd.DataFrame({"q": np.repeat(ids[a : a + 64], best.shape[1]), "r": rows["r"].to_numpy()[flat], "r_seq": rows["r_seq"].to_numpy()[flat], "jaccard": np.take_along_axis(near, best, 1).ravel().astype(np.float64)})
+
+    return kernel
+
+
 def window_entropy(s: str, width: int) -> float:
     """Least entropy of any window; of the whole string if it is no longer than one."""
     if not s:

@@ -184,10 +184,11 @@ def bridge_flags(motif_count: Column, geometry: Column, percentile: Column, fami
     return {"gate_pass": gate, "functional": functional, "faithful": functional & family_motif}
 
 
-def confidence_weight(objectives: Column, audited: Column) -> Column:
-    """Mean of the objective scores, with 1 more for an audit."""
-    values = F.map_values(objectives)
-    extra = F.when(audited, 1.0).otherwise(0.0)
+def confidence_weight(objectives: Column, audited: Column, gates: Sequence[Column], score: Column) -> Column:
+    """Mean of the objective scores, or without any of the gates (0 or 1) and the score (over 1: of 100); with 1 more for an audit."""
+    fallback = F.array(*(F.when(F.coalesce(g, F.lit(False)), 1.0).otherwise(0.0) for g in gates), scores.clip(F.when(score <= 1, score).otherwise(score / 100.0)))
+    values = F.when(F.coalesce(F.size(objectives), F.lit(0)) > 0, F.map_values(objectives)).otherwise(fallback)
+    extra = F.when(F.coalesce(audited, F.lit(False)), 1.0).otherwise(0.0)
     return F.round((F.aggregate(values, F.lit(0.0), lambda a, x: a + x) + extra) / (F.size(values) + extra), 4)
 
 

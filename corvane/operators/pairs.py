@@ -69,10 +69,13 @@ def preference_pairs(
     dominance on the axes, then the score margin. Pairs of equal texts and undecided
     pairs are left out; of the rest, each bucket gives its first `cap`.
 
-    No bucket is paired in full. A pair whose scores differ by the margin is always
-    decided, so a row adds at least as many pairs as rows behind it lie a margin lower
-    (less those of the same text); rows behind which the cap is full already cannot
-    lead a pair that counts. What leads is a handful of rows a bucket.
+    What decides a pair depends only on the classes of the two rows (score, flags and
+    axes), so classes are compared first and rows of undecided classes never meet: a
+    bucket of equal rows makes no pair. A pair whose scores differ by the margin is
+    always decided, so a row adds at least as many pairs as rows behind it lie a margin
+    lower (less those of the same text); rows behind which the cap is full already
+    cannot lead a pair that counts. Classes that all lie within the margin and that
+    neither flags nor axes decide are still compared with each other.
     """
     keep = list(dict.fromkeys([id_col, text, *flags, *axes, score]))
     by_score = Window.partitionBy(*bucket).orderBy(F.desc(score), id_col)
@@ -80,21 +83,20 @@ def preference_pairs(
     below = f"count(*) OVER (PARTITION BY {groups} ORDER BY _down RANGE BETWEEN {margin * (1 + 1e-9) + 1e-12!r}D FOLLOWING AND UNBOUNDED FOLLOWING)"
     placed = rows.select(*bucket, *keep, F.row_number().over(by_score).alias("place"), (-F.col(score)).alias("_down"))
     sure = F.greatest(F.lit(0), F.expr(below) - (F.count("*").over(Window.partitionBy(*bucket, text)) - 1))
-    placed = placed.withColumn("_sure", sure)
+    placed = placed.withColumn("_sure", sure).withColumn("class", F.dense_rank().over(Window.partitionBy(*bucket).orderBy(F.desc(score), *flags, *axes)))
     full = F.coalesce(F.sum("_sure").over(Window.partitionBy(*bucket).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     leading = placed.withColumn("_full", full).filter(F.col("_full") < cap)
-    left = leading.select(*bucket, *(F.col(c).alias(f"l_{c}") for c in [*keep, "place"]))
-    right = placed.select(*bucket, *(F.col(c).alias(f"r_{c}") for c in [*keep, "place"]))
-    near = left.join(right, list(bucket)).filter((F.col("l_place") < F.col("r_place")) & (F.col(f"l_{text}") != F.col(f"r_{text}")))
+    traits = list(dict.fromkeys([*flags, *axes, score]))
+    classes = lambda rows, side: rows.groupBy(*bucket, F.col("class").alias(f"{side}_class")).agg(*(F.first(c).alias(f"{side}_{c}") for c in traits))
+    near = classes(leading, "l").join(classes(placed, "r"), list(bucket)).filter(F.coalesce(F.col(f"l_{score}") >= F.col(f"r_{score}"), F.lit(True)))
     cases = [(F.col(f"l_{f}") != F.col(f"r_{f}"), F.col(f"l_{f}"), f) for f in flags]
     up = lambda a, b: _dominates(axes, a, b)
     cases.append((up("l_", "r_") != up("r_", "l_"), up("l_", "r_"), "pareto_dominance"))
     delta = F.col(f"l_{score}") - F.col(f"r_{score}")
     cases.append((F.abs(delta) >= margin, delta > 0, "scalar_score_margin"))
-    decided = near.select(
-        *bucket, "l_place", "r_place", F.col(f"l_{id_col}").alias("l"), F.col(f"r_{id_col}").alias("r"),
-        F.coalesce(*(F.when(c, F.struct(F.lit(rule).alias("rule"), won.alias("left_wins"))) for c, won, rule in cases)).alias("d"),
-    ).filter("d IS NOT NULL")
+    near = near.select(*bucket, "l_class", "r_class", F.coalesce(*(F.when(c, F.struct(F.lit(rule).alias("rule"), won.alias("left_wins"))) for c, won, rule in cases)).alias("d")).filter("d IS NOT NULL")
+    side = lambda rows, s: rows.select(*bucket, F.col("class").alias(f"{s}_class"), F.col(id_col).alias(s), F.col(text).alias(f"{s}_text"), F.col("place").alias(f"{s}_place"))
+    decided = side(leading, "l").join(near, [*bucket, "l_class"]).join(side(placed, "r"), [*bucket, "r_class"]).filter("l_place < r_place AND l_text <> r_text")
     order = Window.partitionBy(*bucket).orderBy("l_place", "r_place")
     decided = decided.withColumn("pair", F.row_number().over(order)).filter(F.col("pair") <= cap)
     return decided.select(

@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -178,23 +179,72 @@ def least_used(df: DataFrame, group: str, kind: str, order: Sequence[Column], to
     return df.sparkSession.createDataFrame([tuple(r)[: len(df.columns)] for r in out], df.schema)
 
 
+#: Most distinct points of local fronts that go to every task.
+MAX_FRONT = 100_000
+
+
+def _front(points: np.ndarray) -> np.ndarray:
+    """Which of some distinct points no other dominates."""
+    order = np.argsort(-points.sum(1), kind="stable")  # nothing behind has a larger sum, so nothing behind dominates
+    kept = np.zeros(len(points), bool)
+    front = np.zeros((0, points.shape[1]))
+    for i in order:
+        if not (front >= points[i]).all(1).any():
+            kept[i] = True
+            front = np.vstack([front, points[i]])
+    return kept
+
+
+def _local_fronts(within: Sequence[str], axes: Sequence[str]):
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for rows in batches:
+            held = (rows if held is None else pd.concat([held, rows])).drop_duplicates(ignore_index=True)
+            groups = held.groupby(list(within), dropna=False, sort=False).indices.values() if within else [np.arange(len(held))]
+            points = held[list(axes)].to_numpy(np.float64)
+            held = held.iloc[np.concatenate([g[_front(points[g])] for g in groups])] if len(held) else held
+        if held is not None:
+            yield held
+
+    return fold
+
+
 def pareto_front(df: DataFrame, id_col: str, axes: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Rows that no other row of the same group dominates: at least as good on every axis and better on one.
 
-    Axes that are null in either row are left out of that comparison, so dominance is
-    not transitive and every pair counts. Without nulls a row can only be dominated by
-    one with a larger or equal sum of axes, which the join uses as its range condition.
+    Among rows without a null axis dominance is transitive: each task keeps the front of
+    its own distinct points, and rows are compared with those local fronts only, which
+    go to every task up to MAX_FRONT points. Axes that are null in either row are left
+    out of a comparison, so rows with nulls are compared with all rows of their group,
+    and all rows with them.
     """
-    cols = [id_col, *within, *axes]
-    other = df.select(*(F.col(c).alias(f"o_{c}") for c in cols))
-    same = F.lit(True)
-    for c in within:
-        same = same & F.col(c).eqNullSafe(F.col(f"o_{c}"))
-    no_worse, better, shared = F.lit(True), F.lit(False), F.lit(False)
+    whole = F.lit(True)
     for a in axes:
-        no_worse = no_worse & F.coalesce(F.col(f"o_{a}") >= F.col(a), F.lit(True))
-        better = better | F.coalesce(F.col(f"o_{a}") > F.col(a), F.lit(False))
-    return df.join(other, same & (F.col(id_col) != F.col(f"o_{id_col}")) & no_worse & better & ~shared, "left_anti")
+        whole = whole & F.col(a).isNotNull()
+
+    def beaten_by(others: DataFrame, own_id: bool) -> tuple[DataFrame, Column]:
+        cols = [*within, *axes, *([id_col] if own_id else [])]
+        others = others.select(*(F.col(c).alias(f"o_{c}") for c in cols))
+        rule, better = F.lit(True), F.lit(False)
+        for c in within:
+            rule = rule & F.col(c).eqNullSafe(F.col(f"o_{c}"))
+        for a in axes:
+            rule = rule & F.coalesce(F.col(f"o_{a}") >= F.col(a), F.lit(True))
+            better = better | F.coalesce(F.col(f"o_{a}") > F.col(a), F.lit(False))
+        return others, rule & better & ((F.col(id_col) != F.col(f"o_{id_col}")) if own_id else F.lit(True))
+
+    full, holed = df.filter(whole), df.filter(~whole)
+    points = full.select(*within, *(F.col(a).cast("double").alias(a) for a in axes))
+    fronts = points.mapInPandas(_local_fronts(within, axes), points.schema).distinct()
+    few = fronts.count() <= MAX_FRONT
+    others, rule = beaten_by(fronts, False)
+    out = full.join(F.broadcast(others) if few else others, rule, "left_anti")
+    if holed.isEmpty():
+        return out
+    others, rule = beaten_by(holed, True)
+    out = out.join(others, rule, "left_anti")
+    others, rule = beaten_by(df, True)
+    return out.unionByName(holed.join(others, rule, "left_anti"))
 
 
 def repeated(df: DataFrame, times: int) -> DataFrame:

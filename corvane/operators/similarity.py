@@ -1,7 +1,7 @@
 """Similarity joins and clusters over short sequences.
 
-Candidates always come from an equality: shared k-mers, or blocks of length and text.
-Edit distance is then checked with Spark's bounded levenshtein, inside the join.
+Candidates of joins come from an equality: blocks of length and text. Edit distance is
+then checked with Spark's bounded levenshtein, inside the join.
 """
 
 from __future__ import annotations
@@ -10,24 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
+from corvane.functions.kernels import nearest_kmer_sets
 
+QUERY_BLOCK = 4096
 
-def nearest_by_kmers(queries: DataFrame, references: DataFrame, query_id: str, reference_id: str, sequence: str, k: int = 3, shortlist: int = 32) -> DataFrame:
+
+def nearest_by_kmers(queries: DataFrame, references: DataFrame, query_id: str, reference_id: str, sequence: str, k: int = 3, shortlist: int = 32, other: bool = False) -> DataFrame:
     """For each query its best edit identity among the `shortlist` references of largest k-mer Jaccard.
 
-    Shared k-mers are counted by an equality join; the shortlist is a window limit, by
-    (Jaccard desc, reference id). A query that shares no k-mer has identity 0.
+    Every reference counts, those that share no k-mer too; equal Jaccard goes to the
+    smaller reference id, equal identity to the earlier place in the shortlist. Without
+    an identity above 0 the reference is null. With `other` a query's own id is no
+    reference of its. Queries are a stated set, taken
+    QUERY_BLOCK at a time: each block goes to every task of one scan of the references,
+    which returns a shortlist a batch, so the pairs that cross the network do not
+    depend on how common a k-mer is.
     """
-    q = queries.select(F.col(query_id).alias("q"), F.col(sequence).alias("q_seq")).withColumn("grams", tx.kmers("q_seq", k))
-    r = references.select(F.col(reference_id).alias("r"), F.col(sequence).alias("r_seq")).withColumn("grams", tx.kmers("r_seq", k))
-    left = q.select("q", F.size("grams").alias("q_n"), F.explode("grams").alias("gram"))
-    right = r.select("r", F.size("grams").alias("r_n"), F.explode("grams").alias("gram"))
-    shared = left.join(right, "gram").groupBy("q", "r").agg(F.count("*").alias("shared"), F.first("q_n").alias("q_n"), F.first("r_n").alias("r_n"))
-    scored = shared.withColumn("jaccard", F.col("shared") / (F.col("q_n") + F.col("r_n") - F.col("shared")))
+    q = queries.select(F.col(query_id).alias("q"), F.col(sequence).alias("q_seq")).filter("q IS NOT NULL")
+    r = references.select(F.col(reference_id).alias("r"), F.col(sequence).alias("r_seq"), tx.kmers(sequence, k).alias("grams")).filter("r IS NOT NULL AND r_seq IS NOT NULL")
+    schema = f"q {q.schema['q'].dataType.simpleString()}, r {r.schema['r'].dataType.simpleString()}, r_seq string, jaccard double"
+    blocks = max(1, -(-q.count() * 5 // (4 * QUERY_BLOCK)))
+    near = q.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).select("q", F.coalesce(tx.kmers("q_seq", k), F.array().cast("array<string>")).alias("grams")).collect()  # some QUERY_BLOCK rows
+        if part:
+            near = near.union(r.mapInPandas(nearest_kmer_sets([(x["q"], x["grams"]) for x in part], shortlist + other), schema))
     best = Window.partitionBy("q").orderBy(F.desc("jaccard"), "r")
-    short = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= shortlist)
-    near = short.join(q.select("q", "q_seq"), "q").join(r.select("r", "r_seq"), "r").withColumn("identity", tx.identity("q_seq", "r_seq"))
-    top = near.groupBy("q").agg(F.max(F.struct(F.col("identity"), F.col("jaccard"), (-F.col("rank")).alias("place"), F.col("r"))).alias("x"))
+    near = near.filter("q <> r") if other else near
+    short = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= shortlist)
+    found = short.join(q, "q").withColumn("identity", tx.identity("q_seq", "r_seq")).filter("identity > 0")
+    top = found.groupBy("q").agg(F.max(F.struct(F.col("identity"), (-F.col("rank")).alias("place"), F.col("jaccard"), F.col("r"))).alias("x"))
     out = q.select("q").join(top, "q", "left")
     return out.select(F.col("q").alias(query_id), F.col("x.r").alias(reference_id), F.coalesce("x.identity", F.lit(0.0)).alias("identity"), F.coalesce("x.jaccard", F.lit(0.0)).alias("jaccard"))
 
@@ -75,6 +87,16 @@ def neighbourhood(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, t
     return wide.groupBy("anchor", "threshold").agg(F.count("*").alias("neighbours"), F.count_if("flag").alias("flagged"), F.count_if(~F.col("flag")).alias("unflagged"))
 
 
+def anchor_classes(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, flag: Column, near: float = 0.95, wide: float = 0.9) -> DataFrame:
+    """Class of each anchor by its neighbourhood: green with three near neighbours of both kinds, yellow with three near or five wide ones, else red."""
+    found = neighbourhood(anchors, rows, id_col, text, [near, wide], flag)
+    at = lambda t, c: F.coalesce(F.max(F.when(F.col("threshold") == t, F.col(c))), F.lit(0))
+    found = found.groupBy(F.col("anchor").alias(id_col)).agg(at(near, "neighbours").alias("near"), at(near, "flagged").alias("strict"), at(near, "unflagged").alias("bridge"), at(wide, "neighbours").alias("wide"))
+    out = anchors.select(id_col).join(found, id_col, "left").fillna(0, ["near", "strict", "bridge", "wide"])
+    mixed = (F.col("near") >= 3) & (F.col("strict") > 0) & (F.col("bridge") > 0)
+    return out.withColumn("class", F.when(mixed, "green").when((F.col("near") >= 3) | (F.col("wide") >= 5), "yellow").otherwise("red"))
+
+
 def components(edges: DataFrame, nodes: DataFrame, id_col: str, scratch) -> DataFrame:
     """(id, component) with the smallest id that edges (a, b) reach; nodes without an edge are their own.
 

@@ -22,10 +22,10 @@ _COUNTS = "n AS (SELECT doc_id, ch, count(*) AS k FROM s, unnest(string_split(se
            regexp_full_match(sequence, '[ACDEFGHIKLMNPQRSTVWY]+') AS valid_alphabet
     FROM s LEFT JOIN e USING (doc_id)"""))
 def composition_features(spark, sf_dir):
-    s = sequences(spark, sf_dir)
+    s = sequences(spark, sf_dir).withColumn("c", kernels.composition("sequence"))
     return s.select(
-        "doc_id", F.length("sequence").cast("long").alias("length"), F.round(tx.entropy("sequence"), 6).alias("entropy"), tx.unique_residues("sequence").cast("long").alias("unique_residues"),
-        F.round(tx.dominant_fraction("sequence"), 6).alias("dominant_fraction"), F.round(tx.letter_ratio("sequence", "text"), 6).alias("letter_ratio"), tx.valid_alphabet("sequence").alias("valid_alphabet"),
+        "doc_id", F.length("sequence").cast("long").alias("length"), F.round("c.entropy", 6).alias("entropy"), F.col("c.kinds").alias("unique_residues"),
+        F.round("c.top", 6).alias("dominant_fraction"), F.round(tx.letter_ratio("sequence", "text"), 6).alias("letter_ratio"), tx.valid_alphabet("sequence").alias("valid_alphabet"),
     )
 
 
@@ -36,7 +36,8 @@ def composition_features(spark, sf_dir):
     WHERE length(sequence) BETWEEN 120 AND 3600 AND kinds >= 14 AND entropy >= 3.2 AND top <= 0.34"""))
 def cheap_screens(spark, sf_dir):
     s = sequences(spark, sf_dir).filter(F.length("sequence").between(120, 3600))
-    return s.filter((tx.unique_residues("sequence") >= 14) & (tx.entropy("sequence") >= 3.2) & (tx.dominant_fraction("sequence") <= 0.34)).select("doc_id", F.length("sequence").cast("long").alias("length"))
+    s = s.withColumn("c", kernels.composition("sequence"))
+    return s.filter("c.kinds >= 14 AND c.entropy >= 3.2 AND c.top <= 0.34").select("doc_id", F.length("sequence").cast("long").alias("length"))
 
 
 @register("kmer_features", with_sequences("""
@@ -44,8 +45,9 @@ def cheap_screens(spark, sf_dir):
     SELECT s.doc_id, round(CASE WHEN length(sequence) >= 4 THEN kinds / total WHEN length(sequence) > 0 THEN 1.0 ELSE 0.0 END, 6) AS kmer_uniqueness,
            coalesce(kinds, CASE WHEN length(sequence) > 0 THEN 1 ELSE 0 END)::BIGINT AS kmer_count FROM s LEFT JOIN k USING (doc_id)"""))
 def kmer_features(spark, sf_dir):
-    s = sequences(spark, sf_dir)
-    return s.select("doc_id", F.round(tx.kmer_uniqueness("sequence", 4), 6).alias("kmer_uniqueness"), F.size(tx.kmers("sequence", 4)).cast("long").alias("kmer_count"))
+    s = sequences(spark, sf_dir).withColumn("kmer_count", kernels.kmer_count("sequence", 4))
+    all_ = F.greatest(F.length("sequence") - 3, F.lit(1))
+    return s.select("doc_id", F.round(F.coalesce(F.col("kmer_count") / all_, F.lit(0.0)), 6).alias("kmer_uniqueness"), "kmer_count")
 
 
 _MOTIF = "h AS (SELECT doc_id, i, sequence[i:i + 4] AS motif, length(sequence) AS n FROM s, unnest(range(1, greatest(length(sequence) - 3, 1))) AS u(i) WHERE regexp_full_match(sequence[i:i + 4], 'G[A-Z]S[A-Z]G'))"
@@ -149,9 +151,9 @@ def family_reward(spark, sf_dir):
 
 @register("normalized_scores", """
     SELECT vec_id, i::BIGINT AS i, round(CASE WHEN x < 0 THEN 1 / (1 + exp(-x)) WHEN x <= 1 THEN x ELSE least(1, x / 100) END, 6) AS score
-    FROM (SELECT vec_id, i, embedding[i]::DOUBLE * 300 AS x FROM embeddings, unnest(range(1, 9)) AS u(i))""")
+    FROM (SELECT vec_id, i, embedding[i]::DOUBLE * 300 AS x FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i))""")
 def normalized_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("p", "x"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "x"))
     return e.select("vec_id", (F.col("p") + 1).cast("long").alias("i"), F.round(scores.normalized_score(F.col("x").cast("double") * 300), 6).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.operators import pairs, selection, similarity
+from corvane.operators.candidates import confidence_weight
 from corvane.sources.records import scratch_table
 
 from .catalog import register
@@ -79,14 +80,16 @@ def preference_pairs(spark, sf_dir):
 
 
 @register("pareto_winners", C("""
-    , e AS (SELECT * FROM c WHERE hard_gate_pass AND artifact_free)
-    SELECT doc_id, score, round((score + novelty + fold / 100.0) / 3, 6) AS weight FROM e a WHERE (score + novelty + fold / 100.0) / 3 >= 0.3 AND NOT EXISTS (
-        SELECT 1 FROM e b WHERE b.lang = a.lang AND b.doc_id <> a.doc_id AND b.score >= a.score AND b.novelty >= a.novelty AND b.fold >= a.fold AND (b.score > a.score OR b.novelty > a.novelty OR b.fold > a.fold))"""))
+    , e AS (SELECT *, round(CASE WHEN doc_id % 4 = 0 THEN (artifact_free::INT + family_pass::INT + context_pass::INT + novelty_pass::INT + fold_pass::INT + score + audit_pass::INT) / (6.0::DOUBLE + audit_pass::INT)
+                            ELSE (score + novelty + fold / 100 + audit_pass::INT) / (3.0::DOUBLE + audit_pass::INT) END, 4) AS weight FROM c WHERE hard_gate_pass AND artifact_free)
+    SELECT doc_id, score, weight FROM e a WHERE weight >= 0.3 AND NOT EXISTS (
+        SELECT 1 FROM e b WHERE b.score >= a.score AND b.novelty >= a.novelty AND b.fold >= a.fold AND (b.score > a.score OR b.novelty > a.novelty OR b.fold > a.fold))"""))
 def pareto_winners(spark, sf_dir):
-    e = candidates(spark, sf_dir).filter("hard_gate_pass AND artifact_free")
-    front = selection.pareto_front(e, "doc_id", ["score", "novelty", "fold"], ["lang"])
-    w = (F.col("score") + F.col("novelty") + F.col("fold") / 100.0) / 3
-    return front.filter(w >= 0.3).select("doc_id", "score", F.round(w, 6).alias("weight"))
+    c = candidates(spark, sf_dir)
+    axes = F.create_map(F.lit("score"), F.col("score"), F.lit("novelty"), F.col("novelty"), F.lit("fold"), F.col("fold") / 100)
+    scores = F.when(F.col("doc_id") % 4 != 0, axes).otherwise(F.create_map().cast("map<string,double>"))
+    weight = confidence_weight(scores, F.col("audit_pass"), [F.col(g) for g in ("artifact_free", "family_pass", "context_pass", "novelty_pass", "fold_pass")], F.col("score"))
+    return pairs.winners(c, "doc_id", F.col("hard_gate_pass") & F.col("artifact_free"), ["score", "novelty", "fold"], weight, 0.3, "score").select("doc_id", "score", "weight")
 
 
 _PRIORITY = "family_pass DESC, context_pass DESC, fold_pass DESC, score DESC, (CASE WHEN gap_error IS NULL THEN 0 ELSE 1.0 / (1 + gap_error) END) DESC, 1 - novelty DESC, length, doc_id"
@@ -247,17 +250,18 @@ def leakage_checks(spark, sf_dir):
 
 
 @register("novelty_by_kmers", """
-    WITH q AS (SELECT p_partkey, p_name AS s FROM part WHERE p_partkey % 10 = 0), r AS (SELECT p_partkey AS r, p_name AS t FROM part WHERE p_partkey % 10 = 1),
+    WITH q AS (SELECT p_partkey, p_name AS s FROM part WHERE p_partkey % 100 = 0), r AS (SELECT p_partkey AS r, p_name AS t FROM part),
     g AS (SELECT DISTINCT p_partkey, s[i:i + 2] AS gram FROM q, unnest(range(1, greatest(length(s) - 1, 2))) u(i)), k AS (SELECT DISTINCT r, t[i:i + 2] AS gram FROM r, unnest(range(1, greatest(length(t) - 1, 2))) u(i)),
     gn AS (SELECT p_partkey, count(*) AS n FROM g GROUP BY 1), kn AS (SELECT r, count(*) AS n FROM k GROUP BY 1),
-    j AS (SELECT p_partkey, r, count(*) AS b FROM g JOIN k USING (gram) GROUP BY ALL), m AS (SELECT j.*, b / (gn.n + kn.n - b) AS jaccard FROM j JOIN gn USING (p_partkey) JOIN kn USING (r)),
+    j AS (SELECT p_partkey, r, count(*) AS b FROM g JOIN k USING (gram) GROUP BY ALL), m AS (SELECT q.p_partkey, r.r, coalesce(b / (gn.n + kn.n - b), 0) AS jaccard FROM q JOIN r ON r.r <> q.p_partkey LEFT JOIN j ON j.p_partkey = q.p_partkey AND j.r = r.r JOIN gn ON gn.p_partkey = q.p_partkey JOIN kn ON kn.r = r.r),
     x AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY jaccard DESC, r) AS k FROM m), f AS (SELECT x.*, 1 - levenshtein(s, t) / greatest(length(s), length(t)) AS identity FROM x JOIN q USING (p_partkey) JOIN r USING (r) WHERE k <= 32),
-    z AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY identity DESC, jaccard DESC, k) AS o FROM f)
-    SELECT q.p_partkey, round(coalesce(identity, 0), 6) AS identity, round(coalesce(jaccard, 0), 6) AS jaccard FROM q LEFT JOIN (SELECT * FROM z WHERE o = 1) z USING (p_partkey)""")
+    z AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY identity DESC, k) AS o FROM f WHERE identity > 0)
+    SELECT q.p_partkey, z.r AS nearest, round(coalesce(identity, 0), 6) AS identity, round(coalesce(jaccard, 0), 6) AS jaccard FROM q LEFT JOIN (SELECT * FROM z WHERE o = 1) z USING (p_partkey)""")
 def novelty_by_kmers(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    refs = p.filter("p_partkey % 10 = 1").select(F.col("p_partkey").alias("r"), "p_name")
-    return similarity.nearest_by_kmers(p.filter("p_partkey % 10 = 0"), refs, "p_partkey", "r", "p_name").select("p_partkey", F.round("identity", 6).alias("identity"), F.round("jaccard", 6).alias("jaccard"))
+    refs = p.select(F.col("p_partkey").alias("nearest"), "p_name")
+    found = similarity.nearest_by_kmers(p.filter("p_partkey % 100 = 0"), refs, "p_partkey", "nearest", "p_name", other=True)
+    return found.select("p_partkey", "nearest", F.round("identity", 6).alias("identity"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @register("edit_pairs", "SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name)::INTEGER AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2")
@@ -292,13 +296,14 @@ def anchor_neighbourhoods(spark, sf_dir):
     return similarity.neighbourhood(p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20), p, "p_partkey", "p_name", [0.9, 0.7, 0.5], F.col("p_size") > 25)
 
 
-@register("anchor_classes", C("""
-    , n AS (SELECT source, count_if(score >= 0.95) AS near, count_if(score >= 0.95 AND family_pass) AS strict, count_if(score >= 0.95 AND NOT family_pass) AS bridge, count_if(score >= 0.9) AS wide FROM c GROUP BY 1)
-    SELECT source, CASE WHEN near >= 3 AND strict > 0 AND bridge > 0 THEN 'green' WHEN near >= 3 THEN 'yellow' WHEN wide >= 5 THEN 'yellow' ELSE 'red' END AS class FROM n"""))
+@register("anchor_classes", """
+    WITH a AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 40), n AS (SELECT a.p_partkey, b.p_size > 25 AS flag, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS identity
+      FROM a JOIN part b ON a.p_name <> b.p_name AND abs(length(a.p_name) - length(b.p_name)) / greatest(length(a.p_name), length(b.p_name), 1) <= 1 - 0.5),
+    c AS (SELECT p_partkey, count_if(identity >= 0.65) AS near, count_if(identity >= 0.65 AND flag) AS strict, count_if(identity >= 0.65 AND NOT flag) AS bridge, count_if(identity >= 0.5) AS wide FROM n GROUP BY 1)
+    SELECT p_partkey, coalesce(near, 0)::BIGINT AS near, coalesce(wide, 0)::BIGINT AS wide, CASE WHEN near >= 3 AND strict > 0 AND bridge > 0 THEN 'green' WHEN near >= 3 OR wide >= 5 THEN 'yellow' ELSE 'red' END AS class FROM a LEFT JOIN c USING (p_partkey)""")
 def anchor_classes(spark, sf_dir):
-    near = F.col("score") >= 0.95
-    n = candidates(spark, sf_dir).groupBy("source").agg(F.count_if(near).alias("near"), F.count_if(near & F.col("family_pass")).alias("strict"), F.count_if(near & ~F.col("family_pass")).alias("bridge"), F.count_if(F.col("score") >= 0.9).alias("wide"))
-    return n.select("source", F.when((F.col("near") >= 3) & (F.col("strict") > 0) & (F.col("bridge") > 0), "green").when(F.col("near") >= 3, "yellow").when(F.col("wide") >= 5, "yellow").otherwise("red").alias("class"))
+    p = table(spark, sf_dir, "part")
+    return similarity.anchor_classes(p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(40), p, "p_partkey", "p_name", F.col("p_size") > 25, 0.65, 0.5).select("p_partkey", "near", "wide", "class")
 
 
 @register("prefilter_tiers", C("""
