@@ -62,11 +62,11 @@ def broken_links(df: DataFrame, order: Sequence[str], within: Sequence[str], nam
     return df.withColumn("_before", F.coalesce(F.lag(name).over(w), F.lit("0" * 64))).filter(F.col("_before") != F.col("previous_sha256")).drop("_before")
 
 
-def illegal_steps(df: DataFrame, order: Sequence[str], within: Sequence[str], state: str, allowed: dict[str | None, Sequence[str]]) -> DataFrame:
-    """Events whose state may not follow the state before them (None: the start)."""
+def illegal_steps(df: DataFrame, order: Sequence[str], within: Sequence[str], state: str, allowed: dict[str | None, Sequence[str]], any_start: bool = False, may_stay: bool = False) -> DataFrame:
+    """Events whose state may not follow the state before them (None: the start). With any_start any state may be the first, with may_stay any may follow itself."""
     w = Window.partitionBy(*within).orderBy(*order)
     before = F.lag(state).over(w)
-    legal = F.lit(False)
+    legal = (before.isNull() & F.lit(any_start)) | (before.eqNullSafe(F.col(state)) & F.lit(may_stay))
     for was, nexts in allowed.items():
         legal = legal | ((before.isNull() if was is None else before.eqNullSafe(F.lit(was))) & F.col(state).isin(list(nexts)))
     return df.withColumn("before", before).withColumn("_ok", legal).filter(~F.col("_ok")).drop("_ok")

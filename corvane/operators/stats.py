@@ -87,27 +87,67 @@ def contrasts(df: DataFrame, keys: Sequence[str], arm: str, treatment: str, cont
     return g.filter("t IS NOT NULL AND c IS NOT NULL").select(*keys, (F.col("t") - F.col("c")).alias("delta"))
 
 
-#: Most calibration values that share_below takes to every task (8 MB).
+#: Most distinct calibration values that share_below takes to every task (16 MB).
 MAX_CALIBRATION = 1_000_000
 
 
-def share_below(df: DataFrame, calibration: DataFrame, value: str, against: str) -> DataFrame:
-    """Share of calibration values at or below each value (0 without calibration).
+def share_below(df: DataFrame, calibration: DataFrame, value: str, against: str, name: str = "percentile", most: int = MAX_CALIBRATION) -> DataFrame:
+    """Share of calibration values at or below each value (0 without calibration, null for null).
 
-    The calibration is a bounded reference set; its size is checked before it is sent
-    to the tasks as one sorted array, where each batch of values is one binary search.
+    Up to `most` distinct values go to the tasks as one sorted array, where each batch is
+    one binary search. Beyond that, values and calibration are dealt over ranges that hold
+    about equal parts of the calibration, and counted within each.
     """
-    known = calibration.select(against).filter(F.col(against).isNotNull())
-    if known.count() > MAX_CALIBRATION:
-        raise ValueError("too many calibration values; sample or bin them first")
-    ordered = np.sort(np.array([r[0] for r in known.collect()], np.float64))
+    known = calibration.select(F.col(against).cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    counts = known.groupBy("_v").agg(F.count("*").alias("_k"))
+    if counts.count() > most:
+        return _share_by_ranges(df, known, value, name)
+    rows = sorted((r["_v"], r["_k"]) for r in counts.collect())
+    ordered, upto = np.array([v for v, _ in rows], np.float64), np.cumsum([0, *(k for _, k in rows)])
 
     @F.pandas_udf("double")
     def share(x: pd.Series) -> pd.Series:
-        at = np.searchsorted(ordered, x.to_numpy(np.float64), side="right") / max(1, len(ordered))
+        at = upto[np.searchsorted(ordered, x.to_numpy(np.float64), side="right")] / max(1, upto[-1])
         return pd.Series(at).where(x.notna(), None)
 
-    return df.withColumn("percentile", share(F.col(value).cast("double")))
+    return df.withColumn(name, share(F.col(value).cast("double")))
+
+
+def _share_by_ranges(df: DataFrame, known: DataFrame, value: str, name: str, ranges: int = 4096) -> DataFrame:
+    """share_below over more distinct values than a task may hold. The cuts only balance the ranges; the counts are exact."""
+    cuts = np.array(sorted(set(known.approxQuantile("_v", [i / ranges for i in range(1, ranges)], 0.0005))))
+
+    @F.pandas_udf("int")
+    def place(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(np.float64), side="left").astype(np.int32))
+
+    kept = known.groupBy("_v").agg(F.count("*").alias("_k")).withColumn("_r", place("_v"))
+    sums = np.zeros(len(cuts) + 2, np.int64)
+    for r in kept.groupBy("_r").agg(F.sum("_k").alias("_k")).collect():  # a row a range
+        sums[r["_r"] + 1] = r["_k"]
+    before = np.cumsum(sums).tolist()
+    asked = df.select(F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_r", place("_v"))
+    both = kept.select("_r", "_v", "_k").union(asked.select("_r", "_v", F.lit(0).cast("long")))
+    w = Window.partitionBy("_r").orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("_k").over(w) + F.element_at(F.array(*map(F.lit, before)), F.col("_r") + 1)
+    shares = both.withColumn("_upto", upto).groupBy("_v").agg((F.max("_upto") / F.lit(float(before[-1]))).alias(name))
+    return df.withColumn("_v", F.col(value).cast("double")).join(shares, "_v", "left").select(*df.columns, name)
+
+
+def structural_grades(df: DataFrame, calibration: DataFrame, measures: Sequence[tuple[str, bool]]) -> DataFrame:
+    """`grade`: mean of each row's percentiles among the calibration's values of the same columns.
+
+    measures: column, and whether larger is better (share at or below) or smaller is
+    (share at or above). A null value, or a column that the calibration lacks, does not count.
+    """
+    names = []
+    for column, larger in measures:
+        known = calibration.select((F.col(column) if larger else -F.col(column)).alias("_c")).filter("_c IS NOT NULL")
+        if not known.isEmpty():
+            names.append(f"_share_{column}")
+            df = share_below(df.withColumn("_x", F.col(column) if larger else -F.col(column)), known, "_x", "_c", names[-1]).drop("_x")
+    parts = F.filter(F.array(*names), lambda x: x.isNotNull()) if names else F.array().cast("array<double>")
+    return df.withColumn("grade", F.try_divide(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), F.size(parts))).drop(*names)
 
 
 def product_of_experts(rows: DataFrame, sample: str, position: str, token: str, teacher: str, logprob: str, weights: dict[str, float], missing: float, top: int) -> DataFrame:

@@ -13,9 +13,9 @@ from .views import candidates, table, with_candidates
 
 
 def _tree(spark, sf_dir):
-    """Orders as a tree of reports, one folder a customer of five, with a summary for each market segment."""
+    """Orders as a tree of reports, a run a customer, with a summary for each market segment and thousand customers: many documents a file."""
     root = records.scratch_path(spark)
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").filter("c_custkey % 100 < 2"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.withColumn("step", (F.row_number().over(Window.partitionBy("c_custkey").orderBy("o_orderkey")) - 1).cast("long"))
     done, first = F.col("o_orderstatus") == "F", F.col("o_orderpriority").startswith("1")
     record = F.struct(
@@ -23,23 +23,23 @@ def _tree(spark, sf_dir):
         F.struct(done.alias("functional_bridge_passes"), (F.col("o_orderkey") % 5).cast("int").alias("motif_count")).alias("reward_components"),
     )
     runs = o.groupBy("c_mktsegment", "c_custkey").agg(F.array_sort(F.collect_list(record)).alias("records"), F.sort_array(F.collect_list(F.when(done, F.col("step")))).alias("f"), F.sort_array(F.collect_list(F.when(first, F.col("step")))).alias("s"))
-    name = F.concat(F.lit("run-"), "c_custkey")
-    runs.select(F.col("c_custkey").alias("run"), F.to_json(F.struct("records")).alias("value")).write.partitionBy("run").text(f"{root}/runs")
-    result = F.struct(F.concat(F.lit("x/"), F.lit("run="), "c_custkey", F.lit("/report.json")).alias("report_path"), F.col("f").alias("functional_bridge_steps"), F.col("s").alias("family_faithful_bridge_steps"))
-    waves = runs.withColumn("n", name).groupBy(F.col("c_mktsegment").alias("name")).agg(F.array_sort(F.collect_list(result)).alias("results"))
-    waves.select(F.col("name").alias("wave"), F.to_json(F.struct("name", "results")).alias("value")).write.partitionBy("wave").text(f"{root}/waves")
-    return reports.read_documents(spark, f"{root}/waves", "part-*", reports.SUMMARY), reports.read_documents(spark, f"{root}/runs", "part-*", reports.REPORT)
+    runs = records.scratch_table(runs.withColumn("run", F.concat(F.lit("run="), "c_custkey")))
+    runs.select(F.to_json(F.struct("run", "records"))).write.text(f"{root}/runs")
+    result = F.struct(F.concat(F.lit("x/"), "run", F.lit("/report.json")).alias("report_path"), F.col("f").alias("functional_bridge_steps"), F.col("s").alias("family_faithful_bridge_steps"))
+    waves = runs.groupBy(F.concat_ws("-", "c_mktsegment", F.floor(F.col("c_custkey") / 1000)).alias("name")).agg(F.array_sort(F.collect_list(result)).alias("results"))
+    waves.select(F.to_json(F.struct("name", "results"))).write.text(f"{root}/waves")
+    return reports.read_documents(spark, f"{root}/waves", "part-*", reports.SUMMARY, lines=True), reports.read_documents(spark, f"{root}/runs", "part-*", reports.REPORT, lines=True)
 
 
-_ORDERS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS step FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 100 < 2)"
+_ORDERS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 AS step, c_mktsegment || '-' || c_custkey // 1000 AS wave FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
-@register("run_inventory", f"{_ORDERS} SELECT c_mktsegment AS name, count(DISTINCT c_custkey) AS results, count_if(o_orderstatus = 'F')::BIGINT AS functional, count_if(o_orderpriority LIKE '1%')::BIGINT AS faithful FROM o GROUP BY 1")
+@register("run_inventory", f"{_ORDERS} SELECT wave AS name, count(DISTINCT c_custkey) AS results, count_if(o_orderstatus = 'F')::BIGINT AS functional, count_if(o_orderpriority LIKE '1%')::BIGINT AS faithful FROM o GROUP BY 1")
 def run_inventory(spark, sf_dir):
     return reports.inventory(_tree(spark, sf_dir)[0])
 
 
-@register("report_hits", f"{_ORDERS} SELECT c_mktsegment AS wave, 'run=' || c_custkey AS run, step, o_orderpriority AS prompt, o_orderstatus AS sequence, o_totalprice AS reward, o_orderstatus = 'F' AS functional, (o_orderkey % 5)::INTEGER AS motif_count FROM o WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '1%'")
+@register("report_hits", f"{_ORDERS} SELECT wave, 'run=' || c_custkey AS run, step, o_orderpriority AS prompt, o_orderstatus AS sequence, o_totalprice AS reward, o_orderstatus = 'F' AS functional, (o_orderkey % 5)::INTEGER AS motif_count FROM o WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '1%'")
 def report_hits(spark, sf_dir):
     found = reports.hits(*_tree(spark, sf_dir)).select("wave", "run", "step", *reports.hit_columns())
     return found.select("wave", "run", "step", "prompt", "sequence", "reward", "functional", "motif_count")

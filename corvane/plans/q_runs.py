@@ -100,9 +100,11 @@ def first_differences(spark, sf_dir):
     return g.groupBy("user_id").agg(F.count("gap").alias("gaps"), F.round(F.avg(F.col("gap") / 1e6), 4).alias("mean"), F.round(F.percentile(F.col("gap") / 1e6, 0.5), 4).alias("median"), F.count_if(F.col("gap") <= 0).alias("not_increasing"))
 
 
-@register("calibration_percentiles", "SELECT l_orderkey, l_linenumber, round((SELECT count(*) FROM part WHERE p_retailprice <= l_extendedprice) / (SELECT count(*) FROM part), 6) AS percentile FROM lineitem WHERE l_linenumber = 1")
+@register("calibration_percentiles", """
+    WITH p AS (SELECT p_retailprice AS v, count(*) AS k FROM part GROUP BY 1), u AS (SELECT v, sum(k) OVER (ORDER BY v) / (SELECT count(*) FROM part) AS share FROM p)
+    SELECT l_orderkey, l_linenumber, round(coalesce(share, 0), 6) AS percentile FROM lineitem ASOF LEFT JOIN u ON l_extendedprice >= v""")
 def calibration_percentiles(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return stats.share_below(li, table(spark, sf_dir, "part"), "l_extendedprice", "p_retailprice").select("l_orderkey", "l_linenumber", F.round("percentile", 6).alias("percentile"))
 
 
@@ -212,10 +214,15 @@ def family_stats(spark, sf_dir):
     return u.agg(at(0.05, "low"), at(0.5, "middle"), at(0.95, "high"))
 
 
-@register("hash_chain_audit", "SELECT (SELECT count(*) FROM events) AS events, (SELECT count(DISTINCT user_id) FROM events) AS ledgers, 0::BIGINT AS broken")
+@register("hash_chain_audit", """
+    WITH e AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+    SELECT (SELECT count(*) FROM events) AS events, (SELECT count(DISTINCT user_id) FROM events) AS ledgers, count_if(event_id % 97 = 0 OR before % 89 = 0)::BIGINT AS broken FROM e""")
 def hash_chain_audit(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     chain = datasets.chained(e, ["event_id"], ["event_id", "event_type"], ["user_id"])
+    # tampering: a forged previous hash, and an event whose own hash was rewritten
+    forged = F.sha2(F.col("event_id").cast("string"), 256)
+    chain = chain.withColumns({"previous_sha256": F.when(F.col("event_id") % 97 == 0, forged).otherwise(F.col("previous_sha256")), "event_sha256": F.when(F.col("event_id") % 89 == 0, forged).otherwise(F.col("event_sha256"))})
     bad = datasets.broken_links(chain, ["event_id"], ["user_id"]).agg(F.count("*").alias("broken"))
     return chain.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("ledgers")).join(bad)
 
@@ -225,10 +232,7 @@ def hash_chain_audit(spark, sf_dir):
     SELECT user_id, event_id, event_type, before FROM t WHERE NOT ((before IS NULL) OR (before = event_type) OR (before = 'click' AND event_type IN ('purchase', 'view')))""")
 def illegal_transitions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
-    allowed = {None: kinds, **{k: [k] for k in kinds}}
-    allowed["click"] = ["click", "purchase", "view"]
-    return datasets.illegal_steps(e, ["event_id"], ["user_id"], "event_type", allowed)
+    return datasets.illegal_steps(e, ["event_id"], ["user_id"], "event_type", {"click": ["purchase", "view"]}, any_start=True, may_stay=True)
 
 
 @register("gap_free_prefix", """
@@ -300,6 +304,30 @@ def jsonl_round_trip(spark, sf_dir):
     return records.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
 
 
+@register("jsonl_lenient", "SELECT CASE WHEN conv_id % 5 > 0 THEN conv_id END AS conv_id, CASE WHEN conv_id % 5 > 0 THEN turn END AS turn FROM conversations")
+def jsonl_lenient(spark, sf_dir):
+    path = records.scratch_path(spark)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    c.select(F.when(F.col("conv_id") % 5 == 0, F.format_string("{bad %d", "conv_id")).otherwise(F.to_json(F.struct("conv_id", "turn"))).alias("value")).write.text(path)
+    none = records.read_jsonl_lenient(spark, f"{path}-missing", "conv_id long, turn long")
+    return records.read_jsonl_lenient(spark, path, "conv_id long, turn long").select("conv_id", "turn").union(none.select("conv_id", "turn"))
+
+
+@register("cell_reports", "SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL")
+def cell_reports(spark, sf_dir):
+    path = records.scratch_path(spark)
+    records.write_jsonl(table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")), path)
+    return records.unique_by(records.read_jsonl(spark, path, "l_orderkey long, l_linenumber int, l_quantity double"), ["l_orderkey", "l_linenumber"])
+
+
+@register("fill_rates", "SELECT o_orderpriority, round(CASE WHEN count_if(o_orderstatus = 'P') > 0 THEN count_if(o_orderstatus = 'F') / count_if(o_orderstatus = 'P') ELSE 0 END, 6) AS rate FROM orders GROUP BY 1")
+def fill_rates(spark, sf_dir):
+    from corvane.functions import text as tx
+
+    done = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.round(tx.safe_fraction(done("F"), done("P")), 6).alias("rate"))
+
+
 @register("jsonl_quarantine", "SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'bad' ELSE 'good' END AS kind FROM conversations")
 def jsonl_quarantine(spark, sf_dir):
     path = records.scratch_path(spark)
@@ -379,9 +407,9 @@ def triad_search(spark, sf_dir):
 
 
 @register("structural_grades", """
-    WITH c AS (SELECT list(p_retailprice) AS v FROM part WHERE p_partkey <= 200) SELECT p_partkey, round((len(list_filter(v, lambda x: x <= p_retailprice)) / len(v) + len(list_filter(v, lambda x: x >= p_retailprice)) / len(v)) / 2, 6) AS grade FROM part, c""")
+    WITH p AS (SELECT p_retailprice AS v, count(*) AS k FROM part GROUP BY 1), n AS (SELECT count(*) AS n FROM part), u AS (SELECT v, sum(k) OVER (ORDER BY v) / n AS below, sum(k) OVER (ORDER BY v DESC) / n AS above FROM p, n)
+    SELECT p_partkey, round((below + above) / 2, 6) AS grade FROM part JOIN u ON p_retailprice = v""")
 def structural_grades(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    c = p.filter("p_partkey <= 200").agg(F.collect_list("p_retailprice").alias("v"))
-    g = scores.structural_grade(F.col("p_retailprice"), F.col("p_retailprice"), F.lit(None).cast("double"), F.col("v"), F.col("v"), F.array().cast("array<double>"))
-    return p.join(c).select("p_partkey", F.round(g, 6).alias("grade"))
+    p = table(spark, sf_dir, "part").withColumn("distance", F.col("p_retailprice"))
+    g = stats.structural_grades(p, p, [("p_retailprice", True), ("distance", False)])
+    return g.select("p_partkey", F.round("grade", 6).alias("grade"))

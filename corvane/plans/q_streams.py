@@ -18,7 +18,7 @@ def _events(spark, sf_dir):
     return e.select(
         F.concat(F.lit("run-"), F.col("user_id") % 40).alias("run"), k.alias("step_index"), (k % 7 < 2).alias("collapsed"), F.when(k % 5 == 0, F.array(F.lit("collapsed"))).otherwise(F.array().cast("array<string>")).alias("flags"),
         F.when(k % 11 == 0, F.concat(F.lit("c"), k % 3)).otherwise("").alias("constraints"), F.when(k % 13 == 0, k % 2 == 0).alias("gate"), F.when(k % 17 == 0, (k % 100).cast("double")).alias("confidence"),
-        (k % 7 >= 2).alias("repeat_ok"), (k % 3 > 0).alias("geometry_ok"),
+        (k % 7 >= 2).alias("repeat_ok"), (k % 3 > 0).alias("geometry_ok"), F.when(k % 26 == 0, (k % 50) / 50.0).alias("grade"),
     )
 
 
@@ -34,9 +34,14 @@ def telemetry_metrics(spark, sf_dir):
     return telemetry.run_metrics(_events(spark, sf_dir)).select("run", "steps", "interventions", "finished", "viable")
 
 
-@register("telemetry_recovery")
+@register("telemetry_recovery", """
+    WITH e AS (SELECT 'run-' || user_id % 40 AS run, event_id AS k, event_id % 7 < 2 AS bad, event_id % 5 = 0 AS flag FROM events), l AS (SELECT *, coalesce(lag(bad AND NOT flag) OVER (PARTITION BY run ORDER BY k), false) AS was FROM e),
+    o AS (SELECT *, k - max(CASE WHEN bad AND NOT was THEN k END) OVER (PARTITION BY run ORDER BY k ROWS UNBOUNDED PRECEDING) AS since FROM l)
+    SELECT run, count_if(bad AND NOT was)::BIGINT AS failures, count_if(bad AND flag)::BIGINT AS detections, count_if(NOT bad AND was)::BIGINT AS recoveries,
+           avg(CASE WHEN bad AND flag THEN since END) AS detection_latency, avg(CASE WHEN NOT bad AND was THEN since END) AS recovery_time,
+           count_if(k % 26 = 0)::BIGINT AS graded, round(avg(CASE WHEN k % 26 = 0 THEN (k % 50) / 50.0::DOUBLE END), 9) AS mean_structural_score FROM o GROUP BY run""")
 def telemetry_recovery(spark, sf_dir):
-    return telemetry.run_metrics(_events(spark, sf_dir)).select("run", "failures", "detections", "recoveries", "detection_latency", "recovery_time")
+    return telemetry.run_metrics(_events(spark, sf_dir)).select("run", "failures", "detections", "recoveries", "detection_latency", "recovery_time", "graded", F.round("mean_structural_score", 9).alias("mean_structural_score"))
 
 
 @register("streamed_telemetry", f"""{_TOTALS}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,11 +12,13 @@ from pyspark.sql.types import StructType
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; one is made and set only where none is."""
+    """A fresh path in the folder that spark.checkpoint.dir names. Only a local master, all one process, gets a folder of its own where none is."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not context.isLocal():
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         root = context.getCheckpointDir().get()
     return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -27,7 +28,6 @@ def scratch_table(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    gc.collect()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPORT = (
-    "records array<struct<step: long, prompt: string, extracted_sequence: string, reward: double, "
+    "run string, records array<struct<step: long, prompt: string, extracted_sequence: string, reward: double, "
     "reward_components: struct<esm_reward: double, functional_bridge_passes: boolean, family_faithful_bridge_passes: boolean, motif_count: int, esm_gate_pass: boolean>, "
     "family_evaluation: struct<length: int, passes_core_screen: boolean, has_family_serine_motif: boolean, catalytic_geometry: struct<best_gap_error: int, passes: boolean>, novelty: struct<closest_edit_identity: double>>, "
     "selection_metadata: struct<stage1_rank: int, stage2_rank: int, stage2_score: double>, sequence_quality: struct<is_valid: boolean, hard_gate_pass: boolean, soft_floor_pass: boolean, is_trainable: boolean>>>"
 )
-SUMMARY = "name string, results array<struct<report_path: string, functional_bridge_steps: array<long>, family_faithful_bridge_steps: array<long>>>"
+SUMMARY = "run string, name string, results array<struct<report_path: string, functional_bridge_steps: array<long>, family_faithful_bridge_steps: array<long>>>"
 
 
 def run_of(path: Column) -> Column:
@@ -19,11 +19,14 @@ def run_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
-def read_documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    """All documents of one file name pattern below a root, each with its run; documents that do not parse have null fields."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("wholetext", "true").text(root)
-    parsed = files.select(run_of(F.col("_metadata.file_path")).alias("run"), F.from_json("value", schema).alias("d"))
-    return parsed.select("run", "d.*")
+def read_documents(spark: SparkSession, root: str, name: str, schema: str, lines: bool = False) -> DataFrame:
+    """All documents of one file name pattern below a root, each with its run: the one it names, or the folder it lies in.
+
+    A file holds one document, or with `lines` one a line. Documents that do not parse have null fields.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("wholetext", str(not lines).lower()).text(root)
+    parsed = files.select(run_of(F.col("_metadata.file_path")).alias("folder"), F.from_json("value", schema).alias("d")).select("folder", "d.*")
+    return parsed.withColumn("run", F.coalesce("run", "folder")).drop("folder")
 
 
 def inventory(summaries: DataFrame) -> DataFrame:

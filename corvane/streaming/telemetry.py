@@ -1,8 +1,9 @@
-"""Telemetry of generation runs: an ordered state machine, in batch and as keyed stream state.
+"""Telemetry of generation runs: windows over each run's events in batch, keyed state in a stream.
 
-Both use one step function. In batch each run's events are folded in order; a run is
-one experiment of bounded length (MAX_STEPS, checked). In a stream, state per run is kept by
-applyInPandasWithState and the metrics so far are emitted with each batch.
+After an event a run is in failure if the event is collapsed and raises no failure flag,
+whatever came before, so in batch the state is a lag and onsets are where it begins. In
+a stream, state per run is kept by applyInPandasWithState and the metrics so far are
+emitted with each batch.
 """
 
 from __future__ import annotations
@@ -11,11 +12,10 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass, fields
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-MAX_STEPS = 1_000_000
 FAILURE_FLAGS = frozenset(("tandem_repeat", "motif_spam", "geometry_fail", "collapsed"))
 #: Fold confidence above which a finished sequence counts when no structural gate was run.
 FALLBACK_CONFIDENCE = 70.0
@@ -36,8 +36,10 @@ class Metrics:
     viable: int = 0
     failing_since: int = -1
     constraints: str = ""
+    graded: int = 0
+    grades: float = 0.0
 
-    def step(self, index: int, collapsed: bool, flags: list[str], constraints: str, gate: bool | None, confidence: float | None, repeat_ok: bool, geometry_ok: bool) -> None:
+    def step(self, index: int, collapsed: bool, flags: list[str], constraints: str, gate: bool | None, confidence: float | None, repeat_ok: bool, geometry_ok: bool, grade: float | None = None) -> None:
         """One event. A flag raised in failure ends the failure, so such a failure never gives a recovery."""
         self.steps += 1
         new = bool(constraints) and constraints != self.constraints
@@ -58,21 +60,26 @@ class Metrics:
         if gate is not None:
             self.finished += 1
             self.viable += gate and repeat_ok
+            if grade is not None:
+                self.graded += 1
+                self.grades += grade
         elif confidence is not None:
             self.finished += 1
             self.viable += confidence > FALLBACK_CONFIDENCE and repeat_ok and geometry_ok
 
 
-_STATE = ", ".join(f"{f.name} {'string' if f.name == 'constraints' else 'long'}" for f in fields(Metrics))
-SCHEMA = "run string, steps long, interventions long, failures long, detections long, recoveries long, finished long, viable long, detection_latency double, recovery_time double, viable_rate double"
+_STATE = ", ".join(f"{f.name} { {'str': 'string', 'float': 'double'}.get(f.type, 'long')}" for f in fields(Metrics))
+SCHEMA = "run string, steps long, interventions long, failures long, detections long, recoveries long, finished long, viable long, detection_latency double, recovery_time double, viable_rate double, graded long, mean_structural_score double"
 EVENTS = "run string, step_index long, collapsed boolean, flags array<string>, constraints string, gate boolean, confidence double, repeat_ok boolean, geometry_ok boolean"
+#: A gate's structural score may stand beside.
+GRADED_EVENTS = EVENTS + ", grade double"
 
 
 def _feed(metrics: Metrics, rows: pd.DataFrame) -> Metrics:
     for r in rows.sort_values("step_index").itertuples(index=False):
         gate = None if pd.isna(r.gate) else bool(r.gate)
         confidence = None if pd.isna(r.confidence) else float(r.confidence)
-        metrics.step(int(r.step_index), bool(r.collapsed), [] if r.flags is None else list(r.flags), r.constraints or "", gate, confidence, bool(r.repeat_ok), bool(r.geometry_ok))
+        metrics.step(int(r.step_index), bool(r.collapsed), [] if r.flags is None else list(r.flags), r.constraints or "", gate, confidence, bool(r.repeat_ok), bool(r.geometry_ok), None if pd.isna(getattr(r, "grade", None)) else float(r.grade))
     return metrics
 
 
@@ -80,20 +87,31 @@ def _report(run: str, m: Metrics) -> pd.DataFrame:
     row = {
         "run": run, "steps": m.steps, "interventions": m.interventions, "failures": m.failures, "detections": m.detections, "recoveries": m.recoveries, "finished": m.finished, "viable": m.viable,
         "detection_latency": m.detection_steps / m.detections if m.detections else None, "recovery_time": m.recovery_steps / m.recoveries if m.recoveries else None,
-        "viable_rate": m.viable / m.finished if m.finished else 0.0,
+        "viable_rate": m.viable / m.finished if m.finished else 0.0, "graded": m.graded, "mean_structural_score": m.grades / m.graded if m.graded else None,
     }
     return pd.DataFrame([row])
 
 
 def run_metrics(events: DataFrame) -> DataFrame:
-    """Metrics of each run from all its events (columns as in EVENTS)."""
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_STEPS:
-            raise ValueError(f"run {key[0]} has {len(rows)} steps")
-        return _report(key[0], _feed(Metrics(), rows))
-
-    return events.groupBy("run").applyInPandas(fold, SCHEMA)
+    """Metrics of each run from all its events (columns as in EVENTS, or GRADED_EVENTS), ordered by step_index."""
+    w = Window.partitionBy("run").orderBy("step_index")
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    flagged = F.coalesce(F.exists("flags", lambda f: f.isin(sorted(FAILURE_FLAGS))), F.lit(False))
+    bad = F.coalesce("collapsed", F.lit(False))
+    e = events.withColumns({"bad": bad, "caught": bad & flagged, "words": F.nullif(F.coalesce("constraints", F.lit("")), F.lit("")), "score": F.col("grade") if "grade" in events.columns else F.lit(None).cast("double")})
+    e = e.withColumns({"was": F.coalesce(F.lag(F.col("bad") & ~F.col("caught")).over(w), F.lit(False)), "said": F.last("words", ignorenulls=True).over(before)})
+    e = e.withColumn("onset", F.when(F.col("bad") & ~F.col("was"), F.col("step_index")))
+    e = e.withColumn("since", F.col("step_index") - F.last("onset", ignorenulls=True).over(upto))
+    healed = ~F.col("bad") & F.col("was")
+    ready, fit = F.col("gate").isNotNull(), F.coalesce("repeat_ok", F.lit(False))
+    viable = F.when(ready, F.col("gate") & fit).when(F.col("confidence").isNotNull(), (F.col("confidence") > FALLBACK_CONFIDENCE) & fit & F.coalesce("geometry_ok", F.lit(False)))
+    changed = F.col("words").isNotNull() & ~F.col("words").eqNullSafe(F.col("said"))
+    return e.groupBy("run").agg(
+        F.count("*").alias("steps"), F.count_if(changed | (F.coalesce(F.size("flags"), F.lit(0)) > 0)).alias("interventions"), F.count("onset").alias("failures"), F.count_if("caught").alias("detections"), F.count_if(healed).alias("recoveries"),
+        F.count_if(ready | F.col("confidence").isNotNull()).alias("finished"), F.count_if(viable).alias("viable"),
+        F.avg(F.when(F.col("caught"), F.col("since"))).alias("detection_latency"), F.avg(F.when(healed, F.col("since"))).alias("recovery_time"),
+        F.coalesce(F.try_divide(F.count_if(viable), F.count(viable)), F.lit(0.0)).alias("viable_rate"), F.count(F.when(ready, F.col("score"))).alias("graded"), F.avg(F.when(ready, F.col("score"))).alias("mean_structural_score"),
+    )
 
 
 def stream_metrics(events: DataFrame) -> DataFrame:
