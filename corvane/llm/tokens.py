@@ -2,10 +2,11 @@
 
 Both vocabularies split a text at white space before merging, so a text's ids are
 those of its chunks (white space, then the bytes up to the next white space) one after
-the other. Chunks repeat; a worker keeps the ids of those it has met, by a 64-bit hash
-of their bytes, and asks the tokenizers library only for new ones, many at a time. The
-store is numpy arrays of some 50 bytes a chunk; when it holds CACHE chunks, those met
-once only are dropped, and all of them if that is not enough.
+the other. A special token's string is a chunk of its own, as it is for the library.
+Chunks repeat; a worker keeps the ids of those it has met, finds them by a 64-bit hash,
+compares their bytes, and asks the tokenizers library only for new ones, many at a
+time. The store is numpy arrays of some 60 bytes a chunk; when it holds CACHE chunks,
+those met once only are dropped, and all of them if that is not enough.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ CACHE = 1_200_000
 #: Code points of Unicode White_Space beyond ASCII, which the vocabularies' patterns mean by \\s.
 _WIDE_SPACE = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _MARK = "|"
+_TOGETHER = 256  # chunks that the library encodes as one text; longer texts cost it more a byte
 
 
 def space_mask(buf: np.ndarray) -> np.ndarray:
@@ -41,20 +43,32 @@ def space_mask(buf: np.ndarray) -> np.ndarray:
     return mask
 
 
+def _agree(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the bytes a[a_starts : +lengths] and b[b_starts : +lengths] are the same; a and b are views of eight_bytes."""
+    out = np.ones(len(lengths), dtype=bool)
+    rest, done = np.arange(len(lengths)), 0
+    while len(rest):
+        left = lengths[rest] - done
+        out[rest] &= ((a[a_starts[rest] + done] ^ b[b_starts[rest] + done]) & tk.FIRST_BYTES[np.minimum(left, 8)]) == 0
+        done += 8
+        rest = rest[(left > 8) & out[rest]]
+    return out
+
+
 class Encoder:
-    """Encodes texts to ids without special tokens; text that spells one is ordinary text."""
+    """Encodes texts to ids as the library does without adding special tokens; one that a text spells counts as such."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         # a vocabulary without word ends spells every byte of a text as one character, so ids have byte lengths
         self.mark = model["vocab"][_MARK + model["end_of_word_suffix"]] if model["end_of_word_suffix"] else None
-        self.widths = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+        self.widths = np.zeros(1 + max(*model["vocab"].values(), *self.library.get_added_tokens_decoder()), np.int64)
         for word, i in model["vocab"].items():
             self.widths[i] = len(word)
         self._forget()
@@ -66,19 +80,25 @@ class Encoder:
         self.counts = np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.text_starts = np.zeros(0, np.int64)
+        self.text_sizes = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
 
     def _trim(self) -> None:
         """Keep the chunks that were met more than once, or none if those fill half of the store."""
         keep = self.uses > 1
         if 2 * int(keep.sum()) > CACHE:
             return self._forget()
-        counts, starts = self.counts[keep], self.starts[keep]
-        ends = np.cumsum(counts)
-        self.pool = self.pool[np.arange(int(counts.sum())) + np.repeat(starts - (ends - counts), counts)]
+        for pool, starts, sizes in (("pool", "starts", "counts"), ("text", "text_starts", "text_sizes")):
+            counts, low = getattr(self, sizes)[keep], getattr(self, starts)[keep]
+            ends = np.cumsum(counts)
+            setattr(self, pool, getattr(self, pool)[np.arange(int(counts.sum())) + np.repeat(low - (ends - counts), counts)])
+            setattr(self, starts, ends - counts)
+            setattr(self, sizes, counts)
         place = np.cumsum(keep) - 1
         stay = keep[self.entry]
         self.known, self.entry = self.known[stay], place[self.entry[stay]]
-        self.starts, self.counts, self.uses = ends - counts, counts, np.ones(len(counts), np.int64)
+        self.uses = np.ones(len(self.starts), np.int64)
 
     def _alone(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
@@ -86,17 +106,19 @@ class Encoder:
         return np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())), counts
 
     def _together(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks that begin with a space and hold more than spaces, encoded as one text and cut again."""
+        """Ids of chunks that begin with a space and hold more than spaces, encoded as a few texts and cut again."""
+        mark = b"" if self.mark is None else f" {_MARK}".encode()
+        texts = [(mark.join([*chunks[a : a + _TOGETHER], b""])).decode() for a in range(0, len(chunks), _TOGETHER)]
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([np.array(x, np.uint32) for x in found])
         if self.mark is None:
-            ids = np.array(self.library.encode(b"".join(chunks).decode(), add_special_tokens=False).ids, np.uint32)
             ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
             upto = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
             return ids, np.diff(upto, prepend=0)
-        ids = np.array(self.library.encode((f" {_MARK}".encode()).join([*chunks, b""]).decode(), add_special_tokens=False).ids, np.uint32)
         marks = np.flatnonzero(ids == self.mark)
         return np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
 
-    def _learn(self, hashes: np.ndarray, chunks: list[bytes], joins: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes], joins: np.ndarray, findable: bool = True) -> None:
         """Store the ids of new chunks; those that `joins` marks are encoded together."""
         order, parts = [], []
         for pick, encode in ((joins, self._together), (~joins, self._alone)):
@@ -112,10 +134,33 @@ class Encoder:
         self.counts = np.concatenate([self.counts, counts])
         self.uses = np.concatenate([self.uses, np.zeros(len(order), np.int64)])
         self.pool = np.concatenate([self.pool, ids])
-        known = np.concatenate([self.known, hashes[order]])
-        entry = np.concatenate([self.entry, np.arange(base, base + len(order))])
-        place = np.argsort(known)
-        self.known, self.entry = known[place], entry[place]
+        bodies = [chunks[i] for i in order.tolist()]
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        self.text_starts = np.concatenate([self.text_starts, len(self.text) + np.cumsum(sizes) - sizes])
+        self.text_sizes = np.concatenate([self.text_sizes, sizes])
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(bodies), np.uint8)])
+        if findable:
+            fresh = np.argsort(hashes[order])
+            place = np.searchsorted(self.known, hashes[order][fresh])
+            self.known = np.insert(self.known, place, hashes[order][fresh])
+            self.entry = np.insert(self.entry, place, base + fresh)
+
+    def _special_spans(self, buf: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where the texts spell a special token: leftmost first, of several the longest."""
+        found: dict[int, int] = {}
+        for word in self.special:
+            at = np.flatnonzero(buf[: max(0, len(buf) - len(word) + 1)] == word[0])
+            for k in range(1, len(word)):
+                if not len(at):
+                    break
+                at = at[buf[at + k] == word[k]]
+            for i in at[np.searchsorted(offsets, at, side="right") == np.searchsorted(offsets, at + len(word) - 1, side="right")].tolist():
+                found[i] = max(found.get(i, 0), i + len(word))
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(found.items()):
+            if not out or a >= out[-1][1]:
+                out.append((a, b))
+        return out
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each text's with `end` behind them, and n+1 offsets; null counts as empty."""
@@ -126,6 +171,10 @@ class Encoder:
         begin[:-1] = space
         begin[1:-1] &= ~space[:-1]
         begin[offsets[:-1]] = True
+        apart = self._special_spans(buf, offsets)
+        for a, b in apart:
+            begin[a : b + 1] = False
+            begin[[a, b]] = True
         starts = np.flatnonzero(begin[:-1])
         ends = np.append(starts[1:], len(buf))[: len(starts)]
         upto = np.searchsorted(starts, offsets)
@@ -151,6 +200,13 @@ class Encoder:
             self.uses[self.entry[at]] += np.diff(np.append(np.flatnonzero(fresh), len(ordered)))
         entry = np.empty(len(hashes), np.int64)
         entry[order] = self.entry[at][np.cumsum(fresh) - 1] if len(ordered) else 0
+        sizes = ends - starts
+        wrong = self.text_sizes[entry] != sizes
+        wrong[~wrong] = ~_agree(tk.eight_bytes(buf), starts[~wrong], tk.eight_bytes(self.text), self.text_starts[entry[~wrong]], sizes[~wrong])
+        if wrong.any():  # another chunk with the same hash
+            at = np.flatnonzero(wrong)
+            self._learn(hashes[at], [buf[starts[i] : ends[i]].tobytes() for i in at.tolist()], np.zeros(len(at), bool), findable=False)
+            entry[at] = len(self.starts) - len(at) + np.arange(len(at))
         counts = self.counts[entry]
         before = np.concatenate(([0], np.cumsum(counts)))
         bounds = before[upto] + np.arange(n + 1)
