@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,20 +53,31 @@ def dedup_brute(rows):
 
 
 def join_brute(rows, k=3, threshold=90):
-    sets = {}
+    """(shingles, component) of each row in order: links between rows of any two ids, rows of one id being one node."""
+    sets = []
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
-    label = {d: d for d in sets}
+        sets.append((d, {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()))
+    links = []
+    for i, (a, s) in enumerate(sets):
+        for b, u in sets[:i]:
+            both = len(s & u)
+            if both and 100 * both >= threshold * len(s | u):
+                links.append((a, b))
+    label = {d: d for d, _ in sets}
     changed = True
     while changed:
         changed = False
-        for a in sets:
-            for b in sets:
-                both = len(sets[a] & sets[b])
-                if both and 100 * both >= threshold * len(sets[a] | sets[b]) and label[b] < label[a]:
-                    label[a], changed = label[b], True
-    return {d: (len(s), label[d]) for d, s in sets.items()}
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return [(d, len(s), label[d]) for d, s in sets]
+
+
+def joined(spark, rows, *options):
+    found = ngram_join.ngram_join(table(spark, [(d, t, "en", "s") for d, t in rows]), *options).collect()
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found)
 
 
 def passages(seed, n=60):
@@ -137,8 +149,7 @@ def test_substring_dedup_texts(spark):
 @pytest.mark.parametrize(("seed", "k", "threshold"), [(2, 3, 90), (3, 3, 90), (4, 5, 80), (5, 2, 50)])
 def test_ngram_join(spark, seed, k, threshold):
     rows = passages(seed, 80)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, [(d, t, "en", "s") for d, t in rows]), k, threshold).collect()}
-    assert got == join_brute(rows, k, threshold)
+    assert joined(spark, rows, k, threshold) == sorted(join_brute(rows, k, threshold))
 
 
 def test_ngram_join_chain_of_near_copies(spark):
@@ -147,17 +158,48 @@ def test_ngram_join_chain_of_near_copies(spark):
     for i in range(40):  # each differs from the next by one word: ends of the chain share little
         base[3 * i % 120] = f"x{i}"
         rows.append((i, " ".join(base)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, [(d, t, "en", "s") for d, t in rows])).collect()}
-    assert got == join_brute(rows)
+    assert joined(spark, rows) == sorted(join_brute(rows))
+
+
+@pytest.mark.parametrize("small_cells", [False, True])
+def test_ngram_join_hot_bucket(spark, monkeypatch, small_cells):
+    """Near copies of one text around the threshold, a star around it, and a passage in many other documents."""
+    if small_cells:
+        for name, value in (("CELL_ROWS", 16), ("CELL_BYTES", 20_000), ("_EXPAND", 500), ("CLOSEST", 1)):
+            monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        w = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            w[rnd.randrange(200)] = f"x{rnd.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join([*(f"y{rnd.randrange(10_000)}" for _ in range(12)), *base[:60]])) for i in range(200, 260)]
+    assert joined(spark, rows, 5, 80) == sorted(join_brute(rows, 5, 80))
+
+
+def test_ngram_join_repeated_ids(spark):
+    a, b, c = "a b c d e f g h", "a b c q r s t", "x y z"
+    rows = [(1, a), (5, a), (5, b), (2, b), (9, b), (7, ""), (7, c), (3, c), (8, None), (8, "x y z"), (4, ""), (6, "u v"), (6, "u v")]
+    assert joined(spark, rows) == sorted(join_brute(rows))
+    assert {d: c for d, _, c in joined(spark, rows)} == {1: 1, 5: 1, 2: 1, 9: 1, 7: 3, 3: 3, 8: 3, 4: 4, 6: 6}
 
 
 def test_ngram_join_edges(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, EDGE)).collect()), key=repr)
-    want = join_brute([r[:2] for r in EDGE if r[0] is not None])
-    assert [x for x in got if x[0] is not None] == sorted([(d, *want[d]) for d in [r[0] for r in EDGE if r[0] is not None]], key=repr)
+    assert [x for x in got if x[0] is not None] == sorted(join_brute([r[:2] for r in EDGE if r[0] is not None]), key=repr)
     assert [x for x in got if x[0] is None] == [(None, 398, None)]
 
 
+def test_rows_without_id_spread_over_batches(spark):
+    rows = [(None, " ".join(f"w{i % 7} u{i} v{j}" for j in range(20)), None, None) for i in range(400)] + [(3, " ".join(f"w{i % 7} u{i} v{j}" for i in range(40) for j in range(3)), None, None)]
+    docs = table(spark, rows)
+    assert docs.select(corpus.batch_key(16).alias("b")).groupBy("b").count().agg({"count": "max"}).first()[0] < 60
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(docs).collect()), key=repr)
+    assert got == dedup_brute([r[:2] for r in rows])
+
+
 def test_empty_tables(spark):
     empty = table(spark, [])
     items = spark.createDataFrame([], "item_id long, text string")
@@ -165,7 +207,7 @@ def test_empty_tables(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     for found in (
         substring_dedup.substring_dedup(empty), ngram_join.ngram_join(empty), decontaminate.leaks(empty, items), language.identify(empty), token_files.token_output(empty, path), pii.find_pii(empty),
-        secret_scan.find_secrets(empty), packing.pack(empty, path), quality.classify(empty, labels), topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")),
+        secret_scan.find_secrets(empty, path), packing.pack(empty, path), quality.classify(empty, labels), topk.exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ):
         assert found.count() == 0
 
@@ -204,20 +246,90 @@ def test_decontamination_edges(spark):
     assert found == {(4, 3, 0, 0), (5, 3, 0, 0), *((d, 4, 1, 0) for d in (7, 8, 9, None))}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 @settings(deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.lists(st.integers(0, 3), max_size=12))
 def test_locate_is_the_smallest_edit_distance(item, region):
-    def edit(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    d, a, b = decontaminate.locate(np.array(item), np.array(region, np.int64))
-    assert d == min(edit(item, region[i:j]) for i in range(len(region) + 1) for j in range(i, len(region) + 1))
-    assert edit(item, region[a:b]) == d
+    d, a, b = decontaminate.locate(np.array(item, np.uint64), np.array(region, np.uint64))
+    assert d == min(edits(item, region[i:j]) for i in range(len(region) + 1) for j in range(i, len(region) + 1))
+    assert edits(item, region[a:b]) == d
+
+
+def nearby(rnd, words, count, vocabulary):
+    w = list(words)
+    for _ in range(count):
+        p, what = rnd.randrange(len(w)), rnd.random()
+        if what < 0.4:
+            w[p] = rnd.choice(vocabulary)
+        elif what < 0.7 and len(w) > 1:
+            del w[p]
+        else:
+            w.insert(p, rnd.choice(vocabulary))
+    return w
+
+
+def test_decontamination_against_all_windows():
+    """Every run of every document within the limit of every item, by plain edit distance."""
+    rnd = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [rnd.choices(vocabulary, k=rnd.randint(1, 18)) for _ in range(25)]
+    items += [[*items[0][:6], *rnd.choices(vocabulary, k=9)] for _ in range(5)]  # a shared header
+    docs = [[*rnd.choices(vocabulary, k=rnd.randint(0, 20)), *nearby(rnd, x, rnd.randint(0, len(x) // 4), vocabulary), *rnd.choices(vocabulary, k=rnd.randint(0, 20))] for x in items * 2]
+    _, hashes = decontaminate._hashed_words(pa.array([" ".join(x) for x in items]))
+    bounds = np.cumsum([0, *map(len, items)])
+    index = decontaminate.Index(list(range(len(items))), [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    got = {(d, i): k for d, i, _, _, k in index.match(pa.array([" ".join(x) for x in docs]))}
+    want = {}
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            k = min(edits(item, words[a : a + n]) for n in range(max(1, len(item) - 4), len(item) + 5) for a in range(max(1, len(words) - n + 1)))
+            if k <= len(item) * 20 // 100:
+                want[d, i] = k
+    assert set(got) <= set(want) and len(want) > 60
+    assert len(set(got) & set(want)) >= 0.97 * len(want)
+    assert all(got[x] >= want[x] for x in got) and np.mean([got[x] == want[x] for x in got]) >= 0.97
+
+
+def test_sampling_reaches_its_recall():
+    """AGREE and the recall of the sampled keys alone, on windows at the largest allowed distance."""
+    rnd = random.Random(12)
+    hit, agree, total = 0, [], 0
+    for _ in range(150):
+        n = rnd.randint(15, 60)
+        item = [rnd.getrandbits(63) for _ in range(n)]
+        window = nearby(rnd, item, n * 20 // 100, [rnd.getrandbits(63) for _ in range(500)])[:n]
+        rows = np.zeros((2, n), np.uint64)
+        rows[0], rows[1, : len(window)] = item, window
+        sizes = np.array([n, n])
+        every = np.stack([np.full((2, 4), p) for p in range(3 * n)])[..., None]
+        signs = np.array([decontaminate.embed(rows, np.broadcast_to(x, (2, 4, 1)), 4) for x in every])
+        agree.append(np.mean(signs[:, 0] == signs[:, 1]))
+        keys = decontaminate.embed(rows, decontaminate.sample_places(sizes, decontaminate.REPEATS, decontaminate.SAMPLES), decontaminate.REPEATS)
+        hit, total = hit + bool((keys[0] == keys[1]).any()), total + 1
+    assert np.mean(agree) >= decontaminate.AGREE
+    assert hit / total >= 0.95
+
+
+def test_decontamination_with_a_shared_header_and_long_items():
+    rnd = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    header = rnd.choices(vocabulary, k=14)
+    items = [[*header, *rnd.choices(vocabulary, k=26)] for _ in range(4000)] + [rnd.choices(vocabulary, k=3000)]
+    _, hashes = decontaminate._hashed_words(pa.array([" ".join(x) for x in items]))
+    bounds = np.cumsum([0, *map(len, items)])
+    begun = time.process_time()
+    index = decontaminate.Index(list(range(len(items))), [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    texts = [" ".join(header * 300), " ".join([*header * 5, *items[7], *header]), " ".join(["x", *nearby(rnd, items[-1], 300, vocabulary)])]
+    assert [(d, i) for d, i, *_ in index.match(pa.array(texts))] == [(1, 7), (2, 4000)]
+    assert time.process_time() - begun < 40
 
 
 def test_language(spark):
@@ -231,18 +343,82 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in edge.values())
 
 
+@settings(deadline=None)
+@given(st.text(alphabet="abé1 .\n", max_size=40), st.sampled_from([1, 2, 3, 1 << 18]))
+def test_grams_are_all_grams(text, piece):
+    """Every 1 to 3 places of letters, each run of other characters being one place, against a plain count."""
+    want = Counter()
+    marked = "\0" + re.sub(r"[^abé]+", "\0", text.strip("1 .\n")) + "\0" if text.strip("1 .\n") else ""
+    for n in (1, 2, 3):
+        for i in range(len(marked) - n + 1):
+            gram = marked[i : i + n]
+            if gram.strip("\0") and not (n == 3 and gram[1] == "\0"):
+                want[(n, gram)] += 1
+    language.PIECE, before = piece, language.PIECE
+    try:
+        keys, counts = language.grams(text)
+    finally:
+        language.PIECE = before
+    assert sorted(counts.tolist()) == sorted(want.values()) and len(set(keys.tolist())) == len(keys)
+
+
+def test_language_against_plain_distances():
+    texts = [("en", "the cat and the dog sat on the mat"), ("de", "der hund und die katze sassen auf der matte"), ("fr", "le chat et le chien sont sur le tapis")]
+    profiles = language.Profiles(texts * 2, 40)
+    for _, text in texts:
+        for probe in (text, text[:9], "zzz qqq", "tt"):
+            own = language.ranked(*language.grams(probe), 40).tolist()
+            apart = []
+            for name in profiles.names:
+                keys, counts = language.grams(next(t for lang, t in texts if lang == name))
+                ranks = {k: i for i, k in enumerate(language.ranked(keys, 2 * counts, 40).tolist())}
+                apart.append(sum(abs(ranks[k] - i) if k in ranks else 40 for i, k in enumerate(own)))
+            assert profiles.distances(probe)[0].tolist() == apart
+            assert profiles.predict(probe)[0] == profiles.names[apart.index(min(apart))]
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "é", "\u0301", "'s", "1", ".", "\x85", "\u2003", "\x1c", "😀", "|", " |", "<|endoftext|>", "İ"]), max_size=12).map("".join), max_size=6))
+@given(st.lists(st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "é", "\u0301", "'s", "1", ".", "\x85", "\u2003", "\x1c", "😀", "|", " |", "<|endoftext|>", "<|startoftext|>", "<|", "endoftext|>", "İ"]), max_size=12).map("".join), max_size=6))
 def test_ids_are_the_library_s(texts):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = public_tokenizers.path(name)
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
         ids, bounds = tokens.encoder(path).encode(pa.array([*texts, None], pa.string()), 2)
         want = [[*x.ids, 2] for x in library.encode_batch([*texts, ""], add_special_tokens=False)]
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
 
 
+def test_ids_of_texts_whose_hashes_collide(monkeypatch):
+    texts = ["a bb ccc", "bb a", "ccc <|endoftext|> a<|startoftext|>bb"]
+    monkeypatch.setattr(textkit, "word_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = tokens.Encoder(public_tokenizers.path(name))
+        for _ in range(2):
+            ids, bounds = own.encode(pa.array(texts), 2)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*x.ids, 2] for x in own.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def thue_morse(n):
+    """Two words of 2**n letters that any sum of letters times powers of an odd number takes for equal, if n is large."""
+    a = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[x] for x in a), "".join("ba"[x] for x in a)
+
+
+def test_words_that_a_polynomial_takes_for_equal(spark):
+    x, y = thue_morse(11)
+    for n in (3, 11, 13):
+        buf, offsets = textkit.text_buffer(pa.array(thue_morse(n)))
+        assert len(set(textkit.word_hashes(buf, *textkit.word_spans(buf, offsets)[:2]).tolist())) == 2
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words, x]), None, None), (2, " ".join([*words, y]), None, None), (3, x, None, None), (4, y, None, None)]
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(table(spark, rows)).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert all(r["component_id"] == r["doc_id"] for r in ngram_join.ngram_join(table(spark, rows[2:])).collect())
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = tokens.encoder(public_tokenizers.path(name))
+        ids, bounds = own.encode(pa.array([x, y]), 1)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*e.ids, 1] for e in own.library.encode_batch([x, y], add_special_tokens=False)]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_vbyte_round_trip(values):
     v = np.array(values, np.uint64).astype(np.uint32)
@@ -357,13 +533,23 @@ def test_pii_rows(spark):
 
 
 def test_secrets(spark):
-    forest = secret_scan.fit()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = secret_scan.dictionary(path)
+    assert {"password", "river", "example"} <= words and "xqzt" not in words
+    forest = secret_scan.fit(words)
     test = secret_scan.labelled_findings(400, seed=123)
-    chance = forest.probability(np.array([secret_scan.features(t, f) for t, f, _ in test]))
+    rows = np.array([secret_scan.features(t, f, words) for t, f, _ in test])
+    chance = forest.probability(rows)
+
+    def walk(tree, row, at=0):  # a plain version of the forest
+        feature, threshold, left, right, share = tree
+        return share[at] if feature[at] < 0 else walk(tree, row, left[at] if row[feature[at]] <= threshold[at] else right[at])
+
+    assert np.allclose(chance, [np.mean([walk(t, r) for t in forest.trees]) for r in rows])
     assert np.mean((chance >= 0.5) == np.array([y for *_, y in test])) >= 0.97
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rows = [*EDGE, (70, f'see token = "{key}" there', None, None), (71, f"commit {key} done", None, None), (72, "AKIA" + "ABCDEFGHIJKLMNOP", None, None)]
-    got = {r["doc_id"]: r for r in secret_scan.find_secrets(table(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in secret_scan.find_secrets(table(spark, rows), path).collect()}
     assert set(got) == {70, 72}
     assert got[70]["secret_sha256"] == hashlib.sha256(key.encode()).hexdigest()
 
@@ -380,6 +566,77 @@ def test_secret_prefilter_loses_nothing():
     assert not secret_scan._suspects(pa.array(["Internationalisation of plain words"]))[0]
 
 
+def test_secret_rules_as_written():
+    """Candidates by plain patterns, each later one left out where it overlaps an earlier one."""
+    plain = {**dict(secret_scan._RULES), "jwt": re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")}
+
+    def brute(text):
+        out = []
+        for rule, pattern in plain.items():
+            for m in pattern.finditer(text):
+                a, b = m.span("value") if "value" in pattern.groupindex else m.span()
+                if all(b <= x or y <= a for _, x, y in out):
+                    out.append((rule, a, b))
+        return sorted(out, key=lambda f: f[1])
+
+    rnd = random.Random(4)
+    pieces = ["eyJabcdefgh", "eyJ", "-eyJ", "x", "abcdefgh", ".", ".", ".", "..", " ", "token=", "A1" * 12, "-", "_", "\n", "xoxb-abcdefghij", "é"]
+    for _ in range(4000):
+        text = "".join(rnd.choices(pieces, k=rnd.randint(1, 14)))
+        assert secret_scan.candidates(text) == brute(text)
+
+
+def test_long_texts_take_time_in_proportion():
+    forest, words = secret_scan.Forest([]), frozenset()
+    begun = time.process_time()
+    for text in ("-eyJabcdefgh" * 80_000, " ".join(hashlib.sha1(str(i).encode()).hexdigest() for i in range(24_000)), "-----BEGIN " * 90_000):
+        list(secret_scan.scan_text(text, forest, words))
+    weights = pii.train(pii.training_sentences(60))
+    for text in (" " * 1_000_000, " at " * 3000, ", ".join(str(i * 7919 % 100_003) for i in range(3000)), "z" * 1_000_000):
+        pii.added_spans(text, pii.base_spans(text), weights)
+    language.grams("wort " * 200_000)
+    assert time.process_time() - begun < 60
+
+
+def test_pii_windows_agree_with_one_stretch(monkeypatch):
+    weights = pii.train(pii.training_sentences())
+    text = " ".join(t for t, _ in pii.training_sentences(150, seed=21))
+    base = pii.base_spans(text)
+    found = pii.added_spans(text, base, weights)
+    assert len(found) > 30
+    monkeypatch.setattr(pii, "WINDOW", 10**9)
+    assert found == pii.added_spans(text, base, weights)
+
+
+def test_pii_field_against_all_readings():
+    """Sums and best reading of a few tokens against every segmentation."""
+    weights = np.random.default_rng(3).normal(size=(pii.FEATURES, pii.OTHER + 1))
+    for text in ("a@b", "1 2", "(5)"):
+        cuts = pii.tokens(text, 0, len(text))
+        region = pii.Region(text, cuts)
+        scores = region.scores(weights)
+        place = {span: s for s, span in enumerate(region.spans)}
+
+        def readings(at, place=place, n=len(cuts)):
+            if at == n:
+                yield []
+            for (i, j), s in place.items():
+                if i == at:
+                    for kind in range(pii.OTHER + 1):
+                        for rest in readings(j):
+                            yield [(s, kind), *rest]
+
+        worth = [(sum(scores[s, k] for s, k in r), r) for r in readings(0) if not any(np.isneginf(scores[s, k]) for s, k in r)]
+        total = np.logaddexp.reduce([w for w, _ in worth])
+        chance, log_sum = region.sums(scores)
+        assert np.isclose(total, log_sum)
+        for s in range(len(region.spans)):
+            for kind in range(pii.OTHER + 1):
+                own = [w for w, r in worth if (s, kind) in r]
+                assert np.isclose(np.exp(np.logaddexp.reduce(own) - total) if own else 0.0, chance[s, kind])
+        assert region.best(scores) == [x for x in max(worth)[1] if x[1] != pii.OTHER]
+
+
 def test_topk(spark):
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rnd.normal(size=8)]) for i in range(700)]
@@ -399,8 +656,22 @@ def test_topk_skips_rows_that_cannot_win():
     centres = rnd.normal(size=(20, 16)) * 3000
     rows = (centres[rnd.integers(0, 20, 5000)] + rnd.normal(size=(5000, 16)) * 20).astype(np.int64)
     radius2 = float((rows.astype(float) ** 2).sum(1).max())
-    _, scored = topk.search(rows[:20], np.arange(20), rows, np.arange(5000), topk.choose_pivots(rows[:500], 32), radius2, 10)
+    pivots = topk.choose_pivots(rows[:500], 32)
+    table = topk.distances(rows, pivots, radius2)
+    plain, known = (topk.Block(rows[:20], np.arange(20), pivots, radius2, 10, *sample) for sample in ((), (rows[:500], np.arange(500))))
+    found, scored = plain.search(rows, np.arange(5000), table)
     assert scored < 0.6 * 20 * 5000
+    for part in (slice(0, 2500), slice(2500, 5000)):  # a known k-th score prunes from the first row on, and loses nothing
+        some, less = known.search(rows[part], np.arange(5000)[part], table[part])
+        assert less <= scored and {f for f in found if part.start <= f[1] < part.stop} <= set(some)
+
+
+def test_topk_of_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 2.0], "x"), (0, [3.0], "y"), (1, [1.0, 0.5, 4.0], "z"), (1, [2.0], "z"), (2, [], "z"), (3, [0.5, 0.5], "z")]
+    got = [tuple(r) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")).orderBy("rank").collect()]
+    q = {0: [1024, 2048, 0]}[0]
+    scores = sorted(((-sum(a * int(1024 * b) for a, b in zip(q, v, strict=False)), i) for i, v, _ in rows if i and v))
+    assert got == [(0, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
 
 
 def test_quality(spark):

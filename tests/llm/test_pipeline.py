@@ -26,7 +26,7 @@ def test_stages_against_plain_versions(spark):
     single = corpus.written(steps["near_duplicates"](spark, good, SF), "b")
     label = join_brute([(d, rows[d]) for d in sorted(kept)], 5, 80)
     kept = {r["doc_id"] for r in single.collect()}
-    assert single.columns == COLUMNS and kept == {d for d, (n, c) in label.items() if c == d or n == 0}
+    assert single.columns == COLUMNS and kept == {d for d, n, c in label if c == d or n == 0}
 
     clean = corpus.written(steps["decontamination"](spark, single, SF), "c")
     index = next(decontaminate.indexes(corpus.table(spark, SF, "benchmark")))
