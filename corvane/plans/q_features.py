@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions import kernels, scores
 from corvane.functions import text as tx
+from corvane.operators import evaluation
 
 from .catalog import register
-from .views import sequences, table, with_sequences
+from .views import SEQUENCES, sequences, table, with_sequences
 
 _COUNTS = "n AS (SELECT doc_id, ch, count(*) AS k FROM s, unnest(string_split(sequence, '')) AS u(ch) WHERE ch <> '' GROUP BY ALL)"
 
@@ -74,23 +75,7 @@ _GAPS = f"""
 
 
 def _gaps(s):
-    q = F.col("sequence")
-    place = tx.let(
-        q,
-        lambda x: F.struct(
-            tx.in_window(tx.motif_positions(x), x, 0.45, 0.75).alias("ser"), tx.in_window(tx.letter_positions(x, "D"), x, 0.72, 0.92).alias("asp"), tx.in_window(tx.letter_positions(x, "H"), x, 0.82, 0.98).alias("his")
-        ),
-    )
-    err = tx.downstream_gap_error
-    found = tx.let(
-        place,
-        lambda p: F.struct(
-            F.size(p["ser"]).alias("n_ser"), F.size(p["asp"]).alias("n_asp"), F.size(p["his"]).alias("n_his"),
-            err(p["ser"], p["asp"], 55).cast("long").alias("ser_asp"), err(p["asp"], p["his"], 13).cast("long").alias("asp_his"), err(p["ser"], p["his"], 68).cast("long").alias("ser_his"),
-            tx.triple_gap_error(p["ser"], p["asp"], p["his"], 55, 13).cast("long").alias("best"),
-        ),
-    )
-    return s.select("doc_id", "sequence", F.inline(F.array(found)))
+    return evaluation.geometry(s.select("doc_id", "sequence"))
 
 
 @register("catalytic_geometry", with_sequences(f"""{_GAPS}
@@ -100,6 +85,27 @@ def catalytic_geometry(spark, sf_dir):
     return _gaps(sequences(spark, sf_dir)).select("doc_id", "ser_asp", "asp_his", "ser_his", "best", F.coalesce(F.col("best") <= 20, F.lit(False)).alias("passes"))
 
 
+_EVALUATED = SEQUENCES.replace("upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))", "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUXZ', 'ACDEFG')")
+
+
+@register("candidate_evaluation", f"""
+    WITH every AS ({_EVALUATED}), s AS (SELECT * FROM every WHERE doc_id % 100 = 0){_GAPS}, {_COUNTS}, t AS (SELECT doc_id, sum(k) AS total FROM n GROUP BY doc_id),
+    e AS (SELECT doc_id, -sum(k / total * log2(k / total)) AS entropy, count(*) AS kinds, max(k) / max(total) AS top FROM n JOIN t USING (doc_id) GROUP BY doc_id),
+    c AS (SELECT s.doc_id, sequence, length(sequence) AS len, length(sequence) BETWEEN 120 AND 3600 AS band, coalesce(kinds, 0) >= 14 AND coalesce(entropy, 0) >= 3.2 AND coalesce(top, 0) <= 0.34 AS varied, len_ok FROM (SELECT *, length(sequence) > 0 AS len_ok FROM s) s LEFT JOIN e USING (doc_id)),
+    q AS (SELECT doc_id, sequence FROM c WHERE band AND varied), g AS (SELECT DISTINCT doc_id, sequence[i:i + 2] AS gram FROM q, unnest(range(1, length(sequence) - 1)) u(i)),
+    k AS (SELECT DISTINCT doc_id AS r, sequence[i:i + 2] AS gram FROM every, unnest(range(1, greatest(length(sequence) - 1, 2))) u(i) WHERE length(sequence) > 0), gn AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1), kn AS (SELECT r, count(*) AS n FROM k GROUP BY 1),
+    j AS (SELECT doc_id, r, count(*) AS b FROM g JOIN k USING (gram) GROUP BY ALL), m AS (SELECT q.doc_id, v.doc_id AS r, coalesce(b / (gn.n + kn.n - b), 0) AS jaccard FROM q JOIN every v ON v.doc_id <> q.doc_id LEFT JOIN j ON j.doc_id = q.doc_id AND j.r = v.doc_id LEFT JOIN gn ON gn.doc_id = q.doc_id LEFT JOIN kn ON kn.r = v.doc_id),
+    x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, r) AS k FROM m),
+    z AS (SELECT x.doc_id, max(1 - levenshtein(q.sequence, v.sequence) / greatest(length(q.sequence), length(v.sequence))) AS identity FROM x JOIN q ON q.doc_id = x.doc_id JOIN every v ON v.doc_id = x.r WHERE x.k <= 32 GROUP BY 1),
+    f AS (SELECT c.doc_id, len::BIGINT AS length, round(CASE WHEN band AND varied THEN coalesce(greatest(identity, 0), 0) ELSE 1 END, 6)::DOUBLE AS identity, tri.e AS gap, band, varied, len_ok, (SELECT count(*) FROM h WHERE h.doc_id = c.doc_id) AS motifs FROM c LEFT JOIN z USING (doc_id) LEFT JOIN tri USING (doc_id))
+    SELECT doc_id, length, identity, motifs > 0 AND coalesce(gap <= 20, false) AND band AND varied AND identity < 0.7 AS passes,
+           concat_ws(',', CASE WHEN NOT len_ok THEN 'alphabet' END, CASE WHEN NOT band THEN 'length' END, CASE WHEN NOT varied THEN 'composition' END, CASE WHEN motifs = 0 THEN 'motif' END, CASE WHEN NOT coalesce(gap <= 20, false) THEN 'geometry' END, CASE WHEN identity >= 0.7 THEN 'novelty' END) AS reasons FROM f""")
+def candidate_evaluation(spark, sf_dir):
+    s = sequences(spark, sf_dir).select("doc_id", F.translate("sequence", "BJOUXZ", "ACDEFG").alias("sequence"))
+    found = evaluation.evaluate(s.filter("doc_id % 100 = 0"), s, "doc_id", "sequence", evaluation.Limits((120, 3600)), other=True)
+    return found.select("doc_id", "length", F.round("identity", 6).alias("identity"), "passes", F.array_join("reasons", ",").alias("reasons"))
+
+
 @register("strength_scores", with_sequences(f"""{_GAPS}
     , m AS (SELECT doc_id, count(*) AS k FROM h GROUP BY doc_id),
     g AS (SELECT s.doc_id, coalesce(m.k, 0) AS k, coalesce(exp(-sa1.e / 18.0), 0) AS a, coalesce(exp(-sh.e / 18.0), 0) AS h, coalesce(exp(-tri.e / 12.0), 0) AS t,
