@@ -1,8 +1,8 @@
 """Operator 10, quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms are pairs of neighbouring character classes and marks of repetition (a word that
-follows itself, a word triple met before in the text). They describe form, not topic or
-language. Weighted by tf-idf and reduced by a singular value decomposition of a bounded
+Terms are words (lower-cased, hashed to WORDS places), pairs of neighbouring character
+classes, and marks of repetition (a word that follows itself, a word triple met before
+in the text). Weighted by tf-idf and reduced by a singular value decomposition of a bounded
 labelled sample, each text is a vector of LATENT numbers; the sample's vectors, a few
 hundred KB, go to every task. Every document is compared with all of them by exact
 cosine products in blocks, and its NEIGHBOURS nearest vote with weights that grow with
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .corpus import bounded_sample, id_crc
+from .corpus import bounded_sample, bounded_texts, id_crc
 from .tokens import slices
 
 PER_LABEL = 1500
@@ -41,7 +41,9 @@ for _i, _c in enumerate(b".,!?#$%&*|@-'\"():;/_+=<>"):
     _CLASS[_c] = 5 + _i
 _CLASS[192:] = 30
 _CLASS[128:192] = 31
-TERMS = _CLASSES * _CLASSES + 2
+_PAIRS = _CLASSES * _CLASSES
+WORDS = 512
+TERMS = _PAIRS + WORDS + 2
 
 
 def term_counts(texts: pa.Array) -> np.ndarray:
@@ -53,12 +55,16 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     pairs = kinds[:-1] * _CLASSES + kinds[1:] if len(kinds) else kinds
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         if b - a > 1:
-            out[i, : _CLASSES * _CLASSES] = np.bincount(pairs[a : b - 1], minlength=_CLASSES * _CLASSES)
+            out[i, :_PAIRS] = np.bincount(pairs[a : b - 1], minlength=_PAIRS)
     out /= np.maximum(sizes - 1, 1)[:, None]
+    buf = tk.LOWER[buf]
     starts, ends, words = tk.word_spans(buf, offsets)
     hashes = tk.word_hashes(buf, starts, ends)
     count = np.maximum(np.diff(words), 1)
     doc = tk.doc_of(words)
+    if len(hashes):
+        place = (hashes % np.uint64(WORDS)).astype(np.int64)
+        out[:, _PAIRS:-2] = np.bincount(doc * WORDS + place, minlength=n * WORDS).reshape(n, WORDS) / count[:, None]
     if len(hashes) > 1:
         same = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
         out[:, -2] = np.bincount(doc[1:][same], minlength=n) / count
@@ -119,9 +125,9 @@ def fit_voters(docs: DataFrame, labels: DataFrame, learn: Column, per_label: int
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(learn & F.col("quality").isin(0, 1))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = bounded_sample(known, "quality", "doc_id", per_label)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "doc_id").limit(4 * per_label).collect()  # chosen: 4 * per_label rows at most
-    rows = sorted((r["doc_id"], r["quality"], r["text"]) for r in rows)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+    near = texts.join(F.broadcast(chosen), "doc_id")  # chosen: 4 * per_label rows at most
+    rows = sorted((r["doc_id"], r["quality"], r["text"]) for r in bounded_texts(near, "doc_id", 4 * per_label))
     met = {q: sum(1 for r in rows if r[1] == q) for q in counts}
     return Voters([t for _, _, t in rows], [q for _, q, _ in rows], {q: counts[q] / met[q] for q in met if met[q]})
 
