@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Python worker holds at a time.
@@ -87,18 +87,39 @@ def id_crc(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)), F.lit(0).cast("long"))
 
 
-def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, max_labels: int = 256) -> DataFrame:
-    """About per_label rows of each label, chosen by a hash of the id: never more than twice that in all.
+#: Rows and text bytes that a fit takes to the driver at most (one text of each label beyond that).
+SAMPLE_ROWS = 100_000
+SAMPLE_BYTES = 64 << 20
 
-    Two steps, so that only ids and labels are counted and nothing is sorted; the
-    hash makes the choice the same for any partitioning.
+
+def _place(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns, F.lit(17)), F.lit(1 << 30))
+
+
+def bounded_sample(rows: DataFrame, label: str, id_col: str, per_label: int, *others: str) -> DataFrame:
+    """About per_label rows of each label (fewer of each where there are very many labels), never more than twice that in all.
+
+    Rows are chosen by a hash of the id (and other columns), so only labels are counted
+    and the choice is the same for any partitioning; where ids repeat so often that the
+    bound bites, the first by hash stay.
     """
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    if not counts:
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    labels = counts.count()
+    if not labels:
         return rows.limit(0)
-    span = 1 << 30
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(span))
-    keep = F.lit(False)
-    for row in counts:
-        keep = keep | ((F.col(label) == F.lit(row[label])) & (place < F.lit(min(span, span * per_label // row["count"]))))
-    return rows.filter(keep).limit(2 * per_label * len(counts))
+    each = max(1, min(per_label, SAMPLE_ROWS // labels))
+    share = counts.select(F.col(label).alias("_label"), F.least(F.lit(1 << 30), F.ceil(F.lit((1 << 30) * each) / F.col("_n"))).alias("_share"))
+    kept = rows.join(F.broadcast(share), F.col(label) == F.col("_label"))  # a row a label
+    place = _place(id_col, *others)
+    kept = kept.filter(place < F.col("_share")).orderBy(place / F.col("_share"), id_col, label, *others).limit(2 * each * labels)
+    return kept.select(*rows.columns)
+
+
+def bounded_texts(rows: DataFrame, id_col: str, most: int = 2 * SAMPLE_ROWS) -> list[Row]:
+    """The rows (with a column text) in hash order on the driver, as far as `most` rows and SAMPLE_BYTES of text allow; one at least."""
+    order = [_place(id_col, "text"), F.col(id_col), F.col("text")]
+    sizes = [r["n"] or 0 for r in rows.orderBy(*order).limit(most).select(F.octet_length("text").alias("n")).collect()]
+    total, kept = 0, 0
+    while kept < len(sizes) and (not kept or total + sizes[kept] <= SAMPLE_BYTES):
+        total, kept = total + sizes[kept], kept + 1
+    return rows.orderBy(*order).limit(kept).collect()

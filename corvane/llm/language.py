@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .corpus import bounded_sample, id_crc
+from .corpus import bounded_sample, bounded_texts, id_crc
 
 PROFILE = 300
 PER_LANGUAGE = 400
@@ -110,9 +110,9 @@ class Profiles:
 
 
 def fit_profiles(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Profiles:
-    """Profiles from the rows where `learn` holds and text and lang are known; at most 2 * per_language a language."""
+    """Profiles of every language among the rows where `learn` holds and text and lang are known; some per_language rows a language (corpus.bounded_sample)."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sample = bounded_sample(rows, "lang", "doc_id", per_language).collect()
+    sample = bounded_texts(bounded_sample(rows, "lang", "doc_id", per_language, "text"), "doc_id")
     return Profiles(sorted((r["lang"], r["text"]) for r in sample))
 
 
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, held_out: Column | None = None, per_language: int
     lang_pred is `und` with score 0 where text is null, empty or has no letter, and for
     all rows if nothing can be learnt. Equal distances go to the first name. A null
     doc_id counts as held out. Repeated rows are each answered; an empty table gives
-    an empty result. Of more than 256 languages the 256 most frequent are learnt.
+    an empty result. Every language of which the sample holds a text is learnt.
     """
     held_out = id_crc("doc_id", 5) == 0 if held_out is None else held_out
     profiles = fit_profiles(docs, ~held_out, per_language)

@@ -6,7 +6,8 @@ patterns are built: lengths are placed longest first, each into the patterns tha
 emptiest so far, and a pattern carries a count instead of being repeated. A pattern's
 slots are ranges of ranks, so pieces find their sequence by (length, rank): the rank
 is the piece's number within its scan task plus the numbers of earlier tasks, which a
-small aggregate gives. No row is sorted and no text is shuffled.
+small aggregate gives. Texts and ids are never shuffled; the rows of the pieces, some
+50 bytes each, are sorted once to meet those numbers.
 
 The file of pieces is written to the shared folder once; a lost executor loses nothing.
 """

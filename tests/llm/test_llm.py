@@ -15,6 +15,7 @@ import pytest
 from compare import duck, same
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corvane.llm import corpus, decontaminate, language, ngram_join, packing, pii, quality, queries, secret_scan, substring_dedup, textkit, token_files, tokens, topk
@@ -684,3 +685,38 @@ def test_quality(spark):
     assert len(edge) == len(EDGE) and all(0 <= r["score"] <= 1 for r in edge)
     none = quality.classify(table(spark, EDGE), labels.filter("doc_id < 0")).collect()
     assert {r["score"] for r in none} == {0.5}
+
+
+def test_quality_votes_are_those_of_the_nearest(spark):
+    """Every cosine, sorted in full, for a few texts."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    texts = [t for t in docs if t][:160]
+    labels = [len(t) % 2 for t in texts]
+    voters = quality.Voters(texts[:120], labels[:120], {0: 1.0, 1: 3.0})
+    probe = texts[100:]
+    got = voters.score(pa.array(probe))
+    rows = voters._unit(voters._weighted(quality.term_counts(pa.array(probe))) @ voters.axes)
+    for row, score in zip(rows, got, strict=True):
+        near = sorted(((float(row @ v), i) for i, v in enumerate(voters.vectors)), reverse=True)[: voters.neighbours]
+        votes = [(np.exp(voters.sharpness * (c - 1)) * (3.0 if labels[i] else 1.0), labels[i]) for c, i in near]
+        assert abs(score - sum(v for v, y in votes if y) / sum(v for v, _ in votes)) < 1e-3
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7, f"l{i % 40}", "x" * (i % 90)) for i in range(4000)], "doc_id long, lang string, text string")
+    few = corpus.bounded_sample(rows, "lang", "doc_id", 10, "text")
+    assert few.count() <= 800 and few.select("lang").distinct().count() == 40
+    assert sorted(corpus.bounded_sample(rows.repartition(3), "lang", "doc_id", 10, "text").collect()) == sorted(few.collect())
+    assert corpus.bounded_sample(rows.limit(0), "lang", "doc_id", 10).count() == 0
+    monkeypatch.setattr(corpus, "SAMPLE_BYTES", 500)
+    assert 0 < sum(len(r["text"]) for r in corpus.bounded_texts(few, "doc_id")) <= 500
+    monkeypatch.undo()
+    profiles = language.fit_profiles(spark.createDataFrame([(i, f"l{i:03}", f"text {i}") for i in range(300)], "doc_id long, lang string, text string"), F.lit(True))
+    assert len(profiles.names) == 300
+
+
+def test_padding_is_small(spark):
+    found = packing.pack(corpus.table(spark, "/root/testdata/sf0.01", "documents"), public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    whole = found.groupby("sequence_id").length.sum()
+    padded = whole.map(lambda n: 0 if n & (n - 1) == 0 else 2048 - n)
+    assert padded.sum() <= 0.01 * whole.sum()
