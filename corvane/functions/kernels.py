@@ -135,15 +135,30 @@ def tandem_similarity(column: str) -> Column:
 
 
 def repeat_length(s: str, least: int = 1) -> int:
-    """Length of the longest substring that occurs twice without overlap; 0 below `least`. Bisection over lengths."""
-    low, high = 0, len(s or "") // 2
+    """Length of the longest substring that occurs twice without overlap; 0 below `least`.
+
+    Bisection over lengths. Substrings of 2^j characters are numbered by doubling, and one
+    of any length by the numbers of the two that cover it, so no substring is copied.
+    """
+    n = len(s or "")
+    ranks = [np.unique(_codes(s), return_inverse=True)[1]] if n else []
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a * np.int64(a.max() + b.max() + 2) + b
+
+    def again(k: int) -> bool:
+        p = k.bit_length() - 1
+        while len(ranks) <= p:
+            r, w = ranks[-1], 1 << (len(ranks) - 1)
+            ranks.append(np.unique(pairs(r[:-w], r[w:]), return_inverse=True)[1])
+        m, shift = n - k + 1, k - (1 << p)
+        _, first, own = np.unique(pairs(ranks[p][:m], ranks[p][shift : shift + m]), return_index=True, return_inverse=True)
+        return bool((np.arange(m) >= first[own] + k).any())
+
+    low, high = 0, n // 2
     while low < high:
         k = (low + high + 1) // 2
-        first: dict[str, int] = {}
-        if any(first.setdefault(s[i : i + k], i) + k <= i for i in range(len(s) - k + 1)):
-            low = k
-        else:
-            high = k - 1
+        low, high = (k, high) if again(k) else (low, k - 1)
     return low if low >= least else 0
 
 

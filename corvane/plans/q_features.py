@@ -281,8 +281,8 @@ def tandem_repeats(spark, sf_dir):
 
 @register("exact_repeats")
 def exact_repeats(spark, sf_dir):
-    p = table(spark, sf_dir, "benchmark").select("item_id", tx.letters("text").alias("sequence"))
-    return p.select("item_id", kernels.longest_repeat("sequence").alias("longest_repeat"), kernels.masked_repeats(8)("sequence").alias("masked"))
+    s = sequences(spark, sf_dir)
+    return s.select("doc_id", kernels.longest_repeat("sequence").alias("longest_repeat"), kernels.masked_repeats(8)("sequence").alias("masked"))
 
 
 @register("binomial_intervals")
