@@ -3,8 +3,8 @@
 Rank- and cap-based selections are windows. Selections whose every step depends on all
 picks before it sort in parallel and then read the rows in order, in bounded chunks,
 carrying caps and picks: on the driver, up to the last pick (several caps at once,
-minimum distances, fewest uses), or as one stream (leaders). Farthest-first makes one
-distributed pass a pick. None has a limit on its rows.
+minimum distances, fewest uses). Farthest-first makes one distributed pass a pick, and
+leaders are settled in rounds. None has a limit on its rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corvane.sources.records import scratch_table
+
+from .similarity import edit_pairs
+
 
 class Shortfall(ValueError):
     """A selection found fewer rows than were asked for."""
@@ -121,22 +125,37 @@ def spread_panel(df: DataFrame, text: str, order: Sequence[Column], least: int,
     return _rows(df, taken)
 
 
-def leaders(df: DataFrame, text: str, order: Sequence[Column], most: int) -> DataFrame:
-    """Leader clustering: a row joins the first leader within `most` edits or becomes one. Adds `leader` (a rank)."""
+def leaders(df: DataFrame, text: str, order: Sequence[Column], most: int, scratch: Callable[[DataFrame], DataFrame] = scratch_table) -> DataFrame:
+    """Leader clustering: a row joins the first leader within `most` edits or becomes one. Adds `leader` (a rank from 0; null for null texts).
 
-    def fold(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heads: list[str] = []
-        for rows in chunks:
-            own = []
-            for s in rows[text]:
-                found = next((k for k, h in enumerate(heads) if edit_distance(s, h, most) <= most), None)
-                if found is None:
-                    heads.append(s)
-                    found = len(heads) - 1
-                own.append(found)
-            yield rows.assign(leader=own)
-
-    return in_one_task(df, order, df.withColumn("leader", F.lit(0).cast("long")).schema, fold)
+    Leaders are the greedy independent set, in order, of the graph of texts within `most`
+    edits: a text leads once every earlier neighbour follows another. Each round settles
+    the texts without an undecided earlier neighbour and their followers; rounds, few
+    unless texts form long chains, are written by `scratch`.
+    """
+    # ids handed out behind a global sort ascend with it
+    placed = scratch(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    first = scratch(placed.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min("_at").alias("_first")))
+    edges = scratch(edit_pairs(first, "_first", text, most).select("a", "b"))
+    undecided, live, heads = first.select("_first"), edges, None
+    while True:
+        waiting = live.select(F.col("b").alias("_first")).distinct()
+        fresh = scratch(undecided.join(waiting, "_first", "left_anti"))
+        heads = fresh if heads is None else heads.union(fresh)
+        if live.isEmpty():
+            break
+        follow = live.join(fresh, F.col("a") == F.col("_first"), "left_semi").select(F.col("b").alias("_first")).distinct()
+        undecided = scratch(waiting.join(follow, "_first", "left_anti"))
+        live = scratch(live.join(undecided, F.col("a") == F.col("_first"), "left_semi").join(undecided, F.col("b") == F.col("_first"), "left_semi"))
+    # ranks: numbers within the partitions of a sort, and the partitions' counts
+    numbered = scratch(heads.orderBy("_first").withColumn("_k", F.monotonically_increasing_id()))
+    part, bits = F.shiftright("_k", 33), F.lit((1 << 33) - 1)
+    counts = numbered.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition
+    ranks = numbered.withColumn("_p", part).join(F.broadcast(before), "_p").select("_first", (F.col("_before") + F.col("_k").bitwiseAND(bits)).alias("leader"))
+    joins = edges.join(ranks, F.col("a") == F.col("_first")).groupBy(F.col("b").alias("_first")).agg(F.min("leader").alias("leader"))
+    own = first.join(ranks.unionByName(joins.join(ranks, "_first", "left_anti")), "_first").select(text, "leader")
+    return placed.join(own, text, "left").select(*df.columns, "leader")
 
 
 def farthest_first(df: DataFrame, grams: str, order: Sequence[Column], top: int) -> DataFrame:
