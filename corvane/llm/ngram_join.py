@@ -41,8 +41,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .corpus import batch_key, batches_and_shards, drop, partitions, scratch, written
+from .corpus import BATCH_BYTES, batch_key, batches_and_shards, drop, partitions, scratch, written
 from .graph import components
+from .tokens import slices
 
 SHINGLE = 3
 THRESHOLD = 90  # percent
@@ -206,10 +207,11 @@ _BITS = [f"bits_{i}" for i in range(BITMAP)]
 def _count(n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.table({"doc_id": np.arange(batch.num_rows), "text": batch.column("text")})
-            bounds = _shingles(table, n)[2]
-            none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(np.diff(bounds), pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
+            for part in slices(batch, "text", BATCH_BYTES):
+                table = pa.table({"doc_id": np.arange(part.num_rows), "text": part.column("text")})
+                bounds = _shingles(table, n)[2]
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(np.diff(bounds), pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
 
     return count
 

@@ -162,12 +162,14 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end: int = END, bl
     """Encode every whole text and write path/blocks and path/ranks, documents in ascending doc_id order.
 
     docs: doc_id long, text string; other columns are not read. Null and empty texts
-    are the end id alone. Null ids come first; rows of equal id stand in the order of
-    their texts. An empty table gives files without blocks.
+    are the end id alone. Null ids come first; rows of equal id, or without one, stand in
+    the order of a hash of their texts, which spreads them over tasks. An empty table
+    gives files without blocks.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = docs.repartitionByRange(max(partitions(spark), 1), "doc_id").sortWithinPartitions("doc_id", "text")
+    place = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(max(partitions(spark), 1), *place).sortWithinPartitions(*place, "text")
     raw = f"{path}/raw"
     ordered.mapInArrow(_tokenise(vocabulary, end, block_ids), _RAW).write.option("compression", "zstd").parquet(raw)
     table = spark.read.schema(_RAW).parquet(raw)
