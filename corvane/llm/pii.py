@@ -111,9 +111,9 @@ _CUES = (
     frozenset("order invoice no number ref id isbn version v page pages part serial build ticket row total sum date on in token hash commit".split()),
 )
 FEATURES = 51
-_DIGITS = re.compile(r"[0-9]+")
 _LETTERS = re.compile(r"[A-Za-z]+")
-_NUMBER_FORM = re.compile(r"[0-9 ().+/-]*")
+_NUMBER_MARKS = frozenset("().+/-")
+_FIGURES = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -122,100 +122,93 @@ def tokens(text: str, low: int, high: int) -> list[tuple[int, int]]:
 
 
 def _cues_before(text: str, a: int) -> list[int]:
-    """Numbers of the features of the two words before place a."""
+    """Which lists of cues the two words before place a belong to."""
     before = _LETTERS.findall(text[max(0, a - 24) : a].lower())[-2:]
-    return [40 + k for k, cue in enumerate(_CUES) if any(w in cue for w in before)]
-
-
-def _features(text: str, cuts: list[tuple[int, int]], i: int, j: int, cues: list[int]) -> list[int]:
-    """Numbers of the whole-span features that hold for tokens i..j-1; cues are those of the place."""
-    a, b = cuts[i][0], cuts[j - 1][1]
-    span = text[a:b]
-    groups = _DIGITS.findall(span)
-    digits = "".join(groups)
-    n = len(digits)
-    letters = any(map(str.isalpha, span))
-    out = [0, 1 + min(j - i, 4)]
-    out.append(6 + (0 if n == 0 else 1 if n < 7 else 2 if n < 10 else 3 if n < 12 else 4 if n < 14 else 5 if n < 17 else 6 if n < 20 else 7))
-    out.append(14 + min(len(groups), 5))
-    if letters:
-        out.append(20)
-    if not letters and _NUMBER_FORM.fullmatch(span):
-        out.append(21)
-    if not span[0].isalnum() and span[0] not in "+(":
-        out.append(22)
-    if not span[-1].isalnum():
-        out.append(23)
-    if span[0] == "+":
-        out.append(24)
-    if span[0] == "(":
-        out.append(25)
-    at = "@" in span or "at" in span.lower()
-    if at and _EMAIL_FORM.fullmatch(span):
-        out.append(26 if re.search(r"[a-z]{2,}$", span, re.I) else 27)
-    if len(groups) == 4 and _IP_FORM.fullmatch(span):
-        out.append(28 if all(len(g) < 4 and int(g) < 256 for g in groups) else 29)
-    if 14 <= n <= 19 and not letters:
-        out.append(30 if luhn(digits) else 31)
-    shape = tuple(map(len, groups))
-    if shape in ((3, 3, 4), (1, 3, 3, 4)):
-        out.append(32)
-    if shape in ((4, 4, 4, 4), (4, 6, 5)):
-        out.append(33)
-    marks = set(span) - _ALNUM
-    if marks == {"-"}:
-        out.append(34)
-    if marks == {"."}:
-        out.append(35)
-    if marks and marks <= {" "}:
-        out.append(36)
-    if "/" in marks or ":" in marks or "," in marks:
-        out.append(37)
-    if a and text[a - 1].isalnum():
-        out.append(38)
-    if b < len(text) and text[b].isalnum():
-        out.append(39)
-    out += cues
-    if at and _AT.search(span) and _DOT.search(span):
-        out.append(45)
-    if n and letters:
-        out.append(46)
-    if a and text[a - 1] in "._%+-@":
-        out.append(47)
-    bare = at and bool(_BARE_FORM.fullmatch(span))
-    if bare or at and _BRACKET_FORM.fullmatch(span):
-        out.append(48)
-        if bare:
-            out.append(49)
-        if _ENDING.search(span):
-            out.append(50)
-    return out
+    return [k for k, cue in enumerate(_CUES) if any(w in cue for w in before)]
+
+
+def _traits(piece: str) -> tuple[int, ...]:
+    """Of a token: begins and ends like an entity, is a plus, an opening bracket; its digits, whether it is a number, holds letters, keeps a span from
+    being a plain number, is or holds a dash, dot, space, one of /:, and another mark; may belong to an address."""
+    c = piece[0]
+    if c in _FIGURES:
+        return (1, 1, 0, 0, len(piece), 1, 0, 0, 0, 0, 0, 0, 0, 0)
+    blank = c in " \t"
+    odd = "\t" in piece if blank else c not in _NUMBER_MARKS
+    other = "\t" in piece if blank else c not in _ALNUM and c not in "-."
+    return (
+        c.isalnum() or c in "+(", piece[-1].isalnum(), c == "+", c == "(", 0, 0, any(map(str.isalpha, piece)), odd, c == "-", c == ".", " " in piece, c in "/:,", other, c == "@" or "at" in piece.lower(),
+    )
 
 
 class Region:
-    """The spans of one stretch of text, with their features."""
+    """The spans of one stretch of text, as token numbers i (first) and j (behind the last), ordered by j; one row of features each."""
 
     def __init__(self, text: str, cuts: list[tuple[int, int]]):
         self.cuts, n = cuts, len(cuts)
-        self.spans: list[tuple[int, int]] = []
-        self.rows: list[list[int]] = []
-        self.ending: list[list[int]] = [[] for _ in range(n + 1)]
-        cues = [_cues_before(text, a) for a, _ in cuts]
-        for j in range(1, n + 1):
-            for i in range(max(0, j - MAX_TOKENS), j):
-                first, last = text[cuts[i][0]], text[cuts[j - 1][1] - 1]
-                if j - i > 1 and not ((first.isalnum() or first in "+(") and last.isalnum()):
-                    continue  # such a span is no entity; single tokens stay possible
-                self.ending[j].append(len(self.spans))
-                self.spans.append((i, j))
-                self.rows.append(_features(text, cuts, i, j, cues[i]))
+        pieces = [text[a:b] for a, b in cuts]
+        traits = np.array([_traits(p) for p in pieces], np.int64).reshape(n, -1)
+        opens, closes, plus, bracket = traits[:, :4].T.astype(bool)
+        i = np.repeat(np.arange(n), MAX_TOKENS)
+        j = i + np.tile(np.arange(1, MAX_TOKENS + 1), n)
+        # a longer span that does not begin and end like an entity is none; single tokens stay possible
+        kept = np.flatnonzero((j <= n) & ((j - i == 1) | (opens[i] & closes[np.minimum(j, n) - 1])))
+        kept = kept[np.argsort(j[kept], kind="stable")]
+        i, j = i[kept], j[kept]
+        self.i, self.j = i, j
+        self.upto = np.searchsorted(j, np.arange(n + 2))
+        numbers = [p for p in pieces if p[0] in _FIGURES]
+        total = np.concatenate((np.zeros((1, traits.shape[1] - 4), np.int64), np.cumsum(traits[:, 4:], axis=0)))
+        place = total[:, 1]
+        digits, groups, *held = (total[j] - total[i]).T
+        letters, odd, dashes, dots, spaces, slashes, others, at = (x > 0 for x in held)
+        plain, ats = ~odd, np.flatnonzero(at)
+        self.table = np.zeros((len(i), FEATURES))
+        put = self.table.__setitem__
+        every = np.arange(len(i))
+        put((every, 0), 1)
+        put((every, 1 + np.minimum(j - i, 4)), 1)
+        put((every, 6 + np.searchsorted([1, 7, 10, 12, 14, 17, 20], digits, side="right")), 1)
+        put((every, 14 + np.minimum(groups, 5)), 1)
+        flags = lambda rows: np.fromiter(rows, bool, n)
+        before = flags(a > 0 and text[a - 1].isalnum() for a, _ in cuts)
+        behind = flags(b < len(text) and text[b].isalnum() for _, b in cuts)
+        joined = flags(a > 0 and text[a - 1] in "._%+-@" for a, _ in cuts)
+        lengths = np.array([*map(len, numbers), 0, 0, 0, 0], np.int64)
+        shaped = lambda *shape: (groups == len(shape)) & np.logical_and.reduce([lengths[np.minimum(place[i] + k, len(numbers))] == x for k, x in enumerate(shape)])
+        for k, holds in (
+            (20, letters), (21, ~letters & plain), (22, ~opens[i]), (23, ~closes[j - 1]), (24, plus[i]), (25, bracket[i]),
+            (32, shaped(3, 3, 4) | shaped(1, 3, 3, 4)), (33, shaped(4, 4, 4, 4) | shaped(4, 6, 5)), (34, dashes & ~dots & ~spaces & ~others), (35, dots & ~dashes & ~spaces & ~others),
+            (36, spaces & ~dashes & ~dots & ~others), (37, slashes), (38, before[i]), (39, behind[j - 1]), (46, (digits > 0) & letters), (47, joined[i]),
+        ):
+            put((holds, k), 1)
+        cues = np.zeros((n, len(_CUES)), bool)
+        word = cuts[0][0]  # end of the last letters; before the first token, unknown
+        for k, (a, b) in enumerate(cuts):
+            if a - word < 24:
+                cues[k, _cues_before(text, a)] = True
+            if pieces[k][0] not in _FIGURES and _LETTERS.match(pieces[k]):
+                word = b
+        self.table[:, 40 : 40 + len(_CUES)] = cues[i]
+        span = lambda s: text[cuts[i[s]][0] : cuts[j[s] - 1][1]]
+        for s in np.flatnonzero((groups == 4) & ~letters & opens[i]).tolist():
+            if _IP_FORM.fullmatch(span(s)):
+                own = numbers[place[i[s]] : place[j[s]]]
+                self.table[s, 28 if all(len(g) < 4 and int(g) < 256 for g in own) else 29] = 1
+        for s in np.flatnonzero((digits >= 14) & (digits <= 19) & ~letters).tolist():
+            self.table[s, 30 if luhn("".join(numbers[place[i[s]] : place[j[s]]])) else 31] = 1
+        for s in ats.tolist():
+            for k in _address_features(span(s)):
+                self.table[s, k] = 1
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        return list(zip(self.i.tolist(), self.j.tolist(), strict=True))
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Score of each span as each kind; only single tokens can be other text."""
-        out = np.add.reduceat(weights[np.concatenate(self.rows)], np.cumsum([0, *map(len, self.rows[:-1])]))
-        for s, (i, j) in enumerate(self.spans):
-            if j - i > 1:
-                out[s, OTHER] = -np.inf
+        out = self.table @ weights
+        out[self.j - self.i > 1, OTHER] = -np.inf
         return out
 
     def sums(self, scores: np.ndarray) -> tuple[np.ndarray, float]:
@@ -224,37 +217,47 @@ class Region:
         span_score = np.logaddexp.reduce(scores, axis=1)
         forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         forward[0] = backward[n] = 0.0
+        parts = [slice(a, b) for a, b in zip(self.upto[:-1].tolist(), self.upto[1:].tolist(), strict=True)]
         for j in range(1, n + 1):
-            forward[j] = np.logaddexp.reduce([forward[self.spans[s][0]] + span_score[s] for s in self.ending[j]])
+            forward[j] = np.logaddexp.reduce(forward[self.i[parts[j]]] + span_score[parts[j]])
         for j in range(n, 0, -1):
-            for s in self.ending[j]:
-                i = self.spans[s][0]
-                backward[i] = np.logaddexp(backward[i], backward[j] + span_score[s])
-        begin = np.array([forward[i] for i, _ in self.spans])
-        finish = np.array([backward[j] for _, j in self.spans])
-        return np.exp(scores + (begin + finish - forward[n])[:, None]), float(forward[n])
+            i = self.i[parts[j]]  # each once
+            backward[i] = np.logaddexp(backward[i], backward[j] + span_score[parts[j]])
+        return np.exp(scores + (forward[self.i] + backward[self.j] - forward[n])[:, None]), float(forward[n])
 
     def best(self, scores: np.ndarray) -> list[tuple[int, int]]:
         """The best reading: (span, kind) of its entities."""
         n = len(self.cuts)
-        kind = scores.argmax(1)
-        value = scores.max(1)
+        kind, value = scores.argmax(1), scores.max(1)
         best, via = np.full(n + 1, -np.inf), [-1] * (n + 1)
         best[0] = 0.0
+        bounds = self.upto.tolist()
         for j in range(1, n + 1):
-            for s in self.ending[j]:
-                x = best[self.spans[s][0]] + value[s]
-                if x > best[j]:
-                    best[j], via[j] = x, s
+            x = best[self.i[bounds[j] : bounds[j + 1]]] + value[bounds[j] : bounds[j + 1]]
+            k = int(x.argmax())
+            best[j], via[j] = x[k], bounds[j] + k
         out, j = [], n
         while j:
             s = via[j]
             if kind[s] != OTHER:
                 out.append((s, int(kind[s])))
-            j = self.spans[s][0]
+            j = int(self.i[s])
         return out[::-1]
 
 
+def _address_features(span: str) -> list[int]:
+    """Numbers of the features of a span that holds an at sign or the letters at."""
+    out = []
+    if _EMAIL_FORM.fullmatch(span):
+        out.append(26 if re.search(r"[a-z]{2,}$", span, re.I) else 27)
+    if _AT.search(span) and _DOT.search(span):
+        out.append(45)
+    bare = bool(_BARE_FORM.fullmatch(span))
+    if bare or _BRACKET_FORM.fullmatch(span):
+        out += [48, *[49] * bare, *[50] * bool(_ENDING.search(span))]
+    return out
+
+
 def training_sentences(count: int = 420, seed: int = 6) -> list[tuple[str, list[Span]]]:
     """Made sentences with their entities: wanted forms that the base patterns miss, and look-alikes."""
     rnd = random.Random(seed)
@@ -331,11 +334,9 @@ def train(sentences: list[tuple[str, list[Span]]], rounds: int = 8, penalty: flo
         for region, truth in prepared:
             chance, _ = region.sums(region.scores(weights))
             slope = penalty * weights
-            flat = np.concatenate(region.rows)
-            owner = np.repeat(np.arange(len(region.rows)), [len(r) for r in region.rows])
-            np.add.at(slope, flat, chance[owner])
+            slope += region.table.T @ chance
             for s, kind in truth:
-                slope[region.rows[s], kind] -= 1.0
+                slope[:, kind] -= region.table[s]
             grown += slope * slope
             weights -= 0.5 * slope / np.sqrt(grown)
     return weights
@@ -408,7 +409,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray, least: float =
                         continue
                     chance, _ = region.sums(scores)
                     for s, kind in found:
-                        i, j = region.spans[s]
+                        i, j = int(region.i[s]), int(region.j[s])
                         if first <= i < last and chance[s, kind] >= least and cuts[i][0] >= done:
                             done = cuts[j - 1][1]
                             out.append((cuts[i][0], done, kind))
