@@ -108,13 +108,13 @@ class Voters:
         out = np.full(len(texts), self.prior, np.float64)
         if not len(self.labels):
             return out
-        rows = self._unit(self._weighted(term_counts(texts)) @ self.axes)
         k = min(self.neighbours, len(self.labels))
-        for a in range(0, len(rows), _BLOCK):
-            cosine = rows[a : a + _BLOCK] @ self.vectors.T
+        for a in range(0, len(texts), _BLOCK):
+            rows = self._unit(self._weighted(term_counts(texts.slice(a, _BLOCK))) @ self.axes)
+            cosine = rows @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             vote = np.exp(self.sharpness * (np.take_along_axis(cosine, near, 1).astype(np.float64) - 1)) * self.weights[near]
-            known = np.abs(rows[a : a + _BLOCK]).sum(1) > 0
+            known = np.abs(rows).sum(1) > 0
             share = (vote * self.labels[near]).sum(1) / vote.sum(1)
             out[a : a + _BLOCK][known] = share[known]
         return np.clip(out, 0.0, 1.0)
