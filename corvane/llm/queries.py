@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
@@ -13,12 +14,15 @@ from .decontaminate import leaks
 from .language import identify
 from .ngram_join import ngram_join
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .pii import find_pii
 from .quality import classify
+from .ranked_search import ranked_search
 from .secret_scan import find_secrets
 from .substring_dedup import substring_dedup
 from .token_files import token_output
 from .topk import exact_topk
+from .url_filter import Rule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +67,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(corpus.table(spark, sf_dir, "documents"), corpus.table(spark, sf_dir, "labels"))
 
 
+#: The rules that the contract of op11 fixes.
+URL_RULES: tuple[Rule, ...] = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+#: Pages of fewer characters put their url on the list of op11: no table holds one, so the list is of urls that some crawl found next to empty.
+THIN_PAGE = 1000
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = corpus.table(spark, sf_dir, "pages")
+    return judge_urls(pages, pages.filter(F.length("html") < THIN_PAGE), URL_RULES)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(corpus.table(spark, sf_dir, "documents"), corpus.table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(corpus.table(spark, sf_dir, "documents"), tile=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -74,6 +103,9 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "op11_url_filter": op11_url_filter,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -114,4 +146,35 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_url_filter": r"""
+        WITH u AS (SELECT page_id, html, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
+        p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                     list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+                               lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|\z)'))) AS params FROM u),
+        c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)\z', '') || regexp_replace(path, '/+\z', '')
+                             || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS key FROM p),
+        listed AS (SELECT DISTINCT key FROM c WHERE length(html) < 1000 AND key IS NOT NULL),
+        r AS (SELECT page_id, host, path, key,
+                     CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                          WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+                          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+                          WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+                          WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM c)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+        FROM r LEFT JOIN listed ON listed.key = r.key""",
+    "op12_ranked_search": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS row FROM documents),
+        d AS (SELECT row, doc_id, w, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+        size AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS total FROM d),
+        tf AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY ALL),
+        weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM tf, size GROUP BY term, n_docs),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                  FROM (SELECT item_id, min(text) AS text FROM benchmark GROUP BY item_id)),
+        s AS (SELECT item_id, row, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))))::BIGINT AS score
+              FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN d USING (row), size GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50""",
 }
