@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .corpus import bounded_sample, bounded_texts, id_crc
+from .tokens import slices
 
 PROFILE = 300
 PER_LANGUAGE = 400
 PIECE = 1 << 18  # places of a text that are counted together
+_SLICE = 2 << 20
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -34,18 +36,43 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
+def _places(text: str) -> Iterator[np.ndarray]:
+    """Letters of a text and 0 for each run of other characters, about PIECE characters at a time, from a 0 to a 0."""
+    at, inside = 0, False
+    yield np.zeros(1, np.uint32)
+    while at < len(text):
+        to = min(at + PIECE, len(text))
+        while to < min(at + 2 * PIECE, len(text)) and text[to - 1].isalpha():
+            to += 1  # lower() looks at the letters around
+        codes = np.frombuffer(text[at:to].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = _letter_table()[codes]
+        solid = letters > 0
+        keep = solid.copy()
+        keep[1:] |= solid[:-1]  # one place for each run of other characters
+        keep[0] |= inside
+        inside = bool(solid[-1])
+        at = to
+        yield letters[keep]
+    yield np.zeros(1, np.uint32)
+
+
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text as numbers, ascending, and their counts. Long texts are counted a PIECE at a time."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = _letter_table()[codes]
-    solid = letters > 0
-    keep = solid.copy()
-    keep[1:] |= solid[:-1]  # one place for each run of other characters
-    edge = np.zeros(1, np.uint32)
-    whole = np.concatenate((edge, letters[keep], edge))
+    """Distinct n-grams of a text as numbers, ascending, and their counts. Long texts are read and counted a piece at a time."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for at in range(0, len(whole), PIECE):
-        found = _gram_codes(whole[at : at + PIECE + 2].astype(np.uint64), PIECE)
+    rest = np.zeros(0, np.uint32)
+    pieces, last = _places(text), False
+    while not last:
+        parts, size = [rest], len(rest)
+        while size < PIECE + 2 and not last:
+            piece = next(pieces, None)
+            last = piece is None
+            if not last:
+                parts.append(piece)
+                size += len(piece)
+        whole = np.concatenate(parts)
+        most = len(whole) if last else len(whole) - 2  # the last two places begin n-grams of the next piece
+        rest = whole[most:]
+        found = _gram_codes(whole.astype(np.uint64), most) if len(whole) > 1 else np.zeros(0, np.uint64)
         found.sort()
         first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
         more = np.diff(np.append(first, len(found)))
@@ -118,7 +145,7 @@ def fit_profiles(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAG
 
 def _predict(profiles: Profiles):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _SLICE)):
             found = [profiles.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],

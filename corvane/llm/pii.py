@@ -31,11 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import slices
+
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MAX_TOKENS = 18
 MIN_PROBABILITY = 0.9
 WINDOW = 512
+_SLICE = 2 << 20
 REACH = 2 * MAX_TOKENS  # tokens on either side of a sign: a span around it, and another that overlaps that one
 
 # fixed values: the base patterns
@@ -93,7 +96,7 @@ _TOKEN = re.compile(_TOKEN_FORM)
 _NEAR = re.compile(f"(?:{_TOKEN_FORM}){{0,{REACH}}}+")
 _DOMAIN_FORM = r"\s*[a-z0-9-]+(?:\s*(?:\.|[\[({]\s*(?:dot|\.)\s*[\])}]|\sdot\s)\s*[a-z0-9-]+)+"
 # a number, an at sign, or an at in brackets or alone that a word and a dot or its spelt-out forms follow, as in every e-mail form
-_TRIGGER = re.compile(r"[0-9]+|@|(?<=[\[({\s])at(?=[\])}\s]{1,9}[a-z0-9-]+\s{0,9}(?:[.\[({]|(?<=\s)dot\s))", re.I)
+_TRIGGER = re.compile(r"[0-9]+|@|(?<=[\[({\s])at(?=[\])}\s]+[a-z0-9-]+\s*(?:[.\[({]|(?<=\s)dot\s))", re.I)
 _AT = re.compile(r"@|[\[({ ]\s*at\s*[\])} ]", re.I)
 _DOT = re.compile(r"\.|[\[({ ]\s*(?:dot|\.)\s*[\])} ]", re.I)
 _EMAIL_FORM = re.compile(r"[a-z0-9][a-z0-9._%+-]*\s*(?:@|[\[({]\s*at\s*[\])}]|\sat\s)" + _DOMAIN_FORM, re.I)
@@ -423,7 +426,7 @@ def _joined(spans: list[Span]) -> str:
 
 def _find(weights: np.ndarray):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _SLICE)):
             counts, digest, spans = [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
@@ -466,7 +469,7 @@ def masked(text: str, weights: np.ndarray) -> str:
 
 def _mask(weights: np.ndarray, schema_names: list[str]):
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", _SLICE)):
             texts = pa.array([None if t.as_py() is None else masked(t.as_py(), weights) for t in batch.column("text")], pa.string())
             yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in schema_names], names=schema_names)
 

@@ -541,6 +541,33 @@ def base_brute(text):
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+@settings(max_examples=400)
+@given(st.lists(st.sampled_from(["jo", "at", "@", "[", "]", "(", ")", "dot", ".", "quta", "com", " ", "\n", " " * 12, "\t" * 30, "é"]), max_size=16).map("".join))
+def test_the_trigger_opens_wherever_a_form_is(text):
+    """Every spelt-out form of an address holds a sign that opens a window."""
+    for form in (pii._EMAIL_FORM, pii._BRACKET_FORM, pii._BARE_FORM):
+        for m in form.finditer(text):
+            assert any(m.start() <= t.start() < m.end() for t in pii._TRIGGER.finditer(text))
+
+
+def test_blanks_in_a_spelt_out_address():
+    weights = pii.train(pii.training_sentences())
+    for blank in (" ", " " * 8, " " * 12, " " * 40):
+        text = f"write to jo.mi [at]{blank}quta.com"
+        assert [text[a:b] for a, b, _ in pii.added_spans(text, [], weights)] == [text[9:]], len(blank)
+
+
+def test_long_texts_in_pieces():
+    """One long text: language counts and masking hold a bounded part of it at a time."""
+    import tracemalloc
+
+    text = "Straße ΟΔΟΣ und mehr, jo@a.com " * 200_000
+    tracemalloc.start()
+    language.grams(text)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20  # of one piece, whatever the length
+    tracemalloc.stop()
+
+
 @settings(max_examples=400)
 @given(st.lists(st.sampled_from(["a", "b.c", "@", "@@", ".", "1", "25", "256.", "1.2.3.4", "+1 (555) 555-1234", "4111 1111 1111 1111", " ", "-", "é", "com", "\n", "0", "+"]), max_size=14).map("".join))
 def test_base_spans_are_the_patterns_own(text):

@@ -44,6 +44,15 @@ def test_stages_against_plain_versions(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
 
 
+def test_repeated_and_missing_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (1, text), (3, text), (None, text), (None, text), (5, other), (5, other), (5, other + " x"), (6, "a b"), (7, None), (7, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).collect()]
+    assert sorted(d or 0 for d, _ in found) == [0, 0, 1, 5, 6, 7]
+    assert {t or "" for d, t in found if d is None} == {text, ""}
+
+
 def test_stages_take_edge_rows(spark):
     rnd = random.Random(1)
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "some text", "en", "s", 9), (4, " ".join(rnd.choices("abcdefgh", k=300)), "en", "s", 599)]
