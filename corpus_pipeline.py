@@ -31,10 +31,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, similarity 0.8); rows without an id stay."""
-    classes = ngram_join(docs, shingle=5, threshold=80)
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): of those with the smallest doc_id the first by text hash.
+
+    Rows without an id belong to no group; of those with equal texts one stays.
+    """
+    classes = corpus.written(ngram_join(docs, shingle=5, threshold=80).select("doc_id", "component_id"), "classes")
     gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeats = F.col("doc_id").eqNullSafe(F.col("again"))
+    single = kept.join(again, repeats, "left_anti")
+    # rows of one id, or of one text without an id, meet as one row a task
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("row")
+    apart = F.when(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    many = kept.join(again, repeats, "left_semi").groupBy("doc_id", apart.alias("apart")).agg(first)
+    return single.unionByName(many.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
