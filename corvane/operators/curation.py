@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions import kernels
 from corvane.functions import text as tx
 
-from .selection import hash_order, in_one_task
+from .selection import hash_order, hash_ranked
 
 
 def admitted_positives(df: DataFrame, sequence: str, described: Column, terms: Sequence[str], reviewed: Column, sites: Column, lengths: tuple[int, int], longest_repeat: int, order: str) -> DataFrame:
@@ -86,25 +87,59 @@ def sparse_target_problem(tokens: Column, weights: Column) -> Column:
     )
 
 
-def capacity_match(negatives: DataFrame, positives: DataFrame, id_n: str, id_p: str, size: str, uses: int, seed: str) -> DataFrame:
-    """Each negative in hash order with the least used positive of its size, else within 5 percent or 5, until uses run out.
+#: Most distinct sizes whose counts go to the driver.
+MAX_SIZES = 2_000_000
+
+
+def _reach(size: int) -> int:
+    return max(5, round(size * 0.05))
 
-    Every choice depends on those before it, so the fold runs in one task over ids and
-    sizes alone: it holds the positives that have uses left, and streams the negatives.
+
+def coupled(counts: dict[int, tuple[int, int]], uses: int) -> dict[int, int]:
+    """Sizes whose matches depend on those of other sizes, with the component that they are in (its smallest size).
+
+    counts: negatives and positives of each size. A size with more negatives than its
+    positives have uses reaches into others; a size so reached may run out itself and
+    reaches on. All others match within their own size.
     """
-    rows = negatives.select(F.lit(0).alias("side"), F.col(id_n).cast("string").alias("id"), F.col(size).cast("long").alias("size_")).union(positives.select(F.lit(1), F.col(id_p).cast("string"), F.col(size).cast("long")))
-    rows = rows.filter("size_ IS NOT NULL").withColumn("o", hash_order(seed, "side", "id"))
+    stocked = sorted(s for s, (_, p) in counts.items() if p and uses > 0)
+    parent: dict[int, int] = {}
+
+    def root(s: int) -> int:
+        while parent[s] != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    short = [s for s, (n, p) in counts.items() if n > uses * p]
+    parent.update((s, s) for s in short)
+    while short:
+        s = short.pop()
+        for t in stocked[bisect_left(stocked, s - _reach(s)) : bisect_right(stocked, s + _reach(s))]:
+            if t not in parent:
+                parent[t] = t
+                if counts[t][0]:
+                    short.append(t)
+            low, high = sorted((root(s), root(t)))
+            parent[high] = low
+    return {s: root(s) for s in parent}
+
+
+def _fold_component(uses: int):
+    """Greedy matches of whole components in order of (component, positives first, hash): one component's open positives are held."""
 
     def fold(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        component = None
         pool: dict[int, list[tuple[int, str, str]]] = {}  # a heap of (uses, order, id) for each size
         for part in chunks:
             out = []
             for r in part.itertuples():
+                if r.component != component:
+                    component, pool = r.component, {}
                 if r.side:
-                    if uses > 0:
-                        heapq.heappush(pool.setdefault(r.size_, []), (0, r.o, r.id))
+                    heapq.heappush(pool.setdefault(r.size_, []), (0, r.o, r.id))
                     continue
-                near = max(5, round(r.size_ * 0.05))
+                near = _reach(r.size_)
                 sizes = [r.size_] if r.size_ in pool else [s for s in range(r.size_ - near, r.size_ + near + 1) if s in pool] if 2 * near < len(pool) else [s for s in pool if abs(s - r.size_) <= near]
                 if sizes:
                     s = min(sizes, key=lambda s: pool[s][0])
@@ -116,4 +151,35 @@ def capacity_match(negatives: DataFrame, positives: DataFrame, id_n: str, id_p:
                     out.append((r.id, name))
             yield pd.DataFrame(out, columns=["negative", "positive"])
 
-    return in_one_task(rows, [F.desc("side"), F.col("o")], "negative string, positive string", fold)
+    return fold
+
+
+def capacity_match(negatives: DataFrame, positives: DataFrame, id_n: str, id_p: str, size: str, uses: int, seed: str) -> DataFrame:
+    """Each negative in hash order with the least used positive of its size, else within 5 percent or 5, until uses run out.
+
+    The counts of each size tell which sizes can want positives of others (`coupled`).
+    All other sizes are matched by rank: the i-th negative takes positive i modulo their
+    number, an equality join over ranks that are counted in two levels, so a size that
+    holds most rows is spread. Coupled sizes are folded a component at a time, in
+    parallel over components, as each choice there depends on those before it.
+    """
+    if uses <= 0:
+        return negatives.sparkSession.createDataFrame([], "negative string, positive string")
+    rows = negatives.select(F.lit(0).alias("side"), F.col(id_n).cast("string").alias("id"), F.col(size).cast("long").alias("size_")).union(positives.select(F.lit(1), F.col(id_p).cast("string"), F.col(size).cast("long")))
+    rows = rows.filter("size_ IS NOT NULL").withColumn("o", hash_order(seed, "side", "id"))
+    found = rows.groupBy("size_").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("p"))
+    counts = {r["size_"]: (r["n"], r["p"]) for r in found.limit(MAX_SIZES + 1).collect()}  # a row a size
+    if len(counts) > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} distinct sizes")
+    component = coupled(counts, uses)
+    known = negatives.sparkSession.createDataFrame(list(component.items()) or [(-1, -1)], "c_size long, component long")
+    labelled = rows.join(F.broadcast(known), F.col("size_") == F.col("c_size"), "left").drop("c_size")  # a row a coupled size
+
+    free = hash_ranked(labelled.filter("component IS NULL"), ["side", "size_"], "o", "k")
+    p = free.filter("side = 1").select("size_", (F.col("k") - 1).alias("k"), F.col("id").alias("positive"))
+    sizes = F.broadcast(negatives.sparkSession.createDataFrame([(s, p) for s, (_, p) in counts.items() if p and s not in component] or [(-1, 1)], "size_ long, p long"))
+    n = free.filter("side = 0").join(sizes, "size_").select("size_", F.pmod(F.col("k") - 1, F.col("p")).alias("k"), F.col("id").alias("negative"))
+    alone = n.join(p, ["size_", "k"]).select("negative", "positive")
+
+    tied = labelled.filter("component IS NOT NULL").repartition("component").sortWithinPartitions("component", F.desc("side"), "o")
+    return alone.unionByName(tied.mapInPandas(_fold_component(uses), "negative string, positive string"))

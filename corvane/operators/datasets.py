@@ -47,21 +47,6 @@ def completeness(expected: DataFrame, observed: DataFrame, key: Sequence[str]) -
     return both.select(*key, F.when(F.col("_n").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("_n") > 1, "duplicate").alias("problem")).filter("problem IS NOT NULL")
 
 
-def chained(df: DataFrame, order: Sequence[str], payload: Sequence[str], within: Sequence[str], name: str = "event_sha256") -> DataFrame:
-    """A link hash for each event (payload and previous payload), and the previous event's link."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    text = F.concat_ws("|", *(F.col(c).cast("string") for c in payload))
-    own = df.withColumn("_text", text).withColumn("_before", F.coalesce(F.lag("_text").over(w), F.lit("")))
-    own = own.withColumn(name, F.sha2(F.concat_ws("#", "_before", "_text"), 256))
-    return own.withColumn("previous_sha256", F.coalesce(F.lag(name).over(w), F.lit("0" * 64))).drop("_text", "_before")
-
-
-def broken_links(df: DataFrame, order: Sequence[str], within: Sequence[str], name: str = "event_sha256") -> DataFrame:
-    """Events whose previous hash is not the hash of the event before them."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    return df.withColumn("_before", F.coalesce(F.lag(name).over(w), F.lit("0" * 64))).filter(F.col("_before") != F.col("previous_sha256")).drop("_before")
-
-
 def illegal_steps(df: DataFrame, order: Sequence[str], within: Sequence[str], state: str, allowed: dict[str | None, Sequence[str]], any_start: bool = False, may_stay: bool = False) -> DataFrame:
     """Events whose state may not follow the state before them (None: the start). With any_start any state may be the first, with may_stay any may follow itself."""
     w = Window.partitionBy(*within).orderBy(*order)

@@ -1,7 +1,7 @@
 """Similarity joins and clusters over short sequences.
 
-Candidates of joins come from an equality: blocks of length and text. Edit distance is
-then checked with Spark's bounded levenshtein, inside the join.
+Candidates of joins come from an equality: hashes of pieces of distinct texts. Edit
+distance is then checked with Spark's bounded levenshtein.
 """
 
 from __future__ import annotations
@@ -44,30 +44,75 @@ def nearest_by_kmers(queries: DataFrame, references: DataFrame, query_id: str, r
     return out.select(F.col("q").alias(query_id), F.col("x.r").alias(reference_id), F.coalesce("x.identity", F.lit(0.0)).alias("identity"), F.coalesce("x.jaccard", F.lit(0.0)).alias("jaccard"))
 
 
-def edit_pairs(rows: DataFrame, id_col: str, text: str, most: int, block: Column | None = None) -> DataFrame:
-    """Pairs (a < b) within `most` edits.
+def text_classes(rows: DataFrame, id_col: str, text: str, block: Column | None = None) -> DataFrame:
+    """Membership (id, rep): rows of one text (and block) are a class, named by its smallest id. Null texts and blocks are in none."""
+    base = rows.select(F.col(id_col).alias("id"), F.col(text).alias("s"), (block if block is not None else F.lit(0)).alias("block")).filter("s IS NOT NULL AND block IS NOT NULL")
+    reps = base.groupBy("block", "s").agg(F.min("id").alias("rep"))
+    return base.join(reps, ["block", "s"]).select("id", "rep", "block", "s")
+
 
-    Blocks: a text is cut into most + 1 pieces; within `most` edits one piece stays
-    whole and moves by at most `most` places, so texts that are close share (length
-    band, piece). `block` adds an equality that pairs must also share.
+def class_pairs(classes: DataFrame, most: int) -> DataFrame:
+    """Pairs (a < b) of classes of one block whose texts are within `most` edits.
+
+    A text is cut into most + 1 pieces; within `most` edits one piece stays whole and
+    moves by at most `most` places. Texts and the shifted cuts that another length would
+    have made meet by a hash of (block, length, number, piece); ids alone go through
+    that join, texts are fetched for the pairs that it finds.
     """
-    n = F.length(text)
     pieces = most + 1
-    width = F.floor(n / pieces).cast("int")
-    base = rows.select(F.col(id_col).alias("id"), F.col(text).alias("s"), (block if block is not None else F.lit(0)).alias("block")).filter(F.col("s").isNotNull())
+    base = classes.filter("id = rep").select("rep", "block", "s").distinct()
     n, width = F.length("s"), F.floor(F.length("s") / pieces).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(i.alias("i"), (i * width + 1).alias("at"), F.when(i == most, n - i * width).otherwise(width).alias("w")))
-    index = base.select("id", "s", "block", n.alias("n"), F.explode(parts).alias("p")).select("id", "s", "block", "n", F.expr("substring(s, p.at, p.w)").alias("piece"), F.col("p.i").alias("i"))
+    key = F.xxhash64("block", "n", "i", F.expr("substring(s, at, w)")).alias("key")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.struct(n.alias("n"), i.alias("i"), (i * width + 1).alias("at"), F.when(i == most, n - i * width).otherwise(width).alias("w")))
+    index = base.select("rep", "block", "s", F.explode(parts).alias("p")).select("rep", "block", "s", "p.*").select("rep", key)
     # probes: pieces of a text of length m as a text of length n within the band would have cut it
     lengths = F.filter(F.sequence(n - most, n + most), lambda m: m >= 0)
     cuts = F.flatten(F.transform(lengths, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.transform(
         F.sequence(-F.lit(most), F.lit(most)),
-        lambda d: F.struct(m.alias("m"), i.alias("i"), (i * F.floor(m / pieces).cast("int") + 1 + d).alias("at"), F.when(i == most, m - i * F.floor(m / pieces).cast("int")).otherwise(F.floor(m / pieces).cast("int")).alias("w")),
+        lambda d: F.struct(m.alias("n"), i.alias("i"), (i * F.floor(m / pieces).cast("int") + 1 + d).alias("at"), F.when(i == most, m - i * F.floor(m / pieces).cast("int")).otherwise(F.floor(m / pieces).cast("int")).alias("w")),
     )))))
-    probe = base.select("id", "s", "block", F.explode(cuts).alias("p")).filter("p.at >= 1").select(F.col("id").alias("b"), F.col("s").alias("t"), "block", F.col("p.m").alias("n"), F.col("p.i").alias("i"), F.expr("substring(s, p.at, p.w)").alias("piece")).distinct()
-    near = index.join(probe, ["block", "n", "i", "piece"]).filter(F.col("id") != F.col("b"))
-    near = near.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), F.when(F.col("id") < F.col("b"), F.col("s")).otherwise(F.col("t")).alias("s"), F.when(F.col("id") < F.col("b"), F.col("t")).otherwise(F.col("s")).alias("t")).distinct()
-    return near.withColumn("distance", F.levenshtein("s", "t", most)).filter("distance >= 0").select("a", "b", "distance")
+    probe = base.select("rep", "block", "s", F.explode(cuts).alias("p")).select("rep", "block", "s", "p.*").filter("at >= 1").select(F.col("rep").alias("other"), key).distinct()
+    near = index.join(probe, "key").filter("rep <> other").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+    side = lambda x, y: base.select(F.col("rep").alias(x), F.col("s").alias(y), F.col("block").alias(f"{y}_block"))
+    met = near.join(side("a", "s"), "a").join(side("b", "t"), "b").filter("s_block = t_block")
+    return met.withColumn("distance", F.levenshtein("s", "t", most)).filter("distance >= 0").select("a", "b", "distance")
+
+
+def edit_pairs(rows: DataFrame, id_col: str, text: str, most: int, block: Column | None = None) -> DataFrame:
+    """Pairs (a < b) of rows within `most` edits, `block` being equal as well.
+
+    The join is over distinct texts. All pairs of rows are written out here, those of
+    equal texts too; `edit_clusters` and `nearest_by_edits` work on classes.
+    """
+    classes = text_classes(rows, id_col, text, block)
+    member = classes.select("id", "rep")
+    near = class_pairs(classes, most)
+    of = lambda x: member.select(F.col("id").alias(f"{x}_id"), F.col("rep").alias(x))
+    apart = near.join(of("a"), "a").join(of("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "distance")
+    equal = member.join(of("rep"), "rep").filter("id < rep_id").select(F.col("id").alias("a"), F.col("rep_id").alias("b"), F.lit(0).alias("distance"))
+    return apart.unionByName(equal)
+
+
+def edit_clusters(rows: DataFrame, id_col: str, text: str, most: int, scratch, block: Column | None = None) -> DataFrame:
+    """(id, component): components of texts within `most` edits, named by the smallest id; rows without a text are their own. Linear in the copies of a text."""
+    classes = scratch(text_classes(rows, id_col, text, block))
+    found = components(class_pairs(classes, most), classes.filter("id = rep"), "rep", scratch)
+    known = classes.join(found, "rep").select(F.col("id").alias(id_col), "component")
+    rest = rows.select(id_col).join(known, id_col, "left_anti")
+    return known.unionByName(rest.withColumn("component", F.col(id_col)))
+
+
+def nearest_by_edits(rows: DataFrame, id_col: str, text: str, most: int, scratch, block: Column | None = None) -> DataFrame:
+    """Each row's nearest other row within `most` edits (id, nearest, distance; ties to the smaller id). Rows without one are left out."""
+    classes = scratch(text_classes(rows, id_col, text, block))
+    pairs = class_pairs(classes, most)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    near = both.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct("distance", "b")).alias("x"))
+    second = classes.filter("id <> rep").groupBy("rep").agg(F.min("id").alias("second"))
+    known = classes.select("id", "rep").join(second, "rep", "left").join(near, "rep", "left")
+    twin = F.when(F.col("id") == F.col("rep"), F.col("second")).otherwise(F.col("rep"))
+    out = known.select(F.col("id").alias(id_col), F.coalesce(twin, "x.b").alias("nearest"), F.when(twin.isNotNull(), F.lit(0)).otherwise(F.col("x.distance")).alias("distance"))
+    return out.filter("nearest IS NOT NULL")
 
 
 def neighbourhood(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, thresholds: list[float], flag: Column) -> DataFrame:

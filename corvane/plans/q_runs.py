@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scores
-from corvane.operators import datasets, selection, stats
+from corvane.operators import datasets, ledger, selection, stats
 from corvane.sources import records
 
 from .catalog import register
@@ -214,17 +214,48 @@ def family_stats(spark, sf_dir):
     return u.agg(at(0.05, "low"), at(0.5, "middle"), at(0.95, "high"))
 
 
-@register("hash_chain_audit", """
-    WITH e AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-    SELECT (SELECT count(*) FROM events) AS events, (SELECT count(DISTINCT user_id) FROM events) AS ledgers, count_if(event_id % 97 = 0 OR before % 89 = 0)::BIGINT AS broken FROM e""")
-def hash_chain_audit(spark, sf_dir):
+#: One ledger a user, hashed row by row; then four kinds of tampering.
+_LEDGER = """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+    c AS (SELECT user_id, event_id, event_type, k, 'ROOT' AS prev, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","previous_event_sha256":"ROOT","user_id":' || user_id || '}') AS own FROM e WHERE k = 1
+          UNION ALL
+          SELECT e.user_id, e.event_id, e.event_type, e.k, c.own, sha256('{"event_id":' || e.event_id || ',"event_type":"' || e.event_type || '","previous_event_sha256":"' || c.own || '","user_id":' || e.user_id || '}')
+          FROM c JOIN e ON e.user_id = c.user_id AND e.k = c.k + 1)"""
+
+
+@register("ledger_chain", f"{_LEDGER} SELECT user_id, event_id, event_type, prev AS previous_event_sha256, own AS event_sha256 FROM c")
+def ledger_chain(spark, sf_dir):
+    return ledger.opened(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["event_id"], ["user_id"])
+
+
+@register("ledger_append", f"{_LEDGER}, n AS (SELECT user_id, count(*) AS n_events, arg_max(own, event_id) AS head_sha256 FROM c GROUP BY 1) SELECT * FROM n")
+def ledger_append(spark, sf_dir):
+    """The ledgers of even events, and the odd ones that come later appended to them, end like the ledgers of all."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    chain = datasets.chained(e, ["event_id"], ["event_id", "event_type"], ["user_id"])
-    # tampering: a forged previous hash, and an event whose own hash was rewritten
-    forged = F.sha2(F.col("event_id").cast("string"), 256)
-    chain = chain.withColumns({"previous_sha256": F.when(F.col("event_id") % 97 == 0, forged).otherwise(F.col("previous_sha256")), "event_sha256": F.when(F.col("event_id") % 89 == 0, forged).otherwise(F.col("event_sha256"))})
-    bad = datasets.broken_links(chain, ["event_id"], ["user_id"]).agg(F.count("*").alias("broken"))
-    return chain.agg(F.count("*").alias("events"), F.countDistinct("user_id").alias("ledgers")).join(bad)
+    cut = e.agg((F.max("event_id") / 2).alias("cut"))
+    e = e.join(F.broadcast(cut))
+    first = ledger.opened(e.filter("event_id <= cut").drop("cut"), ["event_id"], ["user_id"])
+    first = records.scratch_table(first)
+    more = ledger.appended(first, e.filter("event_id > cut").drop("cut"), ["event_id"], ["user_id"])
+    return ledger.heads(first.unionByName(more), ["event_id"], ["user_id"])
+
+
+@register("hash_chain_audit", f"""{_LEDGER},
+    t AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN sha256(event_id::VARCHAR) ELSE prev END AS prev, CASE WHEN event_id % 89 = 0 THEN upper(event_type) ELSE event_type END AS event_type,
+                 CASE WHEN event_id = max(event_id) OVER (PARTITION BY user_id) AND user_id % 3 = 0 THEN sha256('x' || event_id) ELSE own END AS own FROM c),
+    u AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY event_id), 'ROOT') AS before FROM t WHERE event_id % 83 > 0),
+    v AS (SELECT event_id, prev = before AS link_ok, own = sha256('{{"event_id":' || event_id || ',"event_type":"' || event_type || '","previous_event_sha256":"' || prev || '","user_id":' || user_id || '}}') AS hash_ok FROM u)
+    SELECT event_id, CASE WHEN NOT link_ok AND NOT hash_ok THEN 'both' WHEN NOT link_ok THEN 'broken_link' ELSE 'event_hash' END AS problem FROM v WHERE NOT (link_ok AND hash_ok)""")
+def hash_chain_audit(spark, sf_dir):
+    """Every row that shows one of four kinds of tampering: a forged link, a payload changed under its hash, a rewritten last hash, an event taken out."""
+    k = F.col("event_id")
+    chain = ledger_chain(spark, sf_dir)
+    last = F.max("event_id").over(Window.partitionBy("user_id"))
+    chain = chain.withColumns({
+        ledger.PREVIOUS: F.when(k % 97 == 0, F.sha2(k.cast("string"), 256)).otherwise(F.col(ledger.PREVIOUS)), "event_type": F.when(k % 89 == 0, F.upper("event_type")).otherwise(F.col("event_type")),
+        ledger.EVENT: F.when((k == last) & (F.col("user_id") % 3 == 0), F.sha2(F.concat(F.lit("x"), k), 256)).otherwise(F.col(ledger.EVENT)),
+    })
+    return ledger.problems(chain.filter(k % 83 > 0), ["event_id"], ["user_id"]).select("event_id", "problem")
 
 
 @register("illegal_transitions", """

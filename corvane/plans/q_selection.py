@@ -273,18 +273,14 @@ def edit_pairs(spark, sf_dir):
     WITH RECURSIVE e AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2),
     r AS (SELECT p_partkey AS x, p_partkey AS y FROM part UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a) SELECT x AS p_partkey, min(y) AS component FROM r GROUP BY x""")
 def edit_clusters(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    edges = similarity.edit_pairs(p, "p_partkey", "p_name", 2, F.col("p_brand"))
-    return similarity.components(edges, p, "p_partkey", scratch_table)
+    return similarity.edit_clusters(table(spark, sf_dir, "part"), "p_partkey", "p_name", 2, scratch_table, F.col("p_brand"))
 
 
 @register("nearest_neighbour", """
     WITH e AS (SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2)
     SELECT a AS p_partkey, b AS nearest, d::INTEGER AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM e) WHERE k = 1""")
 def nearest_neighbour(spark, sf_dir):
-    e = similarity.edit_pairs(table(spark, sf_dir, "part"), "p_partkey", "p_name", 2, F.col("p_brand"))
-    both = e.union(e.select("b", "a", "distance"))
-    return both.groupBy(F.col("a").alias("p_partkey")).agg(F.min(F.struct("distance", "b")).alias("x")).select("p_partkey", F.col("x.b").alias("nearest"), F.col("x.distance").alias("distance"))
+    return similarity.nearest_by_edits(table(spark, sf_dir, "part"), "p_partkey", "p_name", 2, scratch_table, F.col("p_brand"))
 
 
 @register("anchor_neighbourhoods", """

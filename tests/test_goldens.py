@@ -116,14 +116,6 @@ def test_split_keeps_groups_whole(spark):
     assert (parts.part == "holdout").sum() == 16
 
 
-def test_ledger_breaks_show(spark):
-    df = spark.createDataFrame([("a", i, f"e{i}") for i in range(5)], "run string, i long, what string")
-    chain = datasets.chained(df, ["i"], ["i", "what"], ["run"])
-    assert datasets.broken_links(chain, ["i"], ["run"]).count() == 0
-    bad = chain.withColumn("event_sha256", F.when(F.col("i") == 2, "x").otherwise(F.col("event_sha256")))
-    assert [r["i"] for r in datasets.broken_links(bad, ["i"], ["run"]).collect()] == [3]
-
-
 def test_duplicate_keys_are_refused(spark):
     df = spark.createDataFrame([(1,), (1,)], "k long")
     with pytest.raises(Exception, match="duplicate key"):
