@@ -37,8 +37,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     classes = corpus.written(ngram_join(docs, shingle=5, threshold=80).select("doc_id", "component_id"), "classes")
     gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
-    again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
+    if again.isEmpty():  # as where ids are keys: the texts need not move again
+        return kept
     repeats = F.col("doc_id").eqNullSafe(F.col("again"))
     single = kept.join(again, repeats, "left_anti")
     # rows of one id, or of one text without an id, meet as one row a task
