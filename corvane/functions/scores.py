@@ -149,10 +149,12 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, C
 def sign_test(wins: Column, losses: Column) -> Column:
     """Exact two-sided binomial probability; ties are left out before."""
     n, k = wins + losses, F.least(wins, losses)
-    log_choose = lambda i: F.expr("0.0") + _log_factorial(n) - _log_factorial(i) - _log_factorial(n - i)
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda a, i: a + F.exp(log_choose(i) - n * F.log(F.lit(2.0))))
-    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
+    # log C(n, i) from the term before it: log C(n, i - 1) + log((n - i + 1) / i)
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("log"))
 
+    def add(a: Column, i: Column) -> Column:
+        log = F.when(i > 0, a["log"] + F.log((n - i + 1) / F.greatest(i, F.lit(1).cast("long")))).otherwise(0.0)
+        return F.struct((a["sum"] + F.exp(log - n * F.log(F.lit(2.0)))).alias("sum"), log.alias("log"))
 
-def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1).cast("long"))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), zero, add, lambda a: a["sum"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,69 @@ def round_quantile(values: Column, q: float) -> Column:
     return F.element_at(ordered, (F.round((F.size(ordered) - 1) * F.lit(q)) + 1).cast("int"))
 
 
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, asks: Sequence[tuple[str, float, str]], scratch: Callable[[DataFrame], DataFrame], bins: int = 1024) -> DataFrame:
+    """Exact elements of each group's ordered values, one column each, by histogram refinement.
+
+    asks: column name, share q, and floor or round: the element of rank floor((n - 1) q)
+    or round((n - 1) q), halves away from 0. Every pass counts the values that can still
+    be asked for in `bins` equal bins between their least and most, with map-side combine,
+    and goes on with the bin that holds the rank and the values that bound it. A group is
+    never brought together, however large; passes end once those values are equal, after
+    two to four on values that spread. Nulls and NaN are left out; a group without values
+    gives no row.
+    """
+    same = lambda a, b: [F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys]
+    known = df.select(*(F.col(k).alias(f"v_{k}") for k in keys), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    rank = lambda q, how: (F.floor if how == "floor" else F.round)((F.col("n") - 1) * F.lit(q)).cast("long")
+    ends = known.groupBy(*(F.col(f"v_{k}").alias(f"k_{k}") for k in keys)).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("ask"), rank(q, how).alias("rank")) for name, q, how in asks)))
+    names = [*(f"k_{k}" for k in keys), "ask"]
+    live = scratch(ends.filter("n > 0").select("*", each.alias("x")).select(*names[:-1], "x.ask", "x.rank", "low", "high", F.lit(0).cast("long").alias("below")))
+    done = live.limit(0)
+    while True:
+        done = done.unionByName(live.filter("low = high"))
+        live = live.filter("low < high")
+        if live.isEmpty():
+            break
+        rule = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
+        for x in same("v_", "k_"):
+            rule = rule & x
+        place = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins)).alias("bin")
+        counts = known.join(live, rule).groupBy(*names, "rank", "below", place).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy(*names).orderBy("bin")) + F.col("below")  # `bins` rows
+        found = counts.withColumn("upto", upto).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        live = scratch(found.select(*names, "rank", "low", "high", (F.col("upto") - F.col("c")).alias("below")))
+    return done.groupBy(*(F.col(f"k_{k}").alias(k) for k in keys)).agg(*(F.max(F.when(F.col("ask") == name, F.col("low"))).alias(name) for name, _, _ in asks))
+
+
+# fixed values: shares and number of a family's statistics, and its position ranges where no record has sites
+FAMILY_SHARES = (("low", 0.05), ("middle", 0.5), ("high", 0.95))
+TOP_MOTIFS = 12
+POSITION_RANGES = {"serine": (0.45, 0.75), "aspartate": (0.72, 0.92), "histidine": (0.82, 0.98)}
+
+
+def family_stats(df: DataFrame, sequence: str, motifs: Column, sites: Column, scratch: Callable[[DataFrame], DataFrame], top: int = TOP_MOTIFS) -> DataFrame:
+    """One row: length quantiles, the most frequent motifs (ties by name), and 5 to 95 percent ranges of the relative positions of S, D and H.
+
+    sites: places (from 1) in the sequence, of which the first three in order must be
+    S, D and H for a record's positions to count.
+    """
+    rows = df.select(F.col(sequence).alias("s"), motifs.alias("motifs"), sites.alias("sites"))
+    place = F.slice(F.array_sort(F.filter("sites", lambda p: (p >= 1) & (p <= F.length("s")))), 1, 3)
+    letter = F.array_join(F.transform(place, lambda p: F.substring(F.col("s"), p, F.lit(1))), "")
+    share = F.when(letter == "SDH", F.transform(place, lambda p: p / F.length("s")))
+    rows = scratch(rows.select(F.length("s").alias("n"), "motifs", share.alias("share")))  # sequences are read once
+    out = order_statistics(rows, [], "n", [(name, q, "floor") for name, q in FAMILY_SHARES], scratch)
+    counts = rows.select(F.explode("motifs").alias("motif")).groupBy("motif").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "motif").limit(top)
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "motif"))), lambda x: x["motif"])
+    out = out.join(counts.agg(ranked.alias("motifs")), F.lit(True), "full")  # one row and one row of `top`
+    fit = rows.filter("share IS NOT NULL").select(*(F.element_at("share", k + 1).alias(name) for k, name in enumerate(POSITION_RANGES)))
+    for name, (low, high) in POSITION_RANGES.items():
+        found = order_statistics(fit, [], name, [(f"{name}_low", 0.05, "floor"), (f"{name}_high", 0.95, "floor")], scratch)
+        out = out.join(found, F.lit(True), "left").fillna({f"{name}_low": low, f"{name}_high": high})
+    return out
+
+
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, population deviation, least, median, 5 and 95 percent (interpolated), nearest-rank 90 percent, most."""
     v = F.col(value)

@@ -186,7 +186,7 @@ def distinct_rescoring(spark, sf_dir):
     """Score each distinct text once and bring the score back to every row."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "text")
     scored = d.groupBy("h").agg(F.first("text").alias("text")).select("h", F.length("text").cast("long").alias("score"))
-    return d.select("doc_id", "h").join(scored, "h").select("doc_id", "score")
+    return d.select("doc_id", "h").join(scored, "h", "left").select("doc_id", "score")
 
 
 @register("job_waves", "SELECT p_brand, p_partkey, ((row_number() OVER (PARTITION BY p_brand ORDER BY sha256('wave|' || p_partkey)) - 1) // 6)::BIGINT AS wave FROM part")
@@ -261,14 +261,20 @@ def topk_after_prompt(spark, sf_dir):
     return e.select("vec_id", (F.col("p") + 1).cast("long").alias("position"), F.round(F.col("x").cast("double"), 6).alias("logprob"))
 
 
-@register("file_discovery", "SELECT 'matched' AS what, 4::BIGINT AS n")
+@register("file_discovery", """
+    SELECT n_name AS name, c.n AS customers FROM nation JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey WHERE n_regionkey <> 2""")
 def file_discovery(spark, sf_dir):
+    """Customers written as files of runs under a tree, one folder a region and nation; those of one region are old. What discovery finds is read back and counted."""
     root = records.scratch_path(spark)
-    for run in ("a/run-1", "a/run-2", "b/run-1", "old/run-1"):
-        spark.range(3).coalesce(1).write.json(f"{root}/{run}")
-    spark.range(3).coalesce(1).write.json(f"{root}/c/keep-1")
-    found = records.discover(spark, root, r"/(run|keep)-[0-9]+/part-.*\.json$", r"/old/")
-    return found.agg(F.count("*").alias("n")).select(F.lit("matched").alias("what"), "n")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") == 2, "old").otherwise(F.concat(F.lit("region-"), "n_regionkey")).alias("area"))
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    c.select("c_custkey", "n_name", "area", F.concat(F.lit("run-"), "n_nationkey").alias("run")).write.partitionBy("area", "run").json(root)
+    found = records.discover(spark, root, r"/run=run-[0-9]+/part-.*\.json$", r"/area=old/").select("path")
+    # each file is read where it was found: its rows carry its path
+    rows = spark.read.schema("c_custkey long, n_name string").option("recursiveFileLookup", "true").json(root).withColumn("path", F.input_file_name())
+    plain = lambda p: F.regexp_replace(F.col(p), "^file:/+", "/")
+    kept = rows.withColumn("at", plain("path")).join(found.select(plain("path").alias("at")), "at", "left_semi")
+    return kept.groupBy(F.col("n_name").alias("name")).agg(F.count("*").alias("customers"))
 
 
 @register("tolerant_documents", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE role END AS role FROM conversations")

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions import scores
+from corvane.functions import text as tx
 from corvane.operators import datasets, ledger, selection, stats
 from corvane.sources import records
 
 from .catalog import register
-from .views import candidates, table, with_candidates
+from .views import candidates, sequences, table, with_candidates, with_sequences
 
 C = with_candidates
 
@@ -85,8 +86,8 @@ def arm_summary(spark, sf_dir):
     WITH o AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) - 1 AS i, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
     SELECT p_brand, max(CASE WHEN i = floor((n - 1) * 0.05::DOUBLE) THEN v END) AS low, max(CASE WHEN i = floor((n - 1) * 0.95::DOUBLE) THEN v END) AS high, max(CASE WHEN i = round((n - 1) * 0.9::DOUBLE) THEN v END) AS near FROM o GROUP BY p_brand""")
 def index_quantiles(spark, sf_dir):
-    g = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_list("p_retailprice").alias("v"))
-    return g.select("p_brand", stats.floor_quantile(F.col("v"), 0.05).alias("low"), stats.floor_quantile(F.col("v"), 0.95).alias("high"), stats.round_quantile(F.col("v"), 0.9).alias("near"))
+    asks = [("low", 0.05, "floor"), ("high", 0.95, "floor"), ("near", 0.9, "round")]
+    return stats.order_statistics(table(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", asks, records.scratch_table)
 
 
 @register("first_differences", """
@@ -240,6 +241,28 @@ def ledger_append(spark, sf_dir):
     return ledger.heads(first.unionByName(more), ["event_id"], ["user_id"])
 
 
+@register("family_motifs", with_sequences("""
+    , m AS (SELECT sequence[i:i + 4] AS motif FROM s, unnest(range(1, greatest(length(sequence) - 3, 1))) AS u(i) WHERE regexp_full_match(sequence[i:i + 4], 'G[A-Z]S[A-Z]G')),
+    t AS (SELECT motif, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, motif LIMIT 12),
+    p AS (SELECT sequence, length(sequence) AS n, strpos(sequence, 'S') AS a FROM s), q AS (SELECT *, a + strpos(sequence[a + 1:], 'D') AS b FROM p WHERE a > 0), r AS (SELECT *, b + strpos(sequence[b + 1:], 'H') AS c FROM q WHERE b > a),
+    f AS (SELECT a / n AS x, b / n AS y, c / n AS z FROM r WHERE c > b),
+    o AS (SELECT *, row_number() OVER (ORDER BY x) - 1 AS i, row_number() OVER (ORDER BY y) - 1 AS j, row_number() OVER (ORDER BY z) - 1 AS k, count(*) OVER () AS m FROM f),
+    bounds AS (SELECT max(CASE WHEN i = floor((m - 1) * 0.05::DOUBLE) THEN x END) AS serine_low, max(CASE WHEN i = floor((m - 1) * 0.95::DOUBLE) THEN x END) AS serine_high, max(CASE WHEN j = floor((m - 1) * 0.05::DOUBLE) THEN y END) AS aspartate_low,
+                  max(CASE WHEN j = floor((m - 1) * 0.95::DOUBLE) THEN y END) AS aspartate_high, max(CASE WHEN k = floor((m - 1) * 0.05::DOUBLE) THEN z END) AS histidine_low, max(CASE WHEN k = floor((m - 1) * 0.95::DOUBLE) THEN z END) AS histidine_high FROM o),
+    len AS (SELECT length(sequence) AS n, row_number() OVER (ORDER BY length(sequence)) - 1 AS i, count(*) OVER () AS m FROM s)
+    SELECT (SELECT string_agg(motif, ',' ORDER BY n DESC, motif) FROM t) AS motifs, max(CASE WHEN i = floor((m - 1) * 0.05::DOUBLE) THEN n END)::DOUBLE AS low, max(CASE WHEN i = floor((m - 1) * 0.5::DOUBLE) THEN n END)::DOUBLE AS middle,
+           max(CASE WHEN i = floor((m - 1) * 0.95::DOUBLE) THEN n END)::DOUBLE AS high, (SELECT round(serine_low, 9) FROM bounds) AS serine_low, (SELECT round(serine_high, 9) FROM bounds) AS serine_high, (SELECT round(aspartate_low, 9) FROM bounds) AS aspartate_low,
+           (SELECT round(aspartate_high, 9) FROM bounds) AS aspartate_high, (SELECT round(histidine_low, 9) FROM bounds) AS histidine_low, (SELECT round(histidine_high, 9) FROM bounds) AS histidine_high FROM len"""))
+def family_motifs(spark, sf_dir):
+    """Family statistics of the documents' sequences, with the first S, the D behind it and the H behind that as sites."""
+    s = sequences(spark, sf_dir).select("sequence")
+    s = s.withColumn("a", F.instr("sequence", "S")).withColumn("b", F.expr("locate('D', sequence, a + 1)")).withColumn("c", F.expr("locate('H', sequence, b + 1)"))
+    sites = F.when((F.col("a") > 0) & (F.col("b") > 0) & (F.col("c") > 0), F.array("a", "b", "c")).otherwise(F.array().cast("array<int>"))
+    out = stats.family_stats(s, "sequence", tx.motifs("sequence"), sites, records.scratch_table)
+    ranges = [F.round(f"{name}_{end}", 9).alias(f"{name}_{end}") for name in stats.POSITION_RANGES for end in ("low", "high")]
+    return out.select(F.array_join("motifs", ",").alias("motifs"), "low", "middle", "high", *ranges)
+
+
 @register("hash_chain_audit", f"""{_LEDGER},
     t AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 0 THEN sha256(event_id::VARCHAR) ELSE prev END AS prev, CASE WHEN event_id % 89 = 0 THEN upper(event_type) ELSE event_type END AS event_type,
                  CASE WHEN event_id = max(event_id) OVER (PARTITION BY user_id) AND user_id % 3 = 0 THEN sha256('x' || event_id) ELSE own END AS own FROM c),

@@ -56,6 +56,55 @@ def streamed_telemetry(spark, sf_dir):
     return seen.groupBy("run").agg(F.max_by(F.struct("steps", "interventions"), "batch").alias("x")).select("run", "x.*")
 
 
+@register("streamed_claims", """
+    WITH i AS (SELECT user_id, event_id AS intent, ts FROM events WHERE event_type = 'view'), c AS (SELECT user_id, event_id AS claim, ts, event_id % 10 = 0 AS held FROM events WHERE event_type = 'purchase'),
+    w AS (SELECT least((SELECT max(ts) FROM i), (SELECT max(ts) FROM c WHERE NOT held)) - INTERVAL 1 day AS mark)
+    SELECT i.user_id, intent, claim FROM i JOIN c ON i.user_id = c.user_id AND c.ts >= i.ts AND c.ts <= i.ts + INTERVAL 6 hours, w WHERE NOT held OR c.ts > mark""")
+def streamed_claims(spark, sf_dir):
+    """Intents and claims as two streams in order of time; each tenth claim is held back to the end, where those behind the watermark are late."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    intents, claims, out = (records.scratch_path(spark) for _ in range(3))
+    e.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("intent"), F.col("ts").alias("intent_ts")).write.parquet(f"{intents}/0")
+    c = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("claim"), F.col("ts").alias("claim_ts"))
+    held = F.col("claim") % 10 == 0
+    c.filter(~held).write.parquet(f"{claims}/0")
+    sides = [spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(path) for kind, path in (("user_id long, intent long, intent_ts timestamp", intents), ("user_id long, claim long, claim_ts timestamp", claims))]
+    joined = telemetry.matched_claims(*sides, ["user_id"], "intent_ts", "claim_ts", "6 hours", "1 day")
+    kept = records.scratch_path(spark)
+    for late in (None, c.filter(held)):  # two runs of one query, which goes on from its checkpoint
+        if late is not None:
+            late.write.parquet(f"{claims}/1")
+        q = joined.select("user_id", "intent", "claim").writeStream.outputMode("append").format("parquet").option("checkpointLocation", kept).option("path", out).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("late_telemetry", f"""{_TOTALS}
+    SELECT run, count(*) AS steps, count_if(flag OR (c IS NOT NULL AND c IS DISTINCT FROM before))::BIGINT AS interventions FROM n GROUP BY run""")
+def late_telemetry(spark, sf_dir):
+    """The steps of every run in an order that has nothing to do with theirs, over several batches; a step of no run at the end moves the watermark past all."""
+    source, out = records.scratch_path(spark), records.scratch_path(spark)
+    e = _events(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("step_index")))
+    for k in range(3):
+        e.filter(F.pmod(F.xxhash64("step_index"), F.lit(3)) == k).write.parquet(f"{source}/{k}")
+    stream = spark.readStream.schema(telemetry.TIMED_EVENTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(source)
+    kept = records.scratch_path(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for last in (None, e.agg(F.max("ts").alias("ts"))):
+            if last is not None:
+                end = last.select(F.lit("").alias("run"), F.lit(0).cast("long").alias("step_index"), (F.col("ts") + F.expr("INTERVAL 1000 days")).alias("ts"))
+                end.write.parquet(f"{source}/end")
+            q = telemetry.ordered_metrics(stream, "900 days").writeStream.outputMode("update").foreachBatch(lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).option("checkpointLocation", kept).trigger(availableNow=True).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    seen = spark.read.parquet(out).filter("run <> ''")
+    return seen.groupBy("run").agg(F.max_by(F.struct("steps", "interventions"), "steps").alias("x")).select("run", "x.*")
+
+
 @register("tumbling_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_windows(spark, sf_dir):
     w = telemetry.windowed(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "1 hour")

@@ -8,6 +8,7 @@ emitted with each batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, fields
 
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 FAILURE_FLAGS = frozenset(("tandem_repeat", "motif_spam", "geometry_fail", "collapsed"))
 #: Fold confidence above which a finished sequence counts when no structural gate was run.
@@ -127,6 +129,78 @@ def stream_metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("run").applyInPandasWithState(update, SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+#: Events whose time says when a step happened, so that late ones can be waited for.
+TIMED_EVENTS = GRADED_EVENTS + ", ts timestamp"
+
+
+class OrderedRun(StatefulProcessor):
+    """Keeps a run's steps until the watermark has passed them, then feeds them in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.metrics = handle.getValueState("metrics", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(rows))
+        at = found["ts"].map(lambda t: int(t.timestamp() * 1000))
+        self.waiting.appendList([(ms, json.dumps(_plain(r))) for ms, r in zip(at, found.to_dict("records"), strict=True)])
+        for ms in sorted(set(at)):
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = [json.loads(text) for ms, text in held if ms <= upto]
+        if not ready:
+            return iter(())  # a timer of a step that went with an earlier one
+        self.waiting.put([(ms, text) for ms, text in held if ms > upto]) if len(ready) < len(held) else self.waiting.clear()
+        metrics = Metrics(*self.metrics.get()) if self.metrics.exists() else Metrics()
+        _feed(metrics, pd.DataFrame(ready))
+        self.metrics.update(astuple(metrics))
+        return iter((_report(key[0], metrics),))
+
+    def close(self) -> None:
+        pass
+
+
+_WAITING = "ms long, event string"
+
+
+def _plain(row: dict) -> dict:
+    """An event as JSON can hold it; missing values as null."""
+    kept = {k: v for k, v in row.items() if k not in ("run", "ts")}
+    flags = kept.pop("flags")
+    return {k: None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for k, v in kept.items()} | {"flags": None if flags is None else list(flags)}
+
+
+def ordered_metrics(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """stream_metrics for steps that arrive in any order across batches (columns as in TIMED_EVENTS).
+
+    A step waits in its run's state until the watermark, `late` behind the newest event,
+    has passed its time: no step before it can come then. Steps later than that are
+    dropped, as everywhere in a stream. Needs the RocksDB state store.
+    """
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("run").transformWithStateInPandas(OrderedRun(), SCHEMA, "Update", "EventTime")
+
+
+def matched_claims(intents: DataFrame, claims: DataFrame, key: list[str], intent_time: str, claim_time: str, within: str = "10 minutes", late: str = "10 minutes", unmatched: bool = False) -> DataFrame:
+    """Claims joined with the intents of their key that they follow within a time; both sides as streams or tables. Other column names must differ.
+
+    In a stream both sides carry a watermark, so state ends with the interval, and rows
+    later than `late` are dropped (the query's progress counts them). With `unmatched`
+    intents without a claim follow, with nulls, once none can come any more.
+    """
+    left, right = intents.withWatermark(intent_time, late), claims.withWatermark(claim_time, late)
+    right = right.select(*(F.col(c).alias(f"claim_{c}") if c in key else F.col(c) for c in right.columns))
+    rule = (F.col(claim_time) >= F.col(intent_time)) & (F.col(claim_time) <= F.col(intent_time) + F.expr(f"INTERVAL {within}"))
+    for k in key:
+        rule = rule & (F.col(k) == F.col(f"claim_{k}"))
+    return left.join(right, rule, "left_outer" if unmatched else "inner").drop(*(f"claim_{k}" for k in key))
+
+
 def windowed(events: DataFrame, time: str, keys: list[str], value: str, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Count and sum in tumbling or sliding windows, with a watermark (ignored in batch)."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
