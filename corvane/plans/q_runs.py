@@ -260,7 +260,7 @@ def family_motifs(spark, sf_dir):
     sites = F.when((F.col("a") > 0) & (F.col("b") > 0) & (F.col("c") > 0), F.array("a", "b", "c")).otherwise(F.array().cast("array<int>"))
     out = stats.family_stats(s, "sequence", tx.motifs("sequence"), sites, records.scratch_table)
     ranges = [F.round(f"{name}_{end}", 9).alias(f"{name}_{end}") for name in stats.POSITION_RANGES for end in ("low", "high")]
-    return out.select(F.array_join("motifs", ",").alias("motifs"), "low", "middle", "high", *ranges)
+    return out.select(F.when(F.size("motifs") > 0, F.array_join("motifs", ",")).alias("motifs"), "low", "middle", "high", *ranges)
 
 
 @register("hash_chain_audit", f"""{_LEDGER},
