@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for module in ("q_features", "q_selection", "q_runs", "q_streams", "q_candidates", "q_contracts"):
+    for module in ("q_features", "q_selection", "q_runs", "q_streams", "q_candidates", "q_contracts", "q_sinks"):
         importlib.import_module(f"corvane.plans.{module}")
 
 
