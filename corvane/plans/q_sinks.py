@@ -6,6 +6,7 @@ from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corvane.operators import batching
 from corvane.sources import committed, records
 
 from .catalog import register
@@ -54,3 +55,24 @@ def committed_stream(spark, sf_dir):
         committed.write_stream_committed(committed.stream_committed(spark, path, schema), copy, "copy", place).trigger(availableNow=True).start().awaitTermination()
     back = committed.read_committed(spark, copy, schema)
     return back.groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+# the greedy pass, a row at a time
+_BATCHES = """
+    WITH RECURSIVE d AS (SELECT doc_id, length(coalesce(text, ''))::BIGINT AS length, row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, md5(doc_id::VARCHAR), doc_id) AS i FROM documents),
+    g AS (SELECT i, doc_id, length, 0::BIGINT AS batch, 0::BIGINT AS slot, length AS longest, greatest(length - 2, 1) AS cost FROM d WHERE i = 1
+      UNION ALL SELECT i, doc_id, length, CASE WHEN fits THEN batch ELSE batch + 1 END, CASE WHEN fits THEN slot + 1 ELSE 0 END, CASE WHEN fits THEN longest ELSE length END, CASE WHEN fits THEN cost + more ELSE more END
+      FROM (SELECT d.i, d.doc_id, d.length, g.batch, g.slot, g.longest, g.cost, greatest(d.length - 2, 1) AS more, g.slot + 1 < 16 AND g.longest - d.length <= 32 AND g.cost + greatest(d.length - 2, 1) <= 4096 AS fits FROM g JOIN d ON d.i = g.i + 1))"""
+
+
+@register("length_batches", f"{_BATCHES} SELECT doc_id, length, batch, slot FROM g")
+def length_batches(spark, sf_dir):
+    return batching.length_batches(table(spark, sf_dir, "documents"), "doc_id", "text", 16, 32, 4096)
+
+
+@register("length_batch_report", f"""{_BATCHES}
+    SELECT batch, count(*) AS n, min(length) AS shortest, max(length) AS longest, sum(cost)::BIGINT AS cost, round(1 - sum(length) / (max(length) * count(*)), 6) AS padding
+    FROM (SELECT batch, length, greatest(length - 2, 1) AS cost FROM g) GROUP BY batch""")
+def length_batch_report(spark, sf_dir):
+    b = batching.batch_report(batching.length_batches(table(spark, sf_dir, "documents"), "doc_id", "text", 16, 32, 4096))
+    return b.withColumn("padding", F.round("padding", 6))
