@@ -183,3 +183,14 @@ def capacity_match(negatives: DataFrame, positives: DataFrame, id_n: str, id_p:
 
     tied = labelled.filter("component IS NOT NULL").repartition("component").sortWithinPartitions("component", F.desc("side"), "o")
     return alone.unionByName(tied.mapInPandas(_fold_component(uses), "negative string, positive string"))
+
+
+def scored_once(rows: DataFrame, text: str, score: Column, name: str) -> DataFrame:
+    """rows with the score of their text, which is computed once for each different text; rows without a text get the score of null.
+
+    Copies are told apart by SHA-256, and only one text of each group and one score cross
+    the network. A hot text's rows meet its one score in a broadcast or a split join.
+    """
+    keyed = rows.withColumn("_text", F.sha2(text, 256))
+    once = keyed.groupBy("_text").agg(F.first(text).alias(text)).select(F.col("_text").alias("_scored"), score.alias(name))
+    return keyed.join(once, keyed["_text"].eqNullSafe(once["_scored"]), "left").drop("_text", "_scored")

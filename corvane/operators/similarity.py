@@ -115,23 +115,59 @@ def nearest_by_edits(rows: DataFrame, id_col: str, text: str, most: int, scratch
     return out.filter("nearest IS NOT NULL")
 
 
-def neighbourhood(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, thresholds: list[float], flag: Column) -> DataFrame:
-    """For each anchor and identity threshold: neighbours, and those with and without the flag.
+def near_anchors(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, low: float, *carry: Column) -> DataFrame:
+    """(anchor, row, identity, carried columns) of rows with another text whose length allows an identity of `low`.
 
     Anchors are few by contract (a top-k); they are joined on bands of length that are
-    as wide as the lowest threshold allows, so far lengths never meet.
+    as wide as `low` allows, so far lengths never meet.
     """
-    low = min(thresholds)
     band = F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / -F.log(F.lit(low))).cast("int")
     a = anchors.select(F.col(id_col).alias("anchor"), F.col(text).alias("a_text"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    r = rows.select(F.col(id_col).alias("row"), F.col(text).alias("r_text"), flag.alias("flag"), band.alias("band"))
+    r = rows.select(F.col(id_col).alias("row"), F.col(text).alias("r_text"), *carry, band.alias("band"))
     longest = F.greatest(F.length("a_text"), F.length("r_text"), F.lit(1))
     near = a.join(r, "band").filter((F.col("a_text") != F.col("r_text")) & (F.abs(F.length("a_text") - F.length("r_text")) / longest <= 1 - low))
-    near = near.withColumn("identity", tx.identity("a_text", "r_text"))
-    wide = near.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double"))).filter(F.col("identity") >= F.col("threshold"))
+    return near.withColumn("identity", tx.identity("a_text", "r_text")).drop("band", "a_text", "r_text")
+
+
+def at_thresholds(near: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Each row once for every threshold that its identity meets, the stated few."""
+    return near.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds)))).filter(F.col("identity") >= F.col("threshold"))
+
+
+def neighbourhood(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, thresholds: list[float], flag: Column) -> DataFrame:
+    """For each anchor and identity threshold: neighbours, and those with and without the flag."""
+    wide = at_thresholds(near_anchors(anchors, rows, id_col, text, min(thresholds), flag.alias("flag")), thresholds)
     return wide.groupBy("anchor", "threshold").agg(F.count("*").alias("neighbours"), F.count_if("flag").alias("flagged"), F.count_if(~F.col("flag")).alias("unflagged"))
 
 
+def neighbourhood_reports(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, thresholds: list[float], strict: Column, bridge: Column, bucket: Column, cluster: Column, priority: list[Column], examples: int) -> DataFrame:
+    """One row for each anchor and threshold, those without a neighbour too.
+
+    role (strict or bridge_only), neighbours, strict ones, those that only bridge, different
+    prompt buckets (neither null nor empty), different clusters (not null), and the ids of up
+    to `examples` neighbours: highest identity first, then by `priority`, then smaller id. A
+    null flag is false.
+
+    An anchor's first neighbours are found once (their ranks are cut in each task before
+    they are exchanged); those at a threshold are the ones among them that meet it.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    keys = [c.alias(f"_{i}") for i, c in enumerate(priority)]
+    near = near_anchors(anchors, rows, id_col, text, min(thresholds), yes(strict).alias("_strict"), yes(bridge).alias("_bridge"), F.nullif(bucket.cast("string"), F.lit("")).alias("_bucket"), cluster.alias("_cluster"), F.struct(*keys, F.col(id_col).alias("_row")).alias("_order"))
+    wide = at_thresholds(near, thresholds)
+    counts = wide.groupBy("anchor", "threshold").agg(
+        F.count("*").alias("neighbours"), F.count_if("_strict").alias("strict"), F.count_if(F.col("_bridge") & ~F.col("_strict")).alias("bridge_only"),
+        F.countDistinct("_bucket").alias("buckets"), F.countDistinct("_cluster").alias("clusters"),
+    )
+    rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("identity"), "_order"))
+    first = near.withColumn("_rank", rank).filter(F.col("_rank") <= examples)
+    first = first.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("_rank", "row", "identity"))).alias("_first"))
+    asked = anchors.select(F.col(id_col).alias("anchor"), F.when(yes(strict), "strict").otherwise("bridge_only").alias("role"), F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold"))
+    out = asked.join(counts, ["anchor", "threshold"], "left").join(first, "anchor", "left").fillna(0, ["neighbours", "strict", "bridge_only", "buckets", "clusters"])
+    met = F.transform(F.filter("_first", lambda x: x["identity"] >= F.col("threshold")), lambda x: x["row"])
+    return out.withColumn("examples", F.coalesce(met, F.slice(F.array(F.col("anchor")), 1, 0))).drop("_first")
+
+
 def anchor_classes(anchors: DataFrame, rows: DataFrame, id_col: str, text: str, flag: Column, near: float = 0.95, wide: float = 0.9) -> DataFrame:
     """Class of each anchor by its neighbourhood: green with three near neighbours of both kinds, yellow with three near or five wide ones, else red."""
     found = neighbourhood(anchors, rows, id_col, text, [near, wide], flag)

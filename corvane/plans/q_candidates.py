@@ -181,12 +181,11 @@ def best_match_resolution(spark, sf_dir):
     return j.withColumn("score", s).groupBy("c_custkey").agg(F.max_by(F.struct("o_orderkey", "score"), F.struct("score", -F.col("o_orderkey"))).alias("x")).select("c_custkey", "x.*")
 
 
-@register("distinct_rescoring", "SELECT doc_id, length(text)::BIGINT AS score FROM documents")
+@register("distinct_rescoring", "SELECT doc_id, (len(list_distinct(string_split(text, ' '))) * 1000 + length(regexp_replace(text, '[^aeiou]', '', 'g')))::BIGINT AS score FROM documents")
 def distinct_rescoring(spark, sf_dir):
     """Score each distinct text once and bring the score back to every row."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "text")
-    scored = d.groupBy("h").agg(F.first("text").alias("text")).select("h", F.length("text").cast("long").alias("score"))
-    return d.select("doc_id", "h").join(scored, "h", "left").select("doc_id", "score")
+    score = F.size(F.array_distinct(F.split("text", " "))) * 1000 + F.length(F.regexp_replace("text", "[^aeiou]", ""))
+    return curation.scored_once(table(spark, sf_dir, "documents"), "text", F.when(F.col("text").isNotNull(), score.cast("long")), "score").select("doc_id", "score")
 
 
 @register("job_waves", "SELECT p_brand, p_partkey, ((row_number() OVER (PARTITION BY p_brand ORDER BY sha256('wave|' || p_partkey)) - 1) // 6)::BIGINT AS wave FROM part")

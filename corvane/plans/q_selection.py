@@ -292,6 +292,19 @@ def anchor_neighbourhoods(spark, sf_dir):
     return similarity.neighbourhood(p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20), p, "p_partkey", "p_name", [0.9, 0.7, 0.5], F.col("p_size") > 25)
 
 
+@register("neighbourhood_reports", """
+    WITH a AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20), n AS (SELECT a.p_partkey AS anchor, b.*, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS identity
+      FROM a JOIN part b ON a.p_name <> b.p_name AND abs(length(a.p_name) - length(b.p_name)) / greatest(length(a.p_name), length(b.p_name), 1) <= 1 - 0.5)
+    SELECT a.p_partkey AS anchor, CASE WHEN a.p_size > 25 THEN 'strict' ELSE 'bridge_only' END AS role, threshold, count(n.anchor) AS neighbours, count(CASE WHEN n.p_size > 25 THEN 1 END) AS strict, count(CASE WHEN n.p_size <= 25 AND n.p_partkey % 3 > 0 THEN 1 END) AS bridge_only,
+           count(DISTINCT n.p_brand) AS buckets, count(DISTINCT n.p_size) AS clusters, coalesce(array_to_string((list(n.p_partkey ORDER BY identity DESC, n.p_size DESC, n.p_retailprice DESC, n.p_partkey) FILTER (n.p_partkey IS NOT NULL))[1:5], ','), '') AS examples
+    FROM a CROSS JOIN (VALUES (0.9::DOUBLE), (0.7), (0.5)) t(threshold) LEFT JOIN n ON n.anchor = a.p_partkey AND identity >= threshold GROUP BY a.p_partkey, a.p_size, threshold""")
+def neighbourhood_reports(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    anchors = p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
+    r = similarity.neighbourhood_reports(anchors, p, "p_partkey", "p_name", [0.9, 0.7, 0.5], F.col("p_size") > 25, F.col("p_partkey") % 3 > 0, F.col("p_brand"), F.col("p_size"), [-F.col("p_size"), -F.col("p_retailprice")], 5)
+    return r.withColumn("examples", F.array_join("examples", ","))
+
+
 @register("anchor_classes", """
     WITH a AS (SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 40), n AS (SELECT a.p_partkey, b.p_size > 25 AS flag, 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) AS identity
       FROM a JOIN part b ON a.p_name <> b.p_name AND abs(length(a.p_name) - length(b.p_name)) / greatest(length(a.p_name), length(b.p_name), 1) <= 1 - 0.5),
