@@ -6,6 +6,7 @@ from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from corvane.functions import text as tx
 from corvane.operators import batching
 from corvane.operators.structure import triads
 from corvane.sources import committed, records, structures
@@ -80,40 +81,40 @@ def length_batch_report(spark, sf_dir):
 
 
 def _structures(spark, sf_dir):
-    """Lines of a structure for each part: the letters of its name that are residues, with coordinates and confidences from its key, size and places.
+    """Lines of a structure for each turn of a conversation: the letters of its text that are residues, with coordinates and confidences from its key and their places.
 
     Some have a gap in their numbers, some a second chain, some an unknown residue.
     """
     three = F.create_map(*(F.lit(x) for pair in records.THREE_LETTERS.items() for x in reversed(pair)))
-    k, size, i = F.col("p_partkey"), F.col("p_size"), F.col("i")
-    letters = F.regexp_replace(F.upper("p_name"), "[^ACDEFGHIKLMNPQRSTVWY]", "")
-    r = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.length(letters).alias("n"), F.posexplode(F.split(letters, "")).alias("i", "letter")).filter("letter <> ''")
+    k, i = F.col("spoken"), F.col("i")
+    letters = F.regexp_replace(tx.letters("text"), "[BJOUXZ]", "")
+    r = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 8 + F.col("turn")).alias("spoken"), F.length(letters).alias("n"), F.posexplode(F.split(letters, "")).alias("i", "letter")).filter("letter <> ''")
     r = r.select(
-        "p_partkey", "letter", (i + 1).alias("i"),
+        "spoken", "letter", (i + 1).alias("i"),
         F.when((k % 7 == 0) & (i + 1 == F.col("n")), i + 2).otherwise(i + 1).alias("number"),
         F.when((k % 11 == 0) & (i * 2 >= F.col("n")), "B").otherwise("A").alias("chain"),
         F.when((k % 13 == 0) & (i == 0), "UNK").otherwise(three[F.col("letter")]).alias("residue"),
-        ((i * 37 + k * 11) % 100 / 10.0).alias("x"), ((i * 53 + size * 7) % 100 / 10.0).alias("y"), ((i * 71 + k) % 100 / 10.0).alias("z"),
+        ((i * 37 + k * 11) % 100 / 10.0).alias("x"), ((i * 53 + k * 7) % 100 / 10.0).alias("y"), ((i * 71 + k) % 100 / 10.0).alias("z"),
         F.when(k % 2 == 0, (k + i) % 100 / 100.0).otherwise((k + i * 3) % 100 * 1.0).alias("confidence"),
     )
     # side-chain atoms stand beside the CA of their residue
     beside = F.when(F.col("letter") == "S", F.array(F.lit("OG"))).when(F.col("letter") == "H", F.array(F.lit("ND1"), F.lit("NE2"))).when(F.col("letter") == "D", F.array(F.lit("OD1"), F.lit("OD2"))).otherwise(F.array().cast("array<string>"))
     a = r.select("*", F.posexplode(F.concat(F.array(F.lit("CA")), beside)).alias("j", "atom"))
     line = structures.atom_line(i, F.col("atom"), F.col("residue"), F.col("chain"), F.col("number"), F.col("x") + F.col("j"), F.col("y"), F.col("z"), F.col("confidence"))
-    return a.select("p_partkey", (i * 4 + F.col("j")).alias("place"), line.alias("line"))
+    return a.select("spoken", (i * 4 + F.col("j")).alias("place"), line.alias("line"))
 
 
 _RESIDUES = """
-    WITH p AS (SELECT p_partkey AS k, p_size AS size, regexp_replace(upper(p_name), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM part),
-    r AS (SELECT k, length(s) AS n, i, s[i + 1] AS letter, (i * 37 + k * 11) % 100 / 10.0::DOUBLE AS x, (i * 53 + size * 7) % 100 / 10.0::DOUBLE AS y, (i * 71 + k) % 100 / 10.0::DOUBLE AS z,
+    WITH p AS (SELECT conv_id * 8 + turn AS k, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[BJOUXZ]', '', 'g') AS s FROM conversations),
+    r AS (SELECT k, length(s) AS n, i, s[i + 1] AS letter, (i * 37 + k * 11) % 100 / 10.0::DOUBLE AS x, (i * 53 + k * 7) % 100 / 10.0::DOUBLE AS y, (i * 71 + k) % 100 / 10.0::DOUBLE AS z,
                  CASE WHEN k % 2 = 0 THEN (k + i) % 100 / 100.0::DOUBLE ELSE ((k + i * 3) % 100)::DOUBLE END AS c FROM p, unnest(range(0, length(s))) u(i))"""
 
 
 @register("structure_sequences", f"""{_RESIDUES},
     t AS (SELECT k, string_agg(letter, '' ORDER BY i) AS s, count(*) AS n, avg(c) AS m, CASE WHEN k % 11 = 0 AND count(*) > 1 THEN 'chains' WHEN k % 7 = 0 THEN 'numbering' WHEN k % 13 = 0 THEN 'residue' END AS problem FROM r GROUP BY k)
-    SELECT k AS p_partkey, CASE WHEN problem IS NULL THEN s END AS sequence, n::INTEGER AS residues, round(CASE WHEN m > 0 AND m <= 1 THEN m * 100 ELSE m END, 6) AS confidence, problem FROM t""")
+    SELECT k AS spoken, CASE WHEN problem IS NULL THEN s END AS sequence, n::INTEGER AS residues, round(CASE WHEN m > 0 AND m <= 1 THEN m * 100 ELSE m END, 6) AS confidence, problem FROM t""")
 def structure_sequences(spark, sf_dir):
-    s = structures.structure_sequences(_structures(spark, sf_dir), "p_partkey", "place", "line")
+    s = structures.structure_sequences(_structures(spark, sf_dir), "spoken", "place", "line")
     return s.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -121,7 +122,7 @@ def structure_sequences(spark, sf_dir):
     a AS (SELECT k, CASE WHEN k % 7 = 0 AND i + 1 = n THEN i + 2 ELSE i + 1 END AS number, letter, x + j AS x, y, z FROM r, unnest(CASE letter WHEN 'S' THEN [1] ELSE [1, 2] END) u(j) WHERE letter IN ('S', 'H', 'D') AND NOT (k % 13 = 0 AND i = 0)),
     d AS (SELECT a.k, a.number AS f, a.letter AS x, b.number AS g, b.letter AS y, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))) AS d FROM a JOIN a b ON a.k = b.k GROUP BY ALL),
     t AS (SELECT s.k, s.f AS ser, s.g AS his, c.g AS asp, s.d AS ser_his, c.d AS his_asp, row_number() OVER (PARTITION BY s.k ORDER BY s.d + c.d, s.f, s.g, c.g) AS o FROM d s JOIN d c ON s.k = c.k AND s.g = c.f WHERE s.x = 'S' AND s.y = 'H' AND c.x = 'H' AND c.y = 'D')
-    SELECT k AS p_partkey, ser::INTEGER AS ser, his::INTEGER AS his, asp::INTEGER AS asp, round(ser_his, 6) AS ser_his, round(his_asp, 6) AS his_asp, ser_his <= 3.5 AND his_asp <= 3.5 AS passes FROM t WHERE o = 1""")
+    SELECT k AS spoken, ser::INTEGER AS ser, his::INTEGER AS his, asp::INTEGER AS asp, round(ser_his, 6) AS ser_his, round(his_asp, 6) AS his_asp, ser_his <= 3.5 AND his_asp <= 3.5 AS passes FROM t WHERE o = 1""")
 def structure_triads(spark, sf_dir):
-    t = triads(structures.structure_atoms(_structures(spark, sf_dir), "p_partkey", "place", "line"), "p_partkey", 3.5)
-    return t.select("p_partkey", "ser", "his", "asp", F.round("ser_his", 6).alias("ser_his"), F.round("his_asp", 6).alias("his_asp"), "passes")
+    t = triads(structures.structure_atoms(_structures(spark, sf_dir), "spoken", "place", "line"), "spoken", 3.5)
+    return t.select("spoken", "ser", "his", "asp", F.round("ser_his", 6).alias("ser_his"), F.round("his_asp", 6).alias("his_asp"), "passes")
