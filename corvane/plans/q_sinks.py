@@ -87,8 +87,10 @@ def _structures(spark, sf_dir):
     """
     three = F.create_map(*(F.lit(x) for pair in records.THREE_LETTERS.items() for x in reversed(pair)))
     k, i = F.col("spoken"), F.col("i")
-    letters = F.regexp_replace(tx.letters("text"), "[BJOUXZ]", "")
-    r = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 8 + F.col("turn")).alias("spoken"), F.length(letters).alias("n"), F.posexplode(F.split(letters, "")).alias("i", "letter")).filter("letter <> ''")
+    said = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 8 + F.col("turn")).alias("spoken"), F.regexp_replace(tx.letters("text"), "[BJOUXZ]", "").alias("letters"))
+    # what stands beside a generator is computed for each of its rows: the letters and their number come before it
+    said = said.filter("letters <> ''").select("spoken", F.length("letters").alias("n"), F.split("letters", "").alias("letters"))
+    r = said.select("spoken", "n", F.posexplode("letters").alias("i", "letter")).filter("letter <> ''")
     r = r.select(
         "spoken", "letter", (i + 1).alias("i"),
         F.when((k % 7 == 0) & (i + 1 == F.col("n")), i + 2).otherwise(i + 1).alias("number"),

@@ -1,4 +1,8 @@
-"""Fixed-width structure files as a table function: atoms, or one checked sequence a structure."""
+"""Fixed-width structure files: atoms, or one checked sequence a structure.
+
+`parse_structure` is the table function for SQL, which takes a line at a time;
+`structure_atoms` and `structure_sequences` give the same rows by column expressions.
+"""
 
 from __future__ import annotations
 
@@ -18,6 +22,9 @@ LEVELS = {
     "structure": dict(sequence=TEXT, residues=WHOLE, confidence=REAL, problem=TEXT),
 }
 INPUT = ("structure", "place", "line")
+# what int and float take
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_REAL = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*[+-]?(nan|inf|infinity)\s*$"
 
 
 def _number(text: str, kind: type):
@@ -89,18 +96,53 @@ class parse_structure:
         yield self.key, sequence, len(self.names), mean * 100 if 0 < mean <= 1 else mean, problem
 
 
-def _lines(lines: DataFrame, structure: str, place: str, line: str) -> DataFrame:
-    return lines.select(F.col(structure).alias("structure"), F.col(place).alias("place"), F.col(line).alias("line"))
+def _fields(lines: DataFrame, structure: str, place: str, line: str) -> DataFrame:
+    """The fields of each line; `is_atom` marks ATOM lines, `whole` those whose numbers parse."""
+    # behind the generator a filter on the fields stays where it is and a computed line is made once, not once a field
+    lines = lines.select(F.col(structure).alias(structure), F.col(place).alias("place"), F.explode(F.array(F.col(line))).alias("line"))
+    cut = lambda at, n: F.substring("line", at, n)
+    strip = lambda c: F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+    plain = cut(31, 36).rlike("^[-+0-9. ]*$")
+    real = lambda at, n: F.when(plain | cut(at, n).rlike(_REAL), cut(at, n).try_cast("double"))
+    rows = lines.select(
+        structure, "place", F.coalesce(F.startswith("line", F.lit("ATOM")), F.lit(False)).alias("is_atom"), cut(22, 1).alias("chain"), cut(23, 4).alias("digits"),
+        F.when(cut(23, 4).rlike(_WHOLE), cut(23, 4).try_cast("int")).alias("number"), strip(cut(27, 1)).alias("insertion"), strip(cut(18, 3)).alias("residue"), strip(cut(13, 4)).alias("atom"),
+        real(31, 8).alias("x"), real(39, 8).alias("y"), real(47, 8).alias("z"), real(61, 6).alias("confidence"),
+    )
+    # the same for the fields
+    rows = rows.select(structure, F.inline(F.array(F.struct(*(c for c in rows.columns if c != structure)))))
+    return rows.withColumn("whole", F.col("number").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & F.col("confidence").isNotNull())
 
 
 def structure_atoms(lines: DataFrame, structure: str, place: str, line: str) -> DataFrame:
-    """Atoms of structures given as lines, the key under its own name."""
-    return parse_structure(_lines(lines, structure, place, line).asTable(), F.lit("atom")).withColumnRenamed("structure", structure)
+    """Atoms of structures given as lines, the key under its own name: the rows of parse_structure at level 'atom', by column expressions."""
+    rows = _fields(lines, structure, place, line).filter("is_atom AND whole")
+    return rows.select(structure, F.trim("chain").alias("chain"), *(c for c in LEVELS["atom"] if c != "chain"))
 
 
 def structure_sequences(lines: DataFrame, structure: str, place: str, line: str) -> DataFrame:
-    """Checked sequence, residues, confidence and problem of each structure."""
-    return parse_structure(_lines(lines, structure, place, line).asTable(), F.lit("structure")).withColumnRenamed("structure", structure)
+    """Checked sequence, residues, confidence and problem of each structure: the rows of parse_structure at level 'structure'.
+
+    Lines are cut where they are; of each structure its CA residues meet as one array.
+    """
+    letter = F.create_map(*(F.lit(x) for pair in THREE_LETTERS.items() for x in pair))[F.col("residue")]
+    own = F.concat("chain", "digits", "insertion")  # of fixed widths up to the last
+    residue = F.struct(own.alias("own"), "place", "chain", "number", (F.col("insertion") != "").alias("inserted"), letter.alias("letter"), F.when(F.col("whole"), F.col("confidence")).alias("confidence"))
+    rows = _fields(lines, structure, place, line).select(structure, F.when(F.col("is_atom") & (F.col("atom") == "CA"), residue).alias("ca"))
+    found = rows.groupBy(structure).agg(F.sort_array(F.collect_list("ca")).alias("ca"))
+    firsts = F.filter("ca", lambda x, i: (i == 0) | (F.get("ca", i - 1)["own"] != x["own"]))
+    ordered = F.sort_array(F.transform(firsts, lambda x: F.struct(x["place"].alias("place"), x["chain"].alias("chain"), x["number"].alias("number"), x["inserted"].alias("inserted"), x["letter"].alias("letter"))))
+    sure = F.transform(F.sort_array(F.transform(F.filter("ca", lambda x: x["confidence"].isNotNull()), lambda x: F.struct(x["place"], x["confidence"].alias("c")))), lambda x: x["c"])
+    found = found.select(structure, ordered.alias("at"), sure.alias("sure"))
+    problem = (
+        F.when(F.size(F.array_distinct(F.transform("at", lambda x: x["chain"]))) != 1, "chains")
+        .when(F.exists(F.transform("at", lambda x, i: F.coalesce(x["number"] != i + 1, F.lit(True)) | x["inserted"]), lambda wrong: wrong), "numbering")
+        .when(F.exists("at", lambda x: x["letter"].isNull()), "residue")
+    )
+    mean = F.coalesce(F.try_divide(F.aggregate("sure", F.lit(0.0), lambda a, c: a + c), F.size("sure")), F.lit(0.0))
+    found = found.select(structure, F.array_join(F.transform("at", lambda x: x["letter"]), "").alias("sequence"), F.size("at").alias("residues"), mean.alias("mean"), problem.alias("problem"))
+    scaled = F.when((F.col("mean") > 0) & (F.col("mean") <= 1), F.col("mean") * 100).otherwise(F.col("mean"))
+    return found.select(structure, F.when(F.col("problem").isNull(), F.col("sequence")).alias("sequence"), "residues", scaled.alias("confidence"), "problem")
 
 
 def atom_line(serial: Column, atom: Column, residue: Column, chain: Column, number: Column, x: Column, y: Column, z: Column, confidence: Column) -> Column:

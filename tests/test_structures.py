@@ -61,3 +61,24 @@ def test_from_sql(spark, lines):
     lines.createOrReplaceTempView("structure_lines")
     got = spark.sql("SELECT structure, problem FROM parse_structure(TABLE(structure_lines), 'structure') WHERE problem = 'residue'").collect()
     assert [(r["structure"], r["problem"]) for r in got] == [("unknown", "residue")]
+
+
+ODD = {
+    **CASES,
+    "words": [line("CA", "SER", "A", 1, 80).replace("   1.500", "   x.500"), line("CA", "HIS", "A", 2, 90).replace("   1.500", "     nan")],
+    "no number": [line("CA", "SER", "A", 1, 80).replace("   1 ", "  1a ")],
+    "again": [line("CA", "SER", "A", 1, 80), line("CA", "HIS", "A", 2, 90), line("CA", "GLY", "A", 1, 10), line("CA", "HIS", "A", 2, 90)],
+    "short": ["ATOM", "ATOM  " + " " * 10],
+}
+
+
+@pytest.mark.parametrize("level", ["atom", "structure"])
+def test_columns_agree_with_the_table_function(spark, level):
+    """The same rows without a Python row a line."""
+    rows = [(k, i, t) for k, v in ODD.items() for i, t in enumerate(v)] + [(None, 0, line("CA", "SER", "A", 1, 80))]
+    lines = spark.createDataFrame(rows[::-1], SCHEMA).repartition(3)
+    columns = {"atom": structures.structure_atoms, "structure": structures.structure_sequences}[level](lines, "structure", "place", "line")
+    told = structures.parse_structure(lines.asTable(), F.lit(level))
+    assert columns.columns == told.columns
+    assert sorted(map(repr, columns.collect())) == sorted(map(repr, told.collect()))
+    assert "Python" not in columns._jdf.queryExecution().executedPlan().toString()
