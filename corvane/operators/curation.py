@@ -7,7 +7,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import kernels
@@ -16,6 +16,12 @@ from corvane.functions import text as tx
 from .selection import hash_order, hash_ranked
 
 
+def _first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key. As fields of an aggregate its columns hold back filters on them: one on a partition key would run before, on every copy."""
+    first = F.min_by(F.struct(*df.columns), F.struct(order)).alias("_row")
+    return df.groupBy(F.col(key).alias("_key")).agg(first).select("_row.*")
+
+
 def admitted_positives(df: DataFrame, sequence: str, described: Column, terms: Sequence[str], reviewed: Column, sites: Column, lengths: tuple[int, int], longest_repeat: int, order: str) -> DataFrame:
     """Natural positives: valid, of allowed length, about the subject, reviewed, annotated, free of long repeats, one of each sequence.
 
@@ -26,7 +32,7 @@ def admitted_positives(df: DataFrame, sequence: str, described: Column, terms: S
         about = about | F.contains(F.lower(described), F.lit(t))
     seq = F.upper(F.trim(F.col(sequence)))
     cheap = df.withColumn(sequence, seq).filter(tx.valid_alphabet(sequence) & F.length(sequence).between(*lengths) & about & reviewed & (F.size(sites) >= 3))
-    first = cheap.withColumn("_k", F.row_number().over(Window.partitionBy(sequence).orderBy(order))).filter("_k = 1").drop("_k")
+    first = _first_of_each(cheap, sequence, order)
     return first.withColumn("_r", kernels.longest_repeat(sequence)).filter(F.col("_r") <= longest_repeat).drop("_r")
 
 
@@ -34,7 +40,7 @@ def admitted_negatives(df: DataFrame, sequence: str, longest_repeat: int, order:
     """Generated negatives: valid, one of each, and with a repeat longer than allowed."""
     seq = F.upper(F.trim(F.col(sequence)))
     valid = df.withColumn(sequence, seq).filter(tx.valid_alphabet(sequence))
-    first = valid.withColumn("_k", F.row_number().over(Window.partitionBy(sequence).orderBy(order))).filter("_k = 1").drop("_k")
+    first = _first_of_each(valid, sequence, order)
     return first.withColumn("repeat_length", kernels.longest_repeat(sequence)).filter(F.col("repeat_length") > longest_repeat)
 
 

@@ -49,3 +49,14 @@ def test_shortlists_do_not_grow_with_batches():
         share = lambda t: len(grams(s) & grams(t)) / max(1, len(grams(s) | grams(t)))  # noqa: B023, E731
         want = sorted((-share(t), i) for i, t in enumerate(texts))[:7]
         assert [(-x.jaccard, x.r) for x in got[got["q"] == q].itertuples()] == want
+
+
+def test_copies_meet_no_repeat_kernel(spark):
+    """The kernel stands above the choice of one row a sequence, and the first by id is kept."""
+    from corvane.operators import curation
+
+    rows = spark.createDataFrame([(i, "ACDEFGHIACDEFGHI") for i in (5, 3, 9)] + [(1, "ACDE")], "id long, sequence string")
+    kept = curation.admitted_negatives(rows, "sequence", 7, "id")
+    assert [tuple(r) for r in kept.collect()] == [(3, "ACDEFGHIACDEFGHI", 8)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("ArrowEvalPython") < plan.index("Aggregate")
