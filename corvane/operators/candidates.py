@@ -156,13 +156,26 @@ SOFT_BASE, SOFT_FLOOR = 88.0, 60.0
 
 def quality(sequence: Column, raw: Column, markup: Column, invalid: Column) -> dict[str, Column]:
     """Hard gate, soft floor, soft score (0..100) and quality score of a sequence and the text it came from."""
-    n, ratio = F.length(sequence), tx.letter_ratio(sequence, raw)
-    h, kinds, top = tx.entropy(sequence), tx.unique_residues(sequence), F.when(n > 0, tx.dominant_fraction(sequence)).otherwise(1.0)
-    hard = n.between(*LENGTHS) & (ratio >= 0.98) & ~markup & ~invalid
-    floor = (kinds >= SOFT_UNIQUE) & (h >= SOFT_ENTROPY) & (top <= SOFT_DOMINANT)
-    soft = scores.clip(100.0 - F.greatest(F.lit(0.0), ENTROPY_GOAL - h) * 35.0 - F.greatest(F.lit(0), UNIQUE_GOAL - kinds) * 6.0 - F.greatest(F.lit(0.0), top - DOMINANT_GOAL) * 180.0, 0.0, 100.0)
-    score = n + ratio * 100.0 + h * 10.0 + kinds * 2.0 - top * 50.0 - F.abs(n - 200) - F.when(hard & floor, 0.0).otherwise(250.0)
-    return {"hard_gate_pass": hard, "soft_floor_pass": floor, "soft_score": soft, "quality_score": score}
+    n = F.length(sequence)
+
+    def shares(counts: Column) -> Column:
+        """Entropy, kinds and share of the most frequent of a sequence's letters, counted once."""
+        bits = tx.let(n.cast("double"), lambda size: F.aggregate(counts, F.lit(0.0), lambda total, k: total + (k / size) * F.log2(k / size)))
+        return F.struct(
+            F.coalesce(F.when(n > 0, -bits), F.lit(0.0)).alias("h"), F.coalesce(F.size(counts), F.lit(0)).alias("kinds"), F.when(n > 0, F.coalesce(F.array_max(counts) / n, F.lit(0.0))).otherwise(1.0).alias("top"),
+            tx.letter_ratio(sequence, raw).alias("ratio"),
+        )
+
+    def judged(m: Column) -> Column:
+        h, kinds, top, ratio = (m[c] for c in ("h", "kinds", "top", "ratio"))
+        hard = n.between(*LENGTHS) & (ratio >= 0.98) & ~markup & ~invalid
+        floor = (kinds >= SOFT_UNIQUE) & (h >= SOFT_ENTROPY) & (top <= SOFT_DOMINANT)
+        soft = scores.clip(100.0 - F.greatest(F.lit(0.0), ENTROPY_GOAL - h) * 35.0 - F.greatest(F.lit(0), UNIQUE_GOAL - kinds) * 6.0 - F.greatest(F.lit(0.0), top - DOMINANT_GOAL) * 180.0, 0.0, 100.0)
+        score = n + ratio * 100.0 + h * 10.0 + kinds * 2.0 - top * 50.0 - F.abs(n - 200) - F.when(hard & floor, 0.0).otherwise(250.0)
+        return F.struct(hard.alias("hard_gate_pass"), floor.alias("soft_floor_pass"), soft.alias("soft_score"), score.alias("quality_score"))
+
+    found = tx.let(tx.let(tx.char_counts(sequence), shares), judged)
+    return {c: found[c] for c in ("hard_gate_pass", "soft_floor_pass", "soft_score", "quality_score")}
 
 
 def soft_threshold(motif_strength: Column, geometry: Column) -> Column:
@@ -194,6 +207,8 @@ def confidence_weight(objectives: Column, audited: Column, gates: Sequence[Colum
 
 def summary(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts of a batch of candidates: all, passing, and each rejection reason."""
-    total = df.groupBy(*keys).agg(F.count("*").alias("candidates"), F.count_if("hard_gate_pass").alias("passing"))
-    why = df.select(*keys, F.explode("rejection_reasons").alias("reason")).groupBy(*keys, "reason").agg(F.count("*").alias("n"))
+    # candidates are judged once: both counts come from the few ways in which they pass and fail
+    ways = df.groupBy(*keys, "hard_gate_pass", "rejection_reasons").agg(F.count("*").alias("n"))
+    total = ways.groupBy(*keys).agg(F.sum("n").alias("candidates"), F.coalesce(F.sum(F.when(F.col("hard_gate_pass"), F.col("n"))), F.lit(0)).cast("long").alias("passing"))
+    why = ways.select(*keys, "n", F.explode("rejection_reasons").alias("reason")).groupBy(*keys, "reason").agg(F.sum("n").alias("n"))
     return total.join(why.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("reasons")), list(keys), "left")
