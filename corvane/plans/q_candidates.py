@@ -11,14 +11,14 @@ from corvane.operators import curation, datasets, selection
 from corvane.sources import records
 
 from .catalog import register
-from .views import sequences, table, with_sequences
+from .views import sequences, spread, table, with_sequences
 
 
 def _raw(spark, sf_dir):
     """Parts as raw candidate rows with aliased, partly nested fields."""
     k = F.col("p_partkey")
     seq = F.substring(F.repeat(F.lit(tx.ALPHABET), 20), 1, (100 + k % 300).cast("int"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
         "p_partkey", F.when(k % 4 > 0, F.concat(F.lit("id-"), k)).alias("candidate_id"), F.lit("Make 180 aa").alias("prompt"), seq.alias("sequence"), (k % 3).alias("motif_count"),
         F.struct((k % 101).cast("double").alias("mean_plddt"), (k % 100 / 100.0).alias("closest_edit_identity"), F.when(k % 2 == 0, "pass").otherwise("no").alias("catalytic_geometry_passes")).alias("metrics"),
         F.when(k % 5 == 0, "true").otherwise("").alias("strict_family"), F.when(k % 7 == 0, k % 100 / 100.0).alias("aggregation_risk"), (k % 6 > 0).alias("solubility_pass"), F.when(k % 9 == 0, k / 10.0).alias("stage2_score"),
@@ -94,14 +94,14 @@ def positive_admission(spark, sf_dir):
     k = F.col("p_partkey")
     hexes = F.concat(*(F.sha2(F.concat_ws("-", k, F.lit(i)), 256) for i in range(3)))
     base = F.translate(hexes, "0123456789abcdef", tx.ALPHABET[:16])
-    rows = table(spark, sf_dir, "part").select("p_partkey", base.alias("sequence"), F.when(k % 2 == 0, "a cutinase").otherwise("other").alias("about"), (k % 3 > 0).alias("reviewed"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("sites"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", base.alias("sequence"), F.when(k % 2 == 0, "a cutinase").otherwise("other").alias("about"), (k % 3 > 0).alias("reviewed"), F.array(F.lit(1), F.lit(2), F.lit(3)).alias("sites"))
     return curation.admitted_positives(rows, "sequence", F.col("about"), ["petase", "cutinase"], F.col("reviewed"), F.col("sites"), (120, 360), 8, "p_partkey").select("p_partkey")
 
 
 @register("negative_admission")
 def negative_admission(spark, sf_dir):
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.substring(F.lit(tx.ALPHABET), 1, (k % 20 + 1).cast("int")), F.substring(F.lit(tx.ALPHABET), 1, (k % 15 + 1).cast("int"))).alias("sequence"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", F.concat(F.substring(F.lit(tx.ALPHABET), 1, (k % 20 + 1).cast("int")), F.substring(F.lit(tx.ALPHABET), 1, (k % 15 + 1).cast("int"))).alias("sequence"))
     return curation.admitted_negatives(rows, "sequence", 7, "p_partkey").select("p_partkey", "repeat_length")
 
 

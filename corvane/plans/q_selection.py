@@ -10,7 +10,7 @@ from corvane.operators.candidates import confidence_weight
 from corvane.sources.records import scratch_table
 
 from .catalog import register
-from .views import candidates, sequences, table, with_candidates
+from .views import candidates, sequences, spread, table, with_candidates
 
 C = with_candidates
 
@@ -301,7 +301,7 @@ def anchor_neighbourhoods(spark, sf_dir):
 def neighbourhood_reports(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     anchors = p.orderBy(F.desc("p_retailprice"), "p_partkey").limit(20)
-    r = similarity.neighbourhood_reports(anchors, p, "p_partkey", "p_name", [0.9, 0.7, 0.5], F.col("p_size") > 25, F.col("p_partkey") % 3 > 0, F.col("p_brand"), F.col("p_size"), [-F.col("p_size"), -F.col("p_retailprice")], 5)
+    r = similarity.neighbourhood_reports(anchors, spread(p, "p_partkey"), "p_partkey", "p_name", [0.9, 0.7, 0.5], F.col("p_size") > 25, F.col("p_partkey") % 3 > 0, F.col("p_brand"), F.col("p_size"), [-F.col("p_size"), -F.col("p_retailprice")], 5)
     return r.withColumn("examples", F.array_join("examples", ","))
 
 
