@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from corvane.sources.records import scratch_table
 
-from .similarity import edit_pairs
+from .similarity import class_pairs, text_classes
 
 
 class Shortfall(ValueError):
@@ -137,7 +137,7 @@ def _heads(df: DataFrame, text: str, order: Sequence[Column], most: int, scratch
     # ids handed out behind a global sort ascend with it
     placed = scratch(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
     first = scratch(placed.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min("_at").alias("_first")))
-    edges = scratch(edit_pairs(first, "_first", text, most).select("a", "b"))
+    edges = scratch(class_pairs(text_classes(first, "_first", text), most).select("a", "b"))
     undecided, live, heads = first.select("_first"), edges, None
     while True:
         waiting = live.select(F.col("b").alias("_first")).distinct()

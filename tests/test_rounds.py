@@ -133,3 +133,21 @@ def test_edit_joins_against_all_pairs(spark):
         for a, b, d in want:
             best[a], best[b] = min(best.get(a, (99, 0)), (d, b)), min(best.get(b, (99, 0)), (d, a))
         assert {r["id"]: (r["distance"], r["nearest"]) for r in similarity.nearest_by_edits(df, "id", "text", most, scratch_table, F.col("part")).collect()} == best
+
+
+def test_pairs_of_copies_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE", 64, raising=False)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 1 << 14, raising=False)
+    df = spark.range(600).select("id", F.when(F.col("id") < 500, "one text").otherwise("one test").alias("text"))
+    found = similarity.edit_pairs(df, "id", "text", 2)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 600 * 599 // 2
+    assert max(r["count"] for r in tasks) < 30_000
+    assert found.select("a", "b").distinct().count() == 600 * 599 // 2
+    assert found.filter("(distance = 1) <> (a < 500 AND b >= 500)").isEmpty() and found.filter("a >= b").isEmpty()
+
+
+def test_pairs_of_repeated_and_missing_ids(spark):
+    df = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, "ab"), (None, "ab"), (3, "ac"), (None, "ac")], "id long, text string")
+    got = sorted(tuple(r) for r in similarity.edit_pairs(df, "id", "text", 1).collect())
+    assert got == [(1, 2, 0), (1, 2, 0), (1, 3, 1), (1, 3, 1), (2, 3, 1)]
