@@ -166,9 +166,15 @@ def leaders(df: DataFrame, text: str, order: Sequence[Column], most: int, scratc
 
 
 def farthest_first(df: DataFrame, grams: str, order: Sequence[Column], top: int) -> DataFrame:
-    """Start with the first row; each next row has the smallest largest Jaccard similarity to those taken. One distributed pass a pick."""
-    rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_set", F.array_distinct(grams)).withColumn("_near", F.lit(0.0)).persist()
-    kind = rows.schema["_set"].dataType.simpleString()
+    """Start with the first row; each next row has the smallest largest Jaccard similarity to those taken. One distributed pass a pick.
+
+    Rows of one set are taken in order, so its first `top` rows are all that can be. A row
+    without grams is near to none.
+    """
+    kind = df.schema[grams].dataType.simpleString()
+    sets = df.withColumn("_set", F.sort_array(F.array_distinct(F.coalesce(grams, F.array().cast(kind)))))
+    rows = top_per_group(sets, ["_set"], order, top).withColumn("_id", F.monotonically_increasing_id()).withColumn("_near", F.lit(0.0))
+    rows = rows.select(*df.columns, "_id", "_set", "_near").persist()
     taken: list[Row] = []
     try:
         while len(taken) < top:

@@ -185,7 +185,8 @@ def leader_clusters(spark, sf_dir):
 def farthest_first(spark, sf_dir):
     from corvane.functions import text as tx
 
-    return selection.farthest_first(table(spark, sf_dir, "part").select("p_partkey", tx.kmers("p_name", 3).alias("grams")), "grams", [F.col("p_partkey")], 12).select("p_partkey")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    return selection.farthest_first(p.select("p_partkey", tx.kmers("p_name", 3).alias("grams")), "grams", [F.col("p_partkey")], 12).select("p_partkey")
 
 
 @register("balanced_picks")

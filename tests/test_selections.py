@@ -85,6 +85,18 @@ def test_farthest_first(run, part):
     assert [r["p_partkey"] for r in run("farthest_first")] == taken
 
 
+def test_farthest_first_reads_the_first_rows_of_a_set(spark, monkeypatch):
+    """Copies beyond `top` rows are not kept, and a row without grams does not end the picks."""
+    name = F.when(F.col("id") == 777, None).otherwise(F.array(F.concat(F.lit("g"), F.col("id") % 3), F.lit("x")))
+    df = spark.range(3000).select("id", name.alias("grams"))
+    kept = []
+    persist = type(df).persist
+    monkeypatch.setattr(type(df), "persist", lambda self: kept.append(persist(self)) or kept[-1])
+    out = selection.farthest_first(df, "grams", [F.col("id")], 5)
+    assert [r["id"] for r in out.collect()] == [0, 777, 1, 2, 3]
+    assert kept[0].count() == 3 * 5 + 1
+
+
 def test_balanced_picks(run, part):
     brands = sorted({r["p_brand"] for r in part}, key=lambda b: digest("b", b))[:20]
     used, want = {}, []
