@@ -20,6 +20,7 @@ from corvane.llm.ngram_join import ngram_join
 from corvane.llm.packing import pack
 from corvane.llm.pii import mask_pii
 from corvane.llm.quality import fit_voters, keep_good
+from corvane.llm.url_filter import without_keys
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id belong to no group; of those with equal texts one stays.
     """
     classes = corpus.written(ngram_join(docs, shingle=5, threshold=80).select("doc_id", "component_id"), "classes")
-    gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = corpus.written(classes.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = without_keys(docs, "doc_id", gone)  # texts that surely stay do not move
     again = classes.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("again"))
     if again.isEmpty():  # as where ids are keys: the texts need not move again
         return kept

@@ -16,6 +16,8 @@ adaptive execution's skew join, as the join needs no rows of a key together.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -84,20 +86,52 @@ class Blocks:
         return out
 
 
+def _places(hashes: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """The block of a hash, and its bit in each of the block's words."""
+    low = hashes.bitwiseAND(0x7FFFFFFF)  # 31 bits: products stay within a long
+    block = F.shiftright(F.shiftrightunsigned(hashes, 32) * F.lit(blocks), 32).cast("int")
+    return block, [F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned((low * F.lit(odd)).bitwiseAND(0xFFFFFFFF), 27).cast("int")) for odd in _ODD]
+
+
+def block_count(count: int) -> int:
+    return max(1, -(-count * BITS_PER_URL // (32 * _WORDS)))
+
+
+def filter_rows(keys: DataFrame, blocks: int) -> DataFrame:
+    """The filter of a column `hash` as rows (block, w0 to w7), those of empty blocks left out: a grouped bit_or."""
+    block, bits = _places(F.col("hash"), blocks)
+    made = keys.select(block.alias("block"), *(b.alias(f"w{k}") for k, b in enumerate(bits)))
+    return made.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(_WORDS)))
+
+
 def bloom_filter(keys: DataFrame, count: int) -> Blocks:
-    """The filter of a column `hash` of `count` rows: a grouped bit_or, one row of 32 bytes a block to the driver."""
-    blocks = max(1, -(-count * BITS_PER_URL // (32 * _WORDS)))
-    low = F.col("hash").bitwiseAND(0x7FFFFFFF)  # 31 bits: products stay within a long
-    block = F.shiftright(F.shiftrightunsigned("hash", 32) * F.lit(blocks), 32)
-    bits = [F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned((low * F.lit(odd)).bitwiseAND(0xFFFFFFFF), 27).cast("int")) for odd in _ODD]
-    made = keys.select(block.cast("int").alias("block"), *(b.alias(f"w{k}") for k, b in enumerate(bits)))
-    rows = made.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(_WORDS))).toArrow()
+    """The filter of a column `hash` of `count` rows: one row of 32 bytes a block to the driver."""
+    blocks = block_count(count)
+    rows = filter_rows(keys, blocks).toArrow()
     words = np.zeros((blocks, _WORDS), np.uint32)
     for k in range(_WORDS):
         words[rows.column("block").to_numpy(), k] = rows.column(f"w{k}").to_numpy().view(np.uint32)
     return Blocks(words)
 
 
+def without_keys(rows: DataFrame, key: str, gone: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """rows but those whose key is in gone (column `key`, distinct), as a left anti join; wide rows move only where the filter may hold their key.
+
+    The filter goes to every task as a broadcast table. Beyond filter_bytes it is left out and all rows meet the list.
+    """
+    count = gone.count()
+    if count * BITS_PER_URL > 8 * filter_bytes:
+        return rows.join(gone, key, "left_anti").select(rows.columns)
+    blocks = block_count(count)
+    block, bits = _places(F.xxhash64(key), blocks)
+    words = F.broadcast(filter_rows(gone.select(F.xxhash64(key).alias("hash")), blocks).withColumnRenamed("block", "_block"))
+    held = [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(bits)]
+    maybe = F.coalesce(reduce(and_, held), F.lit(False))
+    marked = rows.withColumn("_of", block).join(words, F.col("_of") == F.col("_block"), "left").withColumn("_maybe", maybe)
+    asked = marked.filter("_maybe").select(rows.columns)
+    return marked.filter("NOT _maybe").select(rows.columns).union(asked.join(gone, key, "left_anti").select(rows.columns))
+
+
 def _probe(blocks: Blocks):
     @F.pandas_udf("boolean")
     def probe(hashes: pd.Series) -> pd.Series:

@@ -44,6 +44,21 @@ def test_stages_against_plain_versions(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
 
 
+def test_texts_that_stay_do_not_move(spark, monkeypatch):
+    """The list of duplicates meets only rows that it may hold."""
+    docs = corpus.table(spark, SF, "documents")
+    met, join = [], type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        if how == "left_anti" and "text" in self.columns:
+            met.append(self.count())
+        return join(self, other, on, how)
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SF).count()
+    assert len(met) == 1 and docs.count() - kept <= met[0] < docs.count() / 2
+
+
 def test_repeated_and_missing_ids(spark):
     text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
     rows = [(1, text), (1, text), (3, text), (None, text), (None, text), (5, other), (5, other), (5, other + " x"), (6, "a b"), (7, None), (7, None), (None, None), (None, "")]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import queries, url_filter
@@ -92,3 +93,14 @@ def test_only_possible_hits_are_joined(spark):
     assert out.filter("verdict = 'block'").count() == 1
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter maybe" in plan or "maybe#" in plan
+
+
+@pytest.mark.parametrize("filter_bytes", [url_filter.FILTER_BYTES, 0])
+def test_rows_without_keys(spark, filter_bytes):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 1000 > 0, F.col("id") - 50).alias("key"), F.lit("text").alias("text"))
+    gone = spark.range(-100, 30_000, 7).select(F.col("id").alias("key"))
+    out = url_filter.without_keys(rows, "key", gone, filter_bytes)
+    want = [None] * 20 + sorted(k - 50 for k in range(20_000) if k % 1000 and (k + 50) % 7)
+    assert sorted((r["key"] for r in out.collect()), key=lambda k: (k is not None, k)) == want
+    assert out.columns == ["key", "text"]
+    assert url_filter.without_keys(rows, "key", gone.limit(0), filter_bytes).count() == 20_000
