@@ -8,11 +8,12 @@ emitted with each batch.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass, fields
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -133,48 +134,81 @@ def stream_metrics(events: DataFrame) -> DataFrame:
 TIMED_EVENTS = GRADED_EVENTS + ", ts timestamp"
 
 
+#: Rows of a block of waiting steps.
+HELD_ROWS = 1024
+_WAITING = "first long, last long, steps binary"
+_HELD = pa.schema([
+    ("ms", pa.int64()), ("step_index", pa.int64()), ("collapsed", pa.bool_()), ("flags", pa.list_(pa.string())), ("constraints", pa.string()), ("gate", pa.bool_()), ("confidence", pa.float64()), ("repeat_ok", pa.bool_()), ("geometry_ok", pa.bool_()), ("grade", pa.float64()),
+])
+
+
+def _blocks(steps: pa.Table) -> list[tuple[int, int, bytes]]:
+    """Steps, in order of their times, as blocks: first and last time, Arrow stream."""
+    out = []
+    for at in range(0, steps.num_rows, HELD_ROWS):
+        part, sink = steps.slice(at, HELD_ROWS), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as stream:
+            stream.write_table(part)
+        out.append((part["ms"][0].as_py(), part["ms"][-1].as_py(), sink.getvalue().to_pybytes()))
+    return out
+
+
 class OrderedRun(StatefulProcessor):
-    """Keeps a run's steps until the watermark has passed them, then feeds them in order."""
+    """Keeps a run's steps until the watermark has passed them, then feeds them in order.
+
+    Steps wait in blocks in order of time, and a run has one timer, that of its earliest
+    waiting step: the call it leads to feeds all that the watermark has passed.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _WAITING)
+        self.due = handle.getValueState("due", "ms long")
         self.metrics = handle.getValueState("metrics", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = pd.concat(list(rows))
-        at = found["ts"].map(lambda t: int(t.timestamp() * 1000))
-        self.waiting.appendList([(ms, json.dumps(_plain(r))) for ms, r in zip(at, found.to_dict("records"), strict=True)])
-        for ms in sorted(set(at)):
-            self.handle.registerTimer(ms)
+        found = found.assign(ms=found["ts"].to_numpy("datetime64[ms]").astype("int64"))
+        kept = pa.schema([f for f in _HELD if f.name in found.columns])
+        blocks = _blocks(pa.Table.from_pandas(found, kept, preserve_index=False).replace_schema_metadata(None).sort_by("ms"))
+        self.waiting.appendList(blocks)
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or blocks[0][0] < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self._wait_for(blocks[0][0])
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = [json.loads(text) for ms, text in held if ms <= upto]
-        if not ready:
-            return iter(())  # a timer of a step that went with an earlier one
-        self.waiting.put([(ms, text) for ms, text in held if ms > upto]) if len(ready) < len(held) else self.waiting.clear()
+        ready, later = [], []
+        for first, last, steps in self.waiting.get():
+            if first > upto:
+                later.append((first, last, bytes(steps)))
+                continue
+            table = pa.ipc.open_stream(bytes(steps)).read_all()
+            passed = table.num_rows if last <= upto else int(np.searchsorted(table["ms"].to_numpy(), upto, side="right"))
+            ready.append(table.slice(0, passed))
+            later += _blocks(table.slice(passed))
+        if later:
+            self.waiting.put(later)
+            self._wait_for(min(first for first, _, _ in later))
+        else:
+            self.waiting.clear()
+            self.due.clear()
         metrics = Metrics(*self.metrics.get()) if self.metrics.exists() else Metrics()
-        _feed(metrics, pd.DataFrame(ready))
+        _feed(metrics, pa.concat_tables(ready).to_pandas())
         self.metrics.update(astuple(metrics))
         return iter((_report(key[0], metrics),))
 
+    def _wait_for(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
     def close(self) -> None:
         pass
 
 
-_WAITING = "ms long, event string"
-
-
-def _plain(row: dict) -> dict:
-    """An event as JSON can hold it; missing values as null."""
-    kept = {k: v for k, v in row.items() if k not in ("run", "ts")}
-    flags = kept.pop("flags")
-    return {k: None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for k, v in kept.items()} | {"flags": None if flags is None else list(flags)}
-
-
 def ordered_metrics(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """stream_metrics for steps that arrive in any order across batches (columns as in TIMED_EVENTS).
 
