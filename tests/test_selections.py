@@ -260,6 +260,15 @@ def test_novelty_without_a_shared_kmer(spark):
     assert got == {1: (10, 0.75, 0.0), 2: (None, 0.0, 0.0), 3: (None, 0.0, 0.0)}
 
 
+def test_every_part_is_a_novelty_query(spark):
+    from corvane.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    got = catalog.queries()["novelty_by_kmers"](spark, sf).select("p_partkey")
+    want = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey")
+    assert got.count() == want.count() and want.exceptAll(got).isEmpty()
+
+
 def test_confidence_without_objectives(spark):
     from corvane.operators.candidates import confidence_weight
 
