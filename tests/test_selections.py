@@ -260,6 +260,17 @@ def test_novelty_without_a_shared_kmer(spark):
     assert got == {1: (10, 0.75, 0.0), 2: (None, 0.0, 0.0), 3: (None, 0.0, 0.0)}
 
 
+def test_novelty_with_bounds_in_blocks(spark, monkeypatch):
+    """Bounds from a part of the references and blocks of queries change nothing."""
+    rnd = random.Random(12)
+    rows = spark.createDataFrame([(i, "".join(rnd.choice("ACDE") for _ in range(rnd.randint(0, 40)))) for i in range(400)], "id long, s string").cache()
+    run = lambda: sorted(tuple(x) for x in similarity.nearest_by_kmers(rows, rows.withColumnRenamed("id", "r"), "id", "r", "s", shortlist=3, other=True).collect())
+    plain = run()
+    monkeypatch.setattr(similarity, "PILOT_PAIRS", 0)
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 150)
+    assert run() == plain and len(plain) == 400
+
+
 def test_every_part_is_a_novelty_query(spark):
     from corvane.plans import catalog
 
